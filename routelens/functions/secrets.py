@@ -1,6 +1,6 @@
 """Secret and personal-data patterns."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Pattern name, regular expression, and text that must be present for a match to be
@@ -30,18 +30,17 @@ def redact(match: Column) -> Column:
     ).otherwise(F.concat(F.substring(match, 1, 4), F.lit("****")))
 
 
-def find_secrets(line: Column) -> Column:
-    """All matches in a line as ``array<struct<secret_type, match>>``; the whole line is scanned."""
+def find_secrets(lines: DataFrame, line: str, keep: list[Column | str]) -> DataFrame:
+    """One row ``(*keep, secret_type, match)`` per match; the whole line is scanned.
+
+    Patterns are expanded first and matches second.  A single explode over all matches would make
+    Spark add an emptiness test that runs every regular expression a second time.
+    """
     found = []
     for name, pattern, needle in SECRET_PATTERNS:
-        hits = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+        hits = F.regexp_extract_all(F.col(line), F.lit(pattern), F.lit(0))
         if needle:
-            hits = F.when(line.contains(needle), hits)
-        # bound by value, not by loop variable: the lambda runs while the column is built
-        found.append(
-            F.coalesce(
-                F.transform(hits, lambda m: F.struct(F.lit(name).alias("secret_type"), m.alias("match"))),
-                F.expr("cast(array() as array<struct<secret_type:string,match:string>>)"),
-            )
-        )
-    return F.concat(*found)
+            hits = F.when(F.contains(F.col(line), F.lit(needle)), hits)
+        found.append(F.struct(F.lit(name).alias("secret_type"), hits.alias("matches")))
+    by_pattern = lines.select(*keep, F.inline(F.array(*found)))
+    return by_pattern.withColumn("match", F.explode("matches")).drop("matches")

@@ -64,8 +64,8 @@ def generate_alerts(endpoints: DataFrame, as_of: Column) -> DataFrame:
                 ),
             )
         )
-    rows = endpoints.select("endpoint_id", F.explode(F.array_compact(F.array(*raised))).alias("alert"))
-    return rows.select("endpoint_id", "alert.*", as_of.cast("timestamp_ntz").alias("created_at"))
+    rows = endpoints.select("endpoint_id", F.explode(F.array(*raised)).alias("alert"))
+    return rows.filter("alert is not null").select("endpoint_id", "alert.*", as_of.cast("timestamp_ntz").alias("created_at"))
 
 
 def sorted_alerts(alerts: DataFrame) -> DataFrame:

@@ -80,16 +80,16 @@ def egress_parts(traffic: DataFrame) -> DataFrame:
 def secret_leaks(traffic: DataFrame) -> DataFrame:
     """Every secret found in the raw line of an outbound record, redacted."""
     outbound = traffic.filter(non_empty(F.col("host")).isNotNull() & ~is_internal_host(F.col("host")))
-    found = outbound.select(
+    keep = [
         F.col("host").alias("destination_host"),
         egress_source(F.col("source_service"), F.col("source_ip")).alias("source_service"),
         "path",
         "timestamp",
-        F.explode(find_secrets(F.col("raw_line"))).alias("hit"),
-    )
+    ]
+    found = find_secrets(outbound, "raw_line", keep)
     return found.select(
-        F.col("hit.secret_type").alias("secret_type"), "destination_host", "source_service", "path",
-        redact(F.col("hit.match")).alias("matched_pattern"), "timestamp",
+        "secret_type", "destination_host", "source_service", "path", redact(F.col("match")).alias("matched_pattern"),
+        "timestamp",
     )
 
 

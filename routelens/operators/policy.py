@@ -112,8 +112,8 @@ def violations(
         rule(kept & F.array_contains("auth_methods_seen", "none") & ~exempt, "UNAUTHENTICATED_IN_SPEC", "warning",
              text(name, " is in the spec but receives unauthenticated traffic")),
     ]
-    rows = routes.select(name.alias("endpoint"), F.explode(F.array_compact(F.array(*rules))).alias("v"))
-    return rows.select("v.severity", "v.rule", "v.message", "endpoint", "v.details")
+    rows = routes.select(name.alias("endpoint"), F.explode(F.array(*rules)).alias("v"))
+    return rows.filter("v is not null").select("v.severity", "v.rule", "v.message", "endpoint", "v.details")
 
 
 def validation_result(endpoints: DataFrame, spec: DataFrame, found: DataFrame) -> DataFrame:

@@ -41,10 +41,10 @@ def parse_lines(lines: DataFrame, log_format: str | Column, ingest_time: Column)
         helpers |= FORMATS[name].columns(line, chosen)
         records.append(F.when(chosen, FORMATS[name].parse(line, ingest_time)))
     split = lines.withColumn("_format", tag).withColumns(helpers)
-    parsed = split.select("file_path", "raw_line", F.coalesce(*records).alias("rec")).filter("rec is not null")
-    traffic = parsed.select(
-        F.xxhash64("file_path", "raw_line").alias("record_id"), "rec.*", "raw_line", "file_path"
-    )
+    # Filtering on the record itself would make Spark push the whole parse below the projections
+    # and run it several times per line; a filter on generated columns stays where it is.
+    parsed = split.select("file_path", "raw_line", F.inline(F.array(F.coalesce(*records))))
+    traffic = parsed.filter("method is not null").withColumn("record_id", F.xxhash64("file_path", "raw_line"))
     return traffic.select(*TRAFFIC.fieldNames(), "raw_line", "file_path")
 
 
