@@ -14,8 +14,8 @@ def observed(spark, d):
     return anomaly.observations(views.traffic(spark, d))
 
 
-def scored(spark, d):
-    return anomaly.score(observed(spark, d), training_window=WINDOW)
+def scored(spark, d, window: int = WINDOW):
+    return anomaly.score(observed(spark, d), training_window=window)
 
 
 def unscored(spark, d):
@@ -36,9 +36,9 @@ _NEW = f"""SELECT endpoint, source, 'low' AS severity, 0.3::DOUBLE AS score, {ts
     'New consumer ' || source || ' accessing ' || endpoint AS message FROM newcons"""
 
 
-@query("c7_unknown_sources", "SELECT endpoint, source FROM newcons")
+@query("c7_unknown_sources", "SELECT endpoint, source FROM early")
 def _(spark, d):
-    return anomaly.new_consumers(scored(spark, d)).select("endpoint", "source")
+    return anomaly.new_consumers(scored(spark, d, 5)).select("endpoint", "source")
 
 
 @query(
@@ -216,9 +216,9 @@ def _(spark, d):
     return anomaly.call_transitions(observed(spark, d))
 
 
-@query("e8_new_consumers", _NEW)
+@query("e8_new_consumers", _NEW.replace("FROM newcons", "FROM early"))
 def _(spark, d):
-    return _shown(anomaly.new_consumers(scored(spark, d)))
+    return _shown(anomaly.new_consumers(scored(spark, d, 5)))
 
 
 @query(

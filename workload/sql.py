@@ -162,6 +162,8 @@ CTES = {
         FROM idrun i JOIN prof p USING (endpoint) WHERE p.trained AND n > {WINDOW} AND ids > {BOLA}) WHERE f = 1""",
     "newcons": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY endpoint, source ORDER BY n) AS f FROM ranked)
         r JOIN prof p USING (endpoint) WHERE f = 1 AND p.trained AND n > """ + str(WINDOW),
+    "early": """SELECT f.* FROM (SELECT *, row_number() OVER (PARTITION BY endpoint, source ORDER BY n) AS f,
+        count(*) OVER (PARTITION BY endpoint) AS total FROM ranked) f WHERE f = 1 AND total >= 5 AND n > 5""",  # window of 5
     "bysource": """SELECT source, count(*) AS n, count(*) FILTER (status_code IN (401, 403)) AS failed, min(tm) AS lo, max(tm) AS hi,
         epoch_us(max(tm)) - epoch_us(min(tm)) AS us FROM obs GROUP BY source""",
     "gaps": """SELECT endpoint, source, num, num - lag(num) OVER (PARTITION BY endpoint, source ORDER BY num) AS gap
