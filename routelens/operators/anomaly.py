@@ -163,6 +163,19 @@ def activity(rows: DataFrame, profiles: DataFrame | None = None, training: DataF
     )
 
 
+def merge_activity(*tables: DataFrame) -> DataFrame:
+    """Add activity tables of different batches up; the result is again an activity table."""
+    return union_all(list(tables)).groupBy(*PAIR, "resource_id").agg(
+        F.sum("requests").alias("requests"),
+        F.sum("auth_failures").alias("auth_failures"),
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+        F.min("first_ord").alias("first_ord"),
+        F.min("first_scored").alias("first_scored"),
+        F.min("outlier").alias("outlier"),
+    )
+
+
 # ── Detectors ──
 
 
@@ -380,15 +393,20 @@ def score(
 
 
 def detect(act: DataFrame, bola_threshold: int = BOLA_IDS, medium_rpm: float = RATE_MEDIUM_RPM,
-           high_rpm: float = RATE_HIGH_RPM) -> DataFrame:
-    """All anomalies, one per (type, source, endpoint), sorted by severity name."""
+           high_rpm: float = RATE_HIGH_RPM, by_source: DataFrame | None = None) -> DataFrame:
+    """All anomalies, one per (type, source, endpoint), sorted by severity name.
+
+    ``by_source`` is the activity the two per-source detectors look at when it is not all of it:
+    a stream passes the activity of the current batch.
+    """
+    recent = act if by_source is None else by_source
     found = union_all(
         [
             latency_outliers(act),
             bola(act, bola_threshold),
             new_consumers(act),
-            credential_stuffing(act),
-            rate_anomalies(act, medium_rpm, high_rpm),
+            credential_stuffing(recent),
+            rate_anomalies(recent, medium_rpm, high_rpm),
             enumeration(act),
         ]
     )

@@ -58,7 +58,8 @@ def expand_targets(targets: DataFrame) -> DataFrame:
     ).repartition("target", "block")
     start = F.greatest("lo", F.col("block") * 65536)
     end = F.least("hi", F.col("block") * 65536 + 65535)
-    hosts = blocks.select("target", ip_text(F.explode(F.sequence(start, end))).alias("host"))
+    numbers = blocks.select("target", F.explode(F.sequence(start, end)).alias("ip"))
+    hosts = numbers.select("target", ip_text(F.col("ip")).alias("host"))
     return hosts.unionByName(nets.filter("network is null").select("target", F.col("target").alias("host")))
 
 

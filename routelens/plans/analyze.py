@@ -4,6 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from routelens.operators import alerts, inventory
 from routelens.plans.shared import materialize
@@ -73,7 +74,7 @@ def fold_batch(
     endpoints = tables.read_snapshot(spark, f"{store}/endpoints", ENDPOINTS, before=batch_id + 1)
 
     raised = materialize(alerts.generate_alerts(endpoints, as_of), "alerts")
-    old = tables.read_if_exists(spark, f"{store}/alerts", raised.schema.add("batch_id", "int"))
+    old = tables.read_if_exists(spark, f"{store}/alerts", raised.schema.add("batch_id", T.IntegerType()))
     new = alerts.unseen_alerts(raised, old.filter(F.col("batch_id") < batch_id))
     tables.write_batch(new, f"{store}/alerts", batch_id)
     return InventoryReport(inventory.report(endpoints, as_of), endpoints, raised)

@@ -57,24 +57,42 @@ def inventory_writer(
 def timeline_writer(
     traffic: DataFrame, path: str, checkpoint: str, bucket_minutes: int = 60, late: str = "1 hour", once: bool = False
 ) -> DataStreamWriter:
-    """Append finished time buckets; a bucket closes when the watermark passes its end."""
-    buckets = stats.timeline(traffic.withWatermark("timestamp", late), bucket_minutes)
-    writer = buckets.writeStream.format("parquet").outputMode("append").option("path", path)
+    """Append finished time buckets; a bucket closes when the watermark passes its end.
+
+    Watermarks need zoned times, so wall clocks pass through the session zone here: run streams
+    in a UTC session, as ``build_session`` sets up.
+    """
+    zoned = traffic.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
+    buckets = stats.timeline(zoned, bucket_minutes)
+    writer = buckets.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).writeStream.format("parquet").outputMode("append").option("path", path)
     return _trigger(writer.option("checkpointLocation", checkpoint), once)
 
 
 def scoring_writer(
-    traffic: DataFrame, profiles: DataFrame, path: str, checkpoint: str, once: bool = False
+    traffic: DataFrame,
+    profiles: DataFrame,
+    store: str,
+    checkpoint: str,
+    known: DataFrame | None = None,
+    once: bool = False,
 ) -> DataStreamWriter:
     """Score every micro-batch against a fixed profile table and store its anomalies.
 
-    ``profiles`` is a written table, so the join is planned from its size in every batch.
-    Per-source rates and failure shares are those of the batch, like in a batch analysis.
+    The state is the activity table, which adds up over batches, so ids and consumers of earlier
+    batches (and of ``known``, the activity of a training set) count.  A replayed batch starts
+    from the state before itself.  Per-source rates and failure shares are those of the batch.
     """
+    empty = anomaly.activity(anomaly.observations(traffic.sparkSession.createDataFrame([], traffic.schema)), profiles)
+    schema = empty.schema
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        act = materialize(anomaly.activity(anomaly.observations(batch), profiles), "activity")
-        tables.write_batch(anomaly.detect(act), path, batch_id)
+        spark = batch.sparkSession
+        new = materialize(anomaly.activity(anomaly.observations(batch), profiles), "activity")
+        state = tables.read_snapshot(spark, f"{store}/activity", schema, before=batch_id)
+        parts = [new, state] if known is None or batch_id > 0 else [new, known]
+        tables.write_snapshot(anomaly.merge_activity(*parts), f"{store}/activity", batch_id)
+        total = tables.read_snapshot(spark, f"{store}/activity", schema, before=batch_id + 1)
+        tables.write_batch(anomaly.detect(total, by_source=new), f"{store}/anomalies", batch_id)
 
     return _trigger(traffic.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint), once)
 

@@ -66,6 +66,22 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_pattern(raw_traffic(spark, sf_dir))
 
 
+def traffic_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Traffic as Parquet files that arrive in two steps, older rows first."""
+    folder = scratch_path(spark, "arriving")
+    rows, cut = raw_traffic(spark, sf_dir), F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    rows.filter(F.col("timestamp") < cut).write.mode("append").parquet(folder)
+    rows.filter(F.col("timestamp") >= cut).write.mode("append").parquet(folder)
+    return folder
+
+
+def traffic_stream(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The same traffic as a stream, one file per micro-batch."""
+    folder = folder or traffic_folder(spark, sf_dir)
+    reader = spark.readStream.schema(raw_traffic(spark, sf_dir).schema).option("maxFilesPerTrigger", 1)
+    return with_pattern(reader.parquet(folder))
+
+
 # ── Log lines ──
 
 
