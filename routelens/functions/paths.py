@@ -19,7 +19,7 @@ INTERNAL_HOST = r"^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|127\.|localhost
 
 def non_empty(c: Column) -> Column:
     """NULL for the empty string, so ``coalesce`` skips it."""
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def normalize_path(path: Column, anchored: bool = False) -> Column:
@@ -28,18 +28,27 @@ def normalize_path(path: Column, anchored: bool = False) -> Column:
     Rules are prefix rules: ``/42abc`` becomes ``/{id}abc``, and a uuid that starts with a digit
     is caught by the digit rule first.  ``anchored=True`` only rewrites whole segments.
     """
-    out = F.rtrim(path, F.lit("/"))
-    for pattern, replacement in PATH_RULES:
-        if anchored:
-            pattern += r"(?=/|$)"
-        out = F.regexp_replace(out, pattern, replacement.replace("{", r"\{"))
+    def apply(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+        for pattern, replacement in rules:
+            if anchored:
+                pattern += r"(?=/|$)"
+            text = F.regexp_replace(text, pattern, replacement.replace("{", r"\{"))
+        return text
+
+    digits = apply(F.rtrim(path, F.lit("/")), PATH_RULES[:1])
+    # the other rules need a slash and at least 20 more characters
+    out = F.when(F.length(digits) > 20, apply(digits, PATH_RULES[1:])).otherwise(digits)
     return F.when(out == "", F.lit("/")).otherwise(out)
 
 
 def endpoint_id(method: Column, host: Column, pattern: Column) -> Column:
-    """First 12 hex digits of sha256 over ``method:host:pattern``."""
+    """First 12 hex digits of sha256 over ``method:host:pattern``; never NULL.
+
+    Saying so (``coalesce``) matters: for a join on a nullable computed key Spark adds a NULL test
+    and moves it, hash and all, down to the rows before an aggregation.
+    """
     key = F.concat_ws(":", method, F.coalesce(host, F.lit("")), pattern)
-    return F.substring(F.sha2(key, 256), 1, 12)
+    return F.coalesce(F.substring(F.sha2(key, 256), 1, 12), F.lit(""))
 
 
 def endpoint_name(method: Column, pattern: Column) -> Column:
@@ -53,13 +62,12 @@ def strip_query(url: Column) -> Column:
 def url_path(url: Column) -> Column:
     """Path of an absolute URL without scheme, host, query, fragment and trailing ``;params``."""
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.regexp_replace(path, r";[^/]*$", "")
+    return F.when(path.contains(";"), F.regexp_replace(path, r";[^/]*$", "")).otherwise(path)
 
 
 def url_host(url: Column) -> Column:
     """Lower-cased host name of an absolute URL, without user info, port and IPv6 brackets."""
-    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:\[]*)", 1)
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:\[/?#]*)", 1)
     return non_empty(F.lower(F.translate(host, "[]", "")))
 
 
@@ -110,12 +118,7 @@ def is_infra_path(path: Column) -> Column:
 
 def resource_id(path: Column, pattern: Column) -> Column:
     """First path segment that lines up with a ``{...}`` segment of the pattern; NULL if none."""
-    pairs = F.arrays_zip(
-        F.split(F.rtrim(path, F.lit("/")), "/").alias("seg"),
-        F.split(F.rtrim(pattern, F.lit("/")), "/").alias("pat"),
-    )
-    # the shorter side ends the walk: arrays_zip pads it with NULL
-    hits = F.filter(
-        pairs, lambda p: p["pat"].startswith("{") & p["pat"].endswith("}") & p["seg"].isNotNull()
-    )
-    return non_empty(F.get(hits, F.lit(0))["seg"])
+    # up to and including the brace: its number of segments is the position of the id
+    before = F.regexp_extract(pattern, r"^((?:[^/]*/)*?\{)[^/]*\}(?:/|$)", 1)
+    position = F.array_size(F.split(non_empty(before), "/"))
+    return non_empty(F.split_part(path, F.lit("/"), position))

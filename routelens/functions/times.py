@@ -13,18 +13,24 @@ ISO_TIMES = (
 )
 
 
+def _clock(day: Column, month: Column, year: Column, time: Column) -> Column:
+    number = F.shiftright(F.instr(F.lit(_MONTHS), month) + 3, 2).cast("string")
+    return F.concat(year, F.lit("-"), number, F.lit("-"), day, F.lit(" "), time)
+
+
 def clf_time(raw: Column) -> Column:
     """``03/Apr/2026:10:15:01 +0000`` -> wall clock; NULL when it does not parse.
 
-    The offset is checked and dropped: the inventory compares clocks as they were logged.
+    The offset is checked and dropped: the inventory compares clocks as they were logged.  The
+    usual two-digit layout is cut by position, which is several times cheaper than splitting.
     """
+    usual = _clock(F.substring(raw, 1, 2), F.substring(raw, 4, 3), F.substring(raw, 8, 4), F.substring(raw, 13, 8))
     part = F.split(raw, "[/: ]")
-    month = (F.instr(F.lit(_MONTHS), F.get(part, F.lit(1))) + 3) / 4
-    clock = F.concat(
-        F.get(part, F.lit(2)), F.lit("-"), month.cast("int").cast("string"), F.lit("-"), F.get(part, F.lit(0)),
-        F.lit(" "), F.get(part, F.lit(3)), F.lit(":"), F.get(part, F.lit(4)), F.lit(":"), F.get(part, F.lit(5)),
+    any_width = _clock(
+        *[F.get(part, F.lit(i)) for i in range(3)], F.concat_ws(":", *[F.get(part, F.lit(i)) for i in (3, 4, 5)])
     )
-    return F.when(raw.rlike(CLF_TIME), clock).try_cast("timestamp_ntz")
+    two_digits = (F.substring(raw, 3, 1) == "/") & (F.substring(raw, 21, 1) == " ")
+    return F.when(raw.rlike(CLF_TIME), F.when(two_digits, usual).otherwise(any_width)).try_cast("timestamp_ntz")
 
 
 def iso_time(raw: Column) -> Column:

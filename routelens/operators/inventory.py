@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelens.functions.auth import auth_bits, auth_names, source_bits, source_names
-from routelens.functions.paths import endpoint_id, inventory_consumer
+from routelens.functions.paths import endpoint_id, inventory_consumer, non_empty
 from routelens.plans.shared import running_sums
 from routelens.schemas import ENDPOINT_STATUSES, ENDPOINTS
 
@@ -145,14 +145,11 @@ def correlate_spec(endpoints: DataFrame, spec: DataFrame) -> DataFrame:
 
     Declared-only endpoints are added without traffic and without first/last seen.
     """
-    declared = spec.groupBy(
-        endpoint_id(F.col("method"), F.col("host"), F.col("path")).alias("endpoint_id")
-    ).agg(
-        F.first("method").alias("_method"),
-        F.first("path").alias("_path"),
-        F.first("host").alias("_host"),
-        F.max("deprecated").alias("_deprecated"),
-    )
+    routes = spec.groupBy(
+        F.col("method").alias("_method"), F.col("path").alias("_path"), non_empty(F.col("host")).alias("_host")
+    ).agg(F.max("deprecated").alias("_deprecated"))
+    key = endpoint_id(F.col("_method"), F.col("_host"), F.col("_path"))
+    declared = routes.withColumn("endpoint_id", key)
     both = endpoints.join(declared, "endpoint_id", "full")
     in_spec = F.col("_method").isNotNull()
     sources = F.coalesce("discovery_sources", F.array().cast("array<string>"))

@@ -8,11 +8,8 @@ _IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"
 
 def ip_number(ip: Column) -> Column:
     """Dotted IPv4 -> integer; NULL for anything else."""
-    part = F.split(F.when(ip.rlike(_IPV4), ip), r"\.")
-    total = F.lit(0).cast("bigint")
-    for i in range(4):
-        total = total * 256 + F.get(part, F.lit(i)).try_cast("bigint")
-    return total
+    octets = F.transform(F.split(F.when(ip.rlike(_IPV4), ip), r"\."), lambda x: x.cast("bigint"))
+    return F.aggregate(octets, F.lit(0).cast("bigint"), lambda total, octet: total * 256 + octet)
 
 
 def ip_text(number: Column) -> Column:
@@ -70,13 +67,17 @@ def attribute_subnets(traffic: DataFrame, subnets: DataFrame) -> DataFrame:
     prefix length, and subnets are found by equality on (prefix, network): no range join.
     """
     nets = parse_targets(subnets).filter("network is not null")
-    per_ip = traffic.groupBy(ip_number(F.col("source_ip")).alias("ip")).agg(
+    per_ip = traffic.groupBy("source_ip").agg(
         F.count("*").alias("calls"), F.count_if(F.col("status_code") >= 400).alias("errors")
     )
-    offered = per_ip.filter("ip is not null").select(
-        "calls", "errors", "ip", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("prefix")
+    offered = per_ip.select(
+        "calls", "errors", ip_number(F.col("source_ip")).alias("ip"),
+        F.explode(F.sequence(F.lit(0), F.lit(32))).alias("prefix"),
     )
-    keyed = offered.withColumn("network", _network(F.col("ip"), F.col("prefix")))
+    # -1 instead of NULL matches nothing either, and keeps Spark from testing the converted number
+    # for NULL on every row below the aggregation
+    network = F.coalesce(_network(F.col("ip"), F.col("prefix")), F.lit(-1))
+    keyed = offered.withColumn("network", network)
     return keyed.join(nets.select("target", "prefix", "network"), ["prefix", "network"]).groupBy("target").agg(
         F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.count("*").alias("addresses")
     )

@@ -70,14 +70,19 @@ class LogFormat:
 
 
 def _groups(line: Column, pattern: str, count: int, anchored: bool = True) -> Column:
-    """All capture groups of one match as an array, NULL without a match; one regex run per line.
+    """All capture groups of one match as an array, by one regex run per line.
 
     The match is rewritten to its groups joined by line feeds, which a text line never contains.
+    Without a match the array has one element: see ``_matched``.
     """
     head = "^" if anchored else r"^[\s\S]*?"
     joined = F.regexp_replace(line, head + pattern + r"[\s\S]*$", "\n".join(f"${i + 1}" for i in range(count)))
-    parts = F.split(joined, "\n")
-    return F.when(F.size(parts) == count, parts)
+    return F.split(joined, "\n")
+
+
+def _matched(groups: Column, count: int) -> tuple[Column, list[Column]]:
+    """Whether the line matched, and its groups."""
+    return F.size(groups) == count, [F.get(groups, F.lit(i)) for i in range(count)]
 
 
 def _json(line: Column, keys: tuple[str, ...]) -> Column:
@@ -85,10 +90,6 @@ def _json(line: Column, keys: tuple[str, ...]) -> Column:
     return F.from_json(line, names, _JSON_OPTIONS)
 
 
-def _first(doc: Column, keys: tuple[str, ...]) -> Column:
-    return F.coalesce(*[doc[k] for k in keys])
-
-
 def _record(present: Column, **fields: Column) -> Column:
     """The traffic fields as one struct; fields a format does not carry are NULL."""
     types = {
@@ -101,10 +102,11 @@ def _record(present: Column, **fields: Column) -> Column:
     return F.when(present, F.struct(*cols))
 
 
-def _nginx_record(f: Column, ingest_time: Column) -> Column:
+def _nginx_record(groups: Column, ingest_time: Column) -> Column:
+    matched, f = _matched(groups, 7)
     header = non_empty(f[6])
     return _record(
-        f.isNotNull() & ~f[3].isin(*NGINX_NOISE),
+        matched & ~f[3].isin(*NGINX_NOISE),
         timestamp=F.coalesce(clf_time(f[1]), ingest_time),
         method=f[2],
         path=f[3],
@@ -116,12 +118,13 @@ def _nginx_record(f: Column, ingest_time: Column) -> Column:
     )
 
 
-def _alb_record(f: Column, ingest_time: Column) -> Column:
+def _alb_record(groups: Column, ingest_time: Column) -> Column:
+    matched, f = _matched(groups, 7)
     url = f[6]
     bare = strip_query(url)
     absolute = bare.startswith("http") & bare.contains("://")
     return _record(
-        f.isNotNull(),
+        matched,
         timestamp=F.coalesce(loose_iso_time(f[0]), ingest_time),
         method=f[5],
         path=F.when(absolute, url_path(bare)).otherwise(bare),
@@ -152,35 +155,31 @@ def _gateway_record(j: Column, ingest_time: Column) -> Column:
     )
 
 
-def _generic_json_record(j: Column, ingest_time: Column) -> Column:
-    method = non_empty(_first(j, METHOD_KEYS))
-    path = non_empty(_first(j, PATH_KEYS))
-    return _record(
-        j["_corrupt_record"].isNull() & method.isNotNull() & path.isNotNull(),
-        timestamp=F.coalesce(any_time(_first(j, TIME_KEYS)), ingest_time),
-        method=F.upper(method),
-        path=strip_query(path),
-        status_code=F.coalesce(_first(j, STATUS_KEYS).try_cast("int"), F.lit(0)),
-        source_ip=_first(j, IP_KEYS),
-        auth_method=auth_from_header(F.coalesce(_first(j, AUTH_KEYS), F.lit(""))),
-        response_time_ms=_first(j, LATENCY_KEYS).try_cast("double"),
-        host=_first(j, HOST_KEYS),
-        discovery_source=F.lit("log_generic"),
-    )
+def _generic_record(doc: Column, groups: Column, ingest_time: Column) -> Column:
+    """JSON and text lines end in the same raw fields, which are converted once for both."""
+    is_doc = doc.isNotNull()
+    matched, f = _matched(groups, 6)
 
+    def raw(keys: tuple[str, ...], group: Column | None) -> Column:
+        first = F.coalesce(*[doc[k] for k in keys])
+        return F.when(is_doc, first) if group is None else F.when(is_doc, first).otherwise(group)
 
-def _generic_text_record(f: Column, ingest_time: Column) -> Column:
-    value = f[4].try_cast("double")
-    # the unit is looked for in the five characters after the match, not in the match itself
-    seconds = f[5].contains("s") & ~f[5].contains("ms")
+    method, path = non_empty(raw(METHOD_KEYS, f[1])), non_empty(raw(PATH_KEYS, f[2]))
+    readable = F.when(is_doc, doc["_corrupt_record"].isNull() & method.isNotNull() & path.isNotNull()).otherwise(matched)
+    header = F.coalesce(*[doc[k] for k in AUTH_KEYS], F.lit(""))
+    latency = raw(LATENCY_KEYS, f[4]).try_cast("double")
+    # a text unit is looked for in the five characters after the match, not in the match itself
+    seconds = ~is_doc & f[5].contains("s") & ~f[5].contains("ms")
     return _record(
-        f.isNotNull(),
-        timestamp=F.coalesce(any_time(f[0]), ingest_time),
-        method=f[1],
-        path=strip_query(f[2]),
-        status_code=f[3],
-        auth_method=F.lit("unknown"),
-        response_time_ms=F.when(seconds, value * 1000).otherwise(value),
+        readable,
+        timestamp=F.coalesce(any_time(raw(TIME_KEYS, f[0])), ingest_time),
+        method=F.upper(method),
+        path=strip_query(path),
+        status_code=F.coalesce(raw(STATUS_KEYS, f[3]).try_cast("int"), F.lit(0)),
+        source_ip=raw(IP_KEYS, None),
+        auth_method=F.when(is_doc, auth_from_header(header)).otherwise("unknown"),
+        response_time_ms=F.when(seconds, latency * 1000).otherwise(latency),
+        host=raw(HOST_KEYS, None),
         discovery_source=F.lit("log_generic"),
     )
 
@@ -216,10 +215,7 @@ GENERIC = LogFormat(
         "doc": F.when(_is_json(line), _json(line, GENERIC_KEYS)),
         "text": F.when(~_is_json(line), _groups(line, TEXT_LINE + r"([\s\S]{0,5})", 6, anchored=False)),
     },
-    lambda parts, ingest_time: F.coalesce(
-        F.when(parts["doc"].isNotNull(), _generic_json_record(parts["doc"], ingest_time)),
-        F.when(parts["text"].isNotNull(), _generic_text_record(parts["text"], ingest_time)),
-    ),
+    lambda parts, ingest_time: _generic_record(parts["doc"], parts["text"], ingest_time),
 )
 
 # Register a format of your own by adding a LogFormat here.  The order of the first three breaks

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from routelens.functions import auth, paths, pytext, times
 from routelens.operators import network
+from routelens.plans.shared import materialize
 from workload import views
 from workload.registry import query, r6
 from workload.sql import ts
@@ -206,7 +207,7 @@ _OCTET = "CAST(split_part({c}, '.', 4) AS INTEGER)"
 def _(spark, d):
     rows = views.raw_traffic(spark, d)
     targets = rows.filter("source_ip is not null").select(F.concat("source_ip", F.lit("/30")).alias("target")).distinct()
-    return network.attribute_subnets(rows, targets)
+    return network.attribute_subnets(rows, materialize(targets, "targets"))
 
 
 @query(
@@ -219,4 +220,4 @@ def _(spark, d):
     rows = views.raw_traffic(spark, d)
     nets = rows.filter("source_ip is not null").select(F.concat("source_ip", F.lit("/29")).alias("target"))
     names = rows.filter("host like 'svc%'").select(F.col("host").alias("target"))
-    return network.expand_targets(nets.union(names).distinct())
+    return network.expand_targets(materialize(nets.union(names).distinct(), "targets"))
