@@ -20,7 +20,7 @@ def ip_text(number: Column) -> Column:
 def _network(ip: Column, prefix: Column) -> Column:
     """Network address of an address number under a prefix length."""
     size = F.pow(F.lit(2), 32 - prefix).cast("bigint")
-    return ip - F.pmod(ip, size)
+    return ip - F.try_mod(ip, size)
 
 
 def parse_targets(targets: DataFrame) -> DataFrame:
