@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.plans.shared import materialize
+from routelens.plans.shared import broadcast_if_small, materialize
 
 # Five failures since the last success lock an account for 15 minutes.
 LOCKOUT_FAILURES = 5
@@ -82,7 +82,8 @@ def login_state(audit: DataFrame) -> DataFrame:
         F.max(F.when(F.col("action") == "login_success", F.col("at"))).alias("last_login")
     )
     failed = logins.filter(F.col("action") == "login_failure").select("username", "at")
-    open_failures = failed.join(materialize(last, "last-login"), "username").filter(
+    last = materialize(last, "last-login")
+    open_failures = failed.join(broadcast_if_small(last), "username").filter(
         F.col("last_login").isNull() | (F.col("at") > F.col("last_login"))
     )
     counted = open_failures.groupBy("username").agg(

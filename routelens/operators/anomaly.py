@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from routelens.functions.paths import anomaly_source, endpoint_name, resource_id
 from routelens.functions.pytext import percent, whole
 from routelens.functions.times import seconds_between
-from routelens.plans.shared import materialize, top_k_per_group, union_all
+from routelens.plans.shared import broadcast_if_small, materialize, top_k_per_group, union_all
 
 # Detector thresholds and scores.
 TRAINING_WINDOW = 1000
@@ -135,8 +135,9 @@ def profile_summary(rows: DataFrame, training_window: int = TRAINING_WINDOW) ->
 def activity(rows: DataFrame, profiles: DataFrame | None = None, training: DataFrame | None = None) -> DataFrame:
     """Fold records to one row per (endpoint, source, resource id).
 
-    ``profiles`` is a written table (see ``score``), joined by plain equality.  Without profiles
-    nothing counts as scored, which is all the source and enumeration detectors need.
+    ``profiles`` has one row per endpoint and is joined by equality; ``score`` measures it for a
+    broadcast.  Without profiles nothing counts as scored, which is all the source and
+    enumeration detectors need.
     """
     all_rows = rows if training is None else training.unionByName(rows)
     analysed = F.col("ord.phase") == 1
@@ -389,7 +390,7 @@ def score(
 ) -> DataFrame:
     """Train, then fold the traffic to the activity table, written once for all detectors."""
     profiles = materialize(train_then_detect(rows, training, training_window), "profiles")
-    return materialize(activity(rows, profiles, training), "activity")
+    return materialize(activity(rows, broadcast_if_small(profiles), training), "activity")
 
 
 def detect(act: DataFrame, bola_threshold: int = BOLA_IDS, medium_rpm: float = RATE_MEDIUM_RPM,

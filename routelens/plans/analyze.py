@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from routelens.operators import alerts, inventory
 from routelens.plans.shared import materialize
-from routelens.schemas import ENDPOINT_PARTS, ENDPOINTS
+from routelens.schemas import ENDPOINTS
 from routelens.sources import logs, tables
 
 
@@ -47,21 +47,22 @@ def analyze_logs(
     its calls twice.
     """
     traffic = logs.with_pattern(logs.read_logs(spark, paths, as_of, log_format))
-    rows = traffic.drop("raw_line", "file_path").withColumn("dt", F.col("timestamp").cast("date"))
-    tables.write_batch(rows, f"{store}/traffic", batch_id)
-    written = spark.read.parquet(f"{store}/traffic/batch_id={batch_id}")
+    written = store_traffic(traffic, store, batch_id)
     return fold_batch(spark, written, store, as_of, batch_id, spec)
 
 
+def store_traffic(traffic: DataFrame, store: str, batch_id: int) -> DataFrame:
+    """Write a batch of traffic by day and continue from what was written."""
+    rows = traffic.drop("raw_line", "file_path").withColumn("dt", F.col("timestamp").cast("date"))
+    tables.write_batch(rows, f"{store}/traffic", batch_id, "dt")
+    return traffic.sparkSession.read.schema(rows.schema).parquet(f"{store}/traffic/batch_id={batch_id}")
+
+
 def fold_batch(
     spark: SparkSession, traffic: DataFrame, store: str, as_of: Column, batch_id: int, spec: DataFrame | None = None
 ) -> InventoryReport:
     """Merge one batch of traffic into the stored state and refresh endpoints and alerts."""
-    state = tables.read_snapshot(spark, f"{store}/parts", ENDPOINT_PARTS, before=batch_id)
-    merged = inventory.merge_parts(state, inventory.endpoint_parts(traffic))
-    tables.write_snapshot(merged, f"{store}/parts", batch_id)
-    current = tables.read_snapshot(spark, f"{store}/parts", ENDPOINT_PARTS, before=batch_id + 1)
-
+    current = tables.fold_state(f"{store}/parts", inventory.endpoint_parts(traffic), batch_id, inventory.merge_parts)
     stored = tables.read_snapshot(spark, f"{store}/endpoints", ENDPOINTS, before=batch_id)
     # what an earlier spec declared or deprecated stays so
     declared = stored.filter("declared_in_spec").select(

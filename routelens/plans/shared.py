@@ -2,9 +2,9 @@
 
 Intermediates that several steps read, or that cut the lineage of a loop, are written as Parquet
 into the folder named by ``spark.checkpoint.dir``.  They survive the loss of any executor, and a
-join with such a table is planned from its real size: Catalyst broadcasts it only when it is
-below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles, where AQE splits skewed
-partitions.
+join with such a table is planned from its real size: below ``autoBroadcastJoinThreshold``
+Catalyst broadcasts it, ``broadcast_if_small`` allows somewhat more after measuring it, and
+anything larger is shuffled, where AQE splits skewed partitions.
 """
 
 import tempfile
@@ -43,6 +43,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# A table may be broadcast up to this many rows and this many bytes of Parquet.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(written: DataFrame) -> DataFrame:
+    """Mark a written table for broadcast when its measured rows and bytes allow it.
+
+    Worth it where the other side is raw log data, which would otherwise be shuffled.  Both
+    measurements come from file metadata.  A larger table is returned as it is: the join then
+    shuffles, and AQE splits the partitions of hot keys.
+    """
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= BROADCAST_BYTES and written.count() <= BROADCAST_ROWS:
+        return F.broadcast(written)
+    return written
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelens.functions.paths import normalize_path
-from routelens.plans.shared import materialize
+from routelens.plans.shared import broadcast_if_small, materialize
 from routelens.schemas import TRAFFIC
 from routelens.sources.formats import FORMATS, SPECIFIC
 
@@ -57,7 +57,7 @@ def with_pattern(traffic: DataFrame, path_patterns: DataFrame | None = None) ->
         return traffic.withColumn("path_pattern", normalize_path(F.col("path")))
     table = materialize(path_patterns.select("path", F.col("path_pattern").alias("_known")), "patterns")
     return (
-        traffic.join(table, "path", "left")
+        traffic.join(broadcast_if_small(table), "path", "left")
         .withColumn("path_pattern", F.coalesce("_known", "path"))
         .drop("_known")
     )
@@ -123,6 +123,5 @@ def read_logs(
     lines = scan_lines(spark, paths)
     if log_format != "auto":
         return parse_lines(lines, log_format, ingest_time)
-    # one row per file; written first so that the join below is planned from its measured size
-    formats = materialize(detect_formats(head_lines(spark, paths)), "formats")
-    return parse_lines(lines.join(formats, "file_path"), F.col("log_format"), ingest_time).drop("log_format")
+    formats = materialize(detect_formats(head_lines(spark, paths)), "formats")  # one row per file
+    return parse_lines(lines.join(broadcast_if_small(formats), "file_path"), F.col("log_format"), ingest_time).drop("log_format")

@@ -2,8 +2,13 @@
 
 Snapshots are never overwritten in place.  Version ``v`` is written to its own folder and becomes
 visible through a one-row commit file, so readers and retries always see a complete version.
+
+State that adds up (``fold_state``) is kept as one small delta per batch on top of a snapshot that
+is renewed every few batches, so a batch writes about as much as it holds, not the whole state.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +30,9 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(rows: DataFrame, path: str, batch_id: int, *partition_by: str) -> None:
     """Write one batch into its own partition; a repeated batch replaces itself."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch_id={batch_id}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -70,6 +75,30 @@ def read_snapshot(spark: SparkSession, root: str, schema, before: int | None = N
     return spark.read.schema(schema).parquet(f"{root}/versions/{version}")
 
 
+# A new snapshot replaces the deltas after this many batches.
+COMPACT_EVERY = 20
+
+
+def fold_state(
+    root: str, batch: DataFrame, batch_id: int, merge: Callable[..., DataFrame], compact_every: int = COMPACT_EVERY
+) -> DataFrame:
+    """Add a batch to a state table and return the whole state, merged on read.
+
+    ``merge`` combines any number of states into one.  Only batches up to ``batch_id`` count, so
+    a batch that is run again sees the state it saw the first time.
+    """
+    spark, schema = batch.sparkSession, batch.schema
+    write_batch(batch, f"{root}/deltas", batch_id)
+    base = latest_version(spark, root, before=batch_id)
+    deltas = spark.read.schema(schema).parquet(f"{root}/deltas")  # batch_id comes from the folder names
+    newer = deltas.filter((F.col("batch_id") > (-1 if base is None else base)) & (F.col("batch_id") <= batch_id))
+    state = merge(read_snapshot(spark, root, schema, before=batch_id), newer.drop("batch_id"))
+    if batch_id - (-1 if base is None else base) < compact_every:
+        return state
+    write_snapshot(state, root, batch_id)
+    return read_snapshot(spark, root, schema, before=batch_id + 1)
+
+
 def write_json_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 

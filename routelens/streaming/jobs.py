@@ -6,8 +6,8 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from routelens.operators import anomaly, traffic as stats
 from routelens.operators.inventory import endpoint_parts
-from routelens.plans.analyze import fold_batch
-from routelens.plans.shared import materialize
+from routelens.plans.analyze import fold_batch, store_traffic
+from routelens.plans.shared import broadcast_if_small, materialize
 from routelens.sources import logs, tables
 
 # Poll interval of the log watcher.
@@ -41,9 +41,7 @@ def inventory_writer(
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.drop("raw_line", "file_path")
-        tables.write_batch(rows, f"{store}/traffic", batch_id)
-        written = spark.read.schema(rows.schema).parquet(f"{store}/traffic/batch_id={batch_id}")
+        written = store_traffic(batch, store, batch_id)
         spec = spark.read.parquet(spec_path) if spec_path else None
         report = fold_batch(spark, written, store, as_of(), batch_id, spec)
         progress = report.summary.withColumns(
@@ -76,22 +74,18 @@ def scoring_writer(
     known: DataFrame | None = None,
     once: bool = False,
 ) -> DataStreamWriter:
-    """Score every micro-batch against a fixed profile table and store its anomalies.
+    """Score every micro-batch against a fixed, written profile table and store its anomalies.
 
     The state is the activity table, which adds up over batches, so ids and consumers of earlier
     batches (and of ``known``, the activity of a training set) count.  A replayed batch starts
     from the state before itself.  Per-source rates and failure shares are those of the batch.
     """
-    empty = anomaly.activity(anomaly.observations(traffic.sparkSession.createDataFrame([], traffic.schema)), profiles)
-    schema = empty.schema
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = materialize(anomaly.activity(anomaly.observations(batch), profiles), "activity")
-        state = tables.read_snapshot(spark, f"{store}/activity", schema, before=batch_id)
-        parts = [new, state] if known is None or batch_id > 0 else [new, known]
-        tables.write_snapshot(anomaly.merge_activity(*parts), f"{store}/activity", batch_id)
-        total = tables.read_snapshot(spark, f"{store}/activity", schema, before=batch_id + 1)
+        table = broadcast_if_small(profiles)
+        new = materialize(anomaly.activity(anomaly.observations(batch), table), "activity")
+        state = new if known is None or batch_id > 0 else anomaly.merge_activity(new, known)
+        total = tables.fold_state(f"{store}/activity", state, batch_id, anomaly.merge_activity)
         tables.write_batch(anomaly.detect(total, by_source=new), f"{store}/anomalies", batch_id)
 
     return _trigger(traffic.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint), once)

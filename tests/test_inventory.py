@@ -191,3 +191,52 @@ def test_analyze_logs_end_to_end(spark, tmp_path):
     assert report.summary.first().shadow_endpoints == 1
     again = analyze.analyze_logs(spark, str(tmp_path / "a.log"), str(tmp_path / "store"), as_of(), batch_id=0)
     assert again.endpoints.first().total_calls == 9
+
+
+def test_state_is_compacted_and_replayed(spark, tmp_path):
+    records = random_records(12, 120)
+    root = str(tmp_path / "parts")
+    want = inventory.build_endpoints(frame(spark, records)).select("endpoint_id", "total_calls", "consumer_count")
+    for batch in (0, 1, 2, 3, 3):
+        part = inventory.endpoint_parts(frame(spark, records[batch::4]))
+        state = tables.fold_state(root, part, batch, inventory.merge_parts, compact_every=2)
+    got = inventory.endpoints_from_parts(state).select("endpoint_id", "total_calls", "consumer_count")
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert tables.latest_version(spark, root) == 3 and tables.latest_version(spark, root, before=3) == 1
+    # batch 2 again: later batches do not leak into it
+    again = tables.fold_state(root, inventory.endpoint_parts(frame(spark, records[2::4])), 2, inventory.merge_parts, compact_every=2)
+    assert again.agg(F.sum("calls")).first()[0] == 90
+
+
+def test_broadcast_is_decided_by_measured_size(spark, monkeypatch):
+    from routelens.plans import shared
+
+    table = shared.materialize(spark.range(1000).withColumnRenamed("id", "k"), "small")
+    other = spark.range(50).withColumnRenamed("id", "k")
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "strategy=broadcast" in plan(other.join(shared.broadcast_if_small(table), "k"))
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 999)
+    assert "strategy=broadcast" not in plan(other.join(shared.broadcast_if_small(table), "k"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from routelens.plans import shared
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        shared.shared_folder(Session())
