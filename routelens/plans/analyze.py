@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from routelens.operators import alerts, inventory
-from routelens.plans.shared import materialize
 from routelens.schemas import ENDPOINTS
 from routelens.sources import logs, tables
 
@@ -74,7 +73,7 @@ def fold_batch(
     tables.write_snapshot(inventory.upsert_endpoints(stored, fresh.endpoints), f"{store}/endpoints", batch_id)
     endpoints = tables.read_snapshot(spark, f"{store}/endpoints", ENDPOINTS, before=batch_id + 1)
 
-    raised = materialize(alerts.generate_alerts(endpoints, as_of), "alerts")
+    raised = alerts.generate_alerts(endpoints, as_of)
     old = tables.read_if_exists(spark, f"{store}/alerts", raised.schema.add("batch_id", T.IntegerType()))
     new = alerts.unseen_alerts(raised, old.filter(F.col("batch_id") < batch_id))
     tables.write_batch(new, f"{store}/alerts", batch_id)

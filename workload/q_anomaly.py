@@ -57,8 +57,8 @@ def _(spark, d):
 
 @query(
     "d18_train_profiles",
-    f"""SELECT method, path_pattern, count(*) AS sample_count, round(coalesce(avg(latency), 0), 6) AS avg_latency,
-    round(coalesce(stddev_pop(latency), 0), 6) AS std_latency, count(*) >= 1000 AS is_trained FROM obs GROUP BY method, path_pattern""",
+    f"""SELECT method, path_pattern, count(*) AS sample_count, round(coalesce(avg(latency), 0) + 1e-9, 6) AS avg_latency,
+    round(coalesce(stddev_pop(latency), 0) + 1e-9, 6) AS std_latency, count(*) >= 1000 AS is_trained FROM obs GROUP BY method, path_pattern""",
 )
 def _(spark, d):
     return anomaly.train(observed(spark, d)).select(
@@ -106,7 +106,7 @@ def _(spark, d):
     return anomaly.profile_summary(observed(spark, d)).select("endpoint", "sample_count")
 
 
-_STUFFING = """SELECT 'multiple' AS endpoint, source, 'critical' AS severity, round(failed / n, 6) AS score, strftime(hi, '%Y-%m-%d %H:%M:%S.%f') AS "timestamp",
+_STUFFING = """SELECT 'multiple' AS endpoint, source, 'critical' AS severity, round(failed / n + 1e-9, 6) AS score, strftime(hi, '%Y-%m-%d %H:%M:%S.%f') AS "timestamp",
     'Possible credential stuffing from ' || source || ': ' || failed || '/' || n || ' requests failed auth (' || printf('%.0f', failed / n * 100) || '%)' AS message
     FROM bysource WHERE n >= 10 AND failed / n > 0.8"""
 
@@ -121,7 +121,7 @@ _RPM = "(n / (us / 1000000.0 / 60))"
 
 def _rate_sql(medium: float, high: float) -> str:
     return f"""SELECT 'multiple' AS endpoint, source, CASE WHEN {_RPM} > {high} THEN 'high' ELSE 'medium' END AS severity,
-    round(least({_RPM} / 1000, 1.0), 6) AS score, strftime(hi, '%Y-%m-%d %H:%M:%S.%f') AS "timestamp",
+    round(least({_RPM} / 1000, 1.0) + 1e-9, 6) AS score, strftime(hi, '%Y-%m-%d %H:%M:%S.%f') AS "timestamp",
     'High request rate from ' || source || ': ' || printf('%.0f', {_RPM}) || ' requests/min over ' || printf('%.0f', us / 1000000.0) || 's' AS message
     FROM bysource WHERE n >= 5 AND us > 0 AND {_RPM} > {medium}"""
 
@@ -132,7 +132,7 @@ def _(spark, d):
     return _shown(anomaly.rate_anomalies(unscored(spark, d), 0.001, 0.02))
 
 
-_ENUMS = """SELECT endpoint, source, 'high' AS severity, round(seq / (total - 1), 6) AS score, NULL AS "timestamp",
+_ENUMS = """SELECT endpoint, source, 'high' AS severity, round(seq / (total - 1) + 1e-9, 6) AS score, NULL AS "timestamp",
     'Sequential ID enumeration detected from ' || source || ' on ' || endpoint || ': ' || total || ' IDs, ' || seq || '/' || (total - 1) || ' sequential' AS message
     FROM enums"""
 
@@ -145,7 +145,7 @@ def _(spark, d):
     return _shown(anomaly.enumeration(unscored(spark, d)), "total_ids", "id_range")
 
 
-_BOLA = f"""SELECT b.endpoint, b.source, 'critical' AS severity, round(least(ids / 100.0, 1.0), 6) AS score, {ts('tm')} AS "timestamp",
+_BOLA = f"""SELECT b.endpoint, b.source, 'critical' AS severity, round(least(ids / 100.0, 1.0) + 1e-9, 6) AS score, {ts('tm')} AS "timestamp",
     'Possible BOLA attack: ' || b.source || ' has accessed ' || ids::BIGINT || ' unique resource IDs on ' || b.endpoint AS message
     FROM bola b"""
 
@@ -186,7 +186,7 @@ def _(spark, d):
 
 @query(
     "e4_train_then_detect",
-    f"""SELECT p.endpoint, sample_count, trained AS is_trained, round(mean, 6) AS avg_latency, round(dev, 6) AS std_latency,
+    f"""SELECT p.endpoint, sample_count, trained AS is_trained, round(mean + 1e-9, 6) AS avg_latency, round(dev + 1e-9, 6) AS std_latency,
     {ts('max(tm)')} AS cut FROM prof p JOIN ranked r ON r.endpoint = p.endpoint AND n <= {WINDOW} GROUP BY ALL""",
 )
 def _(spark, d):
@@ -197,7 +197,7 @@ def _(spark, d):
     )
 
 
-_OUTLIERS = f"""SELECT endpoint, source, 'high' AS severity, round(least(z / 10, 1.0), 6) AS score, {ts('tm')} AS "timestamp",
+_OUTLIERS = f"""SELECT endpoint, source, 'high' AS severity, round(least(z / 10, 1.0) + 1e-9, 6) AS score, {ts('tm')} AS "timestamp",
     'Unusual response time on ' || endpoint || ': ' || printf('%.0f', latency) || 'ms vs avg ' || printf('%.0f', mean) || 'ms (' ||
     printf('%.1f', z) || ' std devs) — possible data exfiltration' AS message FROM outliers"""
 

@@ -66,8 +66,8 @@ def _(spark, d):
     return egress.drop_internal(_hosts(spark, d), own)
 
 
-_PARTY = f"""SELECT host, provider_name, total_calls, error_count, round(error_count / total_calls, 6) AS error_rate,
-    {ts('first_seen')} AS first_seen, {ts('last_seen')} AS last_seen, round(avg_ms, 6) AS avg_latency_ms,
+_PARTY = f"""SELECT host, provider_name, total_calls, error_count, round(error_count / total_calls + 1e-9, 6) AS error_rate,
+    {ts('first_seen')} AS first_seen, {ts('last_seen')} AS last_seen, round(avg_ms + 1e-9, 6) AS avg_latency_ms,
     array_to_string(methods, ',') AS methods, callers AS caller_count, CASE WHEN provider_name = 'Unknown' THEN 'medium' ELSE 'low' END AS risk_level
     FROM parties"""
 

@@ -56,7 +56,7 @@ def _(spark, d):
     return nodes.join(graph.in_degree(edges), "name").select("name", "total_calls", "in_degree")
 
 
-_NODES = "SELECT name, host, endpoint_count, total_calls, round(error_rate, 6) AS error_rate FROM nodes"
+_NODES = "SELECT name, host, endpoint_count, total_calls, round(error_rate + 1e-9, 6) AS error_rate FROM nodes"
 _EDGES = "SELECT source, target, call_count, error_count, array_to_string(methods, ',') AS methods FROM edges"
 
 
@@ -85,8 +85,8 @@ def _(spark, d):
 
 @query(
     "d27_egress_graph",
-    """SELECT 'node' AS kind, name, NULL AS target, total_calls AS calls, round(error_rate, 6) AS rate, risk FROM enodes
-    UNION ALL SELECT 'edge', source, target, call_count, round(error_count / call_count, 6), NULL FROM eedges""",
+    """SELECT 'node' AS kind, name, NULL AS target, total_calls AS calls, round(error_rate + 1e-9, 6) AS rate, risk FROM enodes
+    UNION ALL SELECT 'edge', source, target, call_count, round(error_count / call_count + 1e-9, 6), NULL FROM eedges""",
 )
 def _(spark, d):
     both = _egress(spark, d)

@@ -155,7 +155,7 @@ def _(spark, d):
 
 _ENDPOINT = f"""endpoint_id, method, path_pattern, host, array_to_string(auth, ',') AS auth_methods_seen,
     array_to_string(sources, ',') AS discovery_sources, consumer_count, {ts('first_seen')} AS first_seen,
-    {ts('last_seen')} AS last_seen, total_calls, error_count, round(avg_ms, 6) AS avg_response_time_ms"""
+    {ts('last_seen')} AS last_seen, total_calls, error_count, round(avg_ms + 1e-9, 6) AS avg_response_time_ms"""
 
 
 def _endpoint_columns():
@@ -204,7 +204,7 @@ def _(spark, d):
 
 @query(
     "d2_running_average",
-    f"""SELECT endpoint_id, round(sum(CASE WHEN q = 1 THEN x ELSE x / n END * exp(coalesce(later, 0))), 6) AS running_avg_ms FROM (
+    f"""SELECT endpoint_id, round(sum(CASE WHEN q = 1 THEN x ELSE x / n END * exp(coalesce(later, 0))) + 1e-9, 6) AS running_avg_ms FROM (
     SELECT *, sum(CASE WHEN q = 1 THEN 0 ELSE ln((n - 1) / n) END) OVER (PARTITION BY endpoint_id ORDER BY n DESC
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM (
     SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY n) AS q FROM (
@@ -216,7 +216,7 @@ def _(spark, d):
     return inventory.running_average(views.traffic(spark, d)).select("endpoint_id", r6("running_avg_ms"))
 
 
-@query("d3_error_rate", "SELECT endpoint_id, round(CASE WHEN total_calls > 0 THEN error_count / total_calls ELSE 0 END, 6) AS error_rate FROM ep")
+@query("d3_error_rate", "SELECT endpoint_id, round(CASE WHEN total_calls > 0 THEN error_count / total_calls ELSE 0 END + 1e-9, 6) AS error_rate FROM ep")
 def _(spark, d):
     rate = inventory.error_rate(F.col("error_count"), F.col("total_calls"))
     return classified(spark, d).select("endpoint_id", r6(rate, "error_rate"))

@@ -116,7 +116,7 @@ def _(spark, d):
 @query(
     "k12_time_arithmetic",
     f"""SELECT user_id, {ts("date_trunc('hour', min(ts))")} AS first_hour, {ts('max(ts) - INTERVAL 36 HOUR')} AS earlier,
-    round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0, 6) AS seconds FROM events GROUP BY user_id""",
+    round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 + 1e-9, 6) AS seconds FROM events GROUP BY user_id""",
 )
 def _(spark, d):
     spans = views.events(spark, d).groupBy("user_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))

@@ -22,7 +22,7 @@ def _parsed(df):
 
 def _expected(name: str) -> str:
     return f"""SELECT method, path, status_code, source_ip, auth_method, auth_subject, host,
-        round(response_time_ms, 6) AS response_time_ms, discovery_source, strftime(sec, '%Y-%m-%d %H:%M:%S') AS at
+        round(response_time_ms + 1e-9, 6) AS response_time_ms, discovery_source, strftime(sec, '%Y-%m-%d %H:%M:%S') AS at
         FROM {name}"""
 
 

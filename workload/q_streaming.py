@@ -63,11 +63,14 @@ def _(spark, d):
     "SELECT method, host, path_pattern, coalesce(auth_subject, source_ip, source_service) AS consumer, count(*) AS calls FROM traffic GROUP BY ALL",
 )
 def _(spark, d):
-    out, state = "l3_" + scratch_path(spark, "q").rsplit("-", 1)[-1], scratch_path(spark, "stream-state")
-    kept = jobs.running_inventory(views.traffic_stream(spark, d))
-    writer = kept.writeStream.format("memory").queryName(out).outputMode("complete").option("checkpointLocation", state)
-    _run(writer.trigger(availableNow=True))
-    return spark.table(out).select("method", "host", "path_pattern", "consumer", "calls")
+    out, state = scratch_path(spark, "running"), scratch_path(spark, "stream-state")
+
+    def keep(batch, _batch_id):  # complete mode: every batch holds the whole state
+        batch.write.mode("overwrite").parquet(out)
+
+    kept = jobs.running_inventory(views.traffic_stream(spark, d)).writeStream.outputMode("complete").foreachBatch(keep)
+    _run(kept.option("checkpointLocation", state).trigger(availableNow=True))
+    return spark.read.parquet(out).select("method", "host", "path_pattern", "consumer", "calls")
 
 
 @query("l4_state_recovery", "SELECT endpoint_id, total_calls, error_count, consumer_count FROM inv")

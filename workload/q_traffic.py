@@ -81,7 +81,7 @@ def _(spark, d):
 
 @query(
     "d8_top_endpoints",
-    f"""SELECT path_pattern, method, count(*) AS calls, round(avg(response_time_ms), 6) AS avg_latency FROM {_RECENT}
+    f"""SELECT path_pattern, method, count(*) AS calls, round(avg(response_time_ms) + 1e-9, 6) AS avg_latency FROM {_RECENT}
     GROUP BY path_pattern, method ORDER BY calls DESC, path_pattern, method LIMIT 10""",
 )
 def _(spark, d):
@@ -98,7 +98,7 @@ def _(spark, d):
 
 
 _BUCKET = f"""SELECT {ts('bucket')} AS bucket, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors,
-    round(avg(response_time_ms), 6) AS avg_latency FROM (SELECT *, %s AS bucket FROM traffic) GROUP BY 1"""
+    round(avg(response_time_ms) + 1e-9, 6) AS avg_latency FROM (SELECT *, %s AS bucket FROM traffic) GROUP BY 1"""
 HOURLY = _BUCKET.replace("%s", "date_trunc('hour', \"timestamp\")")
 
 
@@ -145,13 +145,13 @@ _BOUNDS = "0.005 0.01 0.025 0.05 0.1 0.25 0.5 1.0 2.5 5.0 10.0".split()
 @query(
     "d14_latency_histogram",
     f"""SELECT method, path_pattern, le, count(*) FILTER (response_time_ms / 1000 <= bound) AS cumulative_count,
-    round(sum(response_time_ms / 1000), 6) AS sum_seconds, count(*) AS total_count FROM traffic,
+    round(sum(response_time_ms / 1000) + 1e-9, 6) AS sum_seconds, count(*) AS total_count FROM traffic,
     (VALUES {', '.join(f"('{b}', {b}::DOUBLE)" for b in _BOUNDS)}, ('+Inf', 1e300)) b(le, bound)
     WHERE response_time_ms IS NOT NULL GROUP BY method, path_pattern, le""",
 )
 def _(spark, d):
     rows = stats.latency_histogram(views.traffic(spark, d))
-    return rows.withColumn("sum_seconds", F.round("sum_seconds", 6))
+    return rows.withColumn("sum_seconds", r6("sum_seconds"))
 
 
 @query(
