@@ -138,6 +138,9 @@ def activity(rows: DataFrame, profiles: DataFrame | None = None, training: DataF
     ``profiles`` has one row per endpoint and is joined by equality; ``score`` measures it for a
     broadcast.  Without profiles nothing counts as scored, which is all the source and
     enumeration detectors need.
+
+    Write the result before running detectors on it: their filters would otherwise be moved below
+    the aggregation and evaluate paths and ids again on every raw row.
     """
     all_rows = rows if training is None else training.unionByName(rows)
     analysed = F.col("ord.phase") == 1

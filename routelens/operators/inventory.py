@@ -125,8 +125,10 @@ def running_average(traffic: DataFrame) -> DataFrame:
             "b": F.when(first, F.col("response_time_ms")).otherwise(F.col("response_time_ms") / F.col("n")),
         }
     )
-    chunk = Window.partitionBy("endpoint_id", "_chunk").orderBy("n")
-    later = F.sum("log_a").over(chunk.rowsBetween(1, Window.unboundedFollowing))
+    # latest rows first: a frame that ends in the past is summed in one pass, while one that ends at
+    # the last row is summed anew for every row
+    latest_first = Window.partitionBy("endpoint_id", "_chunk").orderBy(F.desc("n"))
+    later = F.sum("log_a").over(latest_first.rowsBetween(Window.unboundedPreceding, -1))
     weighted = steps.withColumn("wb", F.col("b") * F.exp(F.coalesce(later, F.lit(0.0))))
     pairs = weighted.groupBy("endpoint_id", "_chunk").agg(
         F.exp(F.sum("log_a")).alias("a"), F.sum("wb").alias("b")

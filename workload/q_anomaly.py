@@ -19,7 +19,7 @@ def scored(spark, d, window: int = WINDOW):
 
 
 def unscored(spark, d):
-    return anomaly.activity(observed(spark, d))
+    return materialize(anomaly.activity(observed(spark, d)), "activity")
 
 
 @query("b18_resource_id", "SELECT method, path_pattern, rid AS resource_id, count(*) AS calls FROM obs GROUP BY ALL")
