@@ -1,11 +1,21 @@
 """Operators for building training data, and their queries with SQL where SQL can state the result."""
 
-from routelens.llm import op3_kd_shards, op8_systematic_mixing, op9_block_naming
+from routelens.llm import (
+    op3_kd_shards,
+    op4_minmax_dedup,
+    op5_minimum_slack_packing,
+    op8_systematic_mixing,
+    op9_block_naming,
+    op10_transducer_counts,
+)
 
 QUERIES = {
     "op3_kd_shards": op3_kd_shards.op3_kd_shards,
+    "op4_minmax_dedup": op4_minmax_dedup.op4_minmax_dedup,
+    "op5_minimum_slack_packing": op5_minimum_slack_packing.op5_minimum_slack_packing,
     "op8_systematic_mixing": op8_systematic_mixing.op8_systematic_mixing,
     "op9_block_naming": op9_block_naming.op9_block_naming,
+    "op10_transducer_counts": op10_transducer_counts.op10_transducer_counts,
 }
 EXPECTED = {
     "op8_systematic_mixing": op8_systematic_mixing.SQL,

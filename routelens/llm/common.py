@@ -1,7 +1,10 @@
 """Plan helpers that several operators share."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from routelens.plans.shared import materialize
 
@@ -51,3 +54,37 @@ def _on(df: DataFrame, keys: list[str]) -> Column:
     for k in keys:
         on = on & df[k].eqNullSafe(F.col(f"_r_{k}"))
     return on
+
+
+def with_text_columns(df: DataFrame, fn, fields: str, text: str = "text") -> DataFrame:
+    """``df`` without its text, and with the columns that ``fn`` makes from lists of texts.
+
+    ``fn`` maps a list of strings (null is "") to a list of columns in the order of ``fields``, a DDL
+    string.  All other columns pass unread.  Runs on Arrow batches, a batch at a time.
+    """
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = StructType([*kept, *StructType.fromDDL(fields).fields])
+    target = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.names.index(text)).to_pylist()]
+            old = [batch.column(batch.schema.names.index(f.name)) for f in kept]
+            new = [pa.array(c, target.field(len(old) + i).type) for i, c in enumerate(fn(texts))]
+            columns = [c.cast(target.field(i).type) for i, c in enumerate(old)] + new
+            yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+    return df.mapInArrow(run, schema)
+
+
+def in_pieces(texts: list[str], most: int):
+    """Runs of texts of at most ``most`` characters together, or of one longer text."""
+    run, n = [], 0
+    for t in texts:
+        if run and n + len(t) > most:
+            yield run
+            run, n = [], 0
+        run.append(t)
+        n += len(t)
+    if run:
+        yield run

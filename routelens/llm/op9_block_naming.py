@@ -93,6 +93,7 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS, hash_of=F.xxha
     rows = identities(docs, block_chars, hash_of).withColumn("copy", F.row_number().over(again))
     rows = materialize(rows, "identities")
     groups = rows.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = materialize(groups, "groups")  # a table, so that the join can split a large group
     out = rows.join(groups, ["n_blocks", "name"])
     return out.select(
         "doc_id",
