@@ -4,6 +4,7 @@ from routelens.llm import (
     op3_kd_shards,
     op4_minmax_dedup,
     op5_minimum_slack_packing,
+    op6_radix_windows,
     op8_systematic_mixing,
     op9_block_naming,
     op10_transducer_counts,
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_kd_shards": op3_kd_shards.op3_kd_shards,
     "op4_minmax_dedup": op4_minmax_dedup.op4_minmax_dedup,
     "op5_minimum_slack_packing": op5_minimum_slack_packing.op5_minimum_slack_packing,
+    "op6_radix_windows": op6_radix_windows.op6_radix_windows,
     "op8_systematic_mixing": op8_systematic_mixing.op8_systematic_mixing,
     "op9_block_naming": op9_block_naming.op9_block_naming,
     "op10_transducer_counts": op10_transducer_counts.op10_transducer_counts,
