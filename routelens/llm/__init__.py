@@ -1,6 +1,7 @@
 """Operators for building training data, and their queries with SQL where SQL can state the result."""
 
 from routelens.llm import (
+    op1_gated_toxicity,
     op3_kd_shards,
     op4_minmax_dedup,
     op5_minimum_slack_packing,
@@ -11,6 +12,7 @@ from routelens.llm import (
 )
 
 QUERIES = {
+    "op1_gated_toxicity": op1_gated_toxicity.op1_gated_toxicity,
     "op3_kd_shards": op3_kd_shards.op3_kd_shards,
     "op4_minmax_dedup": op4_minmax_dedup.op4_minmax_dedup,
     "op5_minimum_slack_packing": op5_minimum_slack_packing.op5_minimum_slack_packing,
