@@ -2,10 +2,12 @@
 
 from routelens.llm import (
     op1_gated_toxicity,
+    op2_closed_syncmers,
     op3_kd_shards,
     op4_minmax_dedup,
     op5_minimum_slack_packing,
     op6_radix_windows,
+    op7_neighbour_quality,
     op8_systematic_mixing,
     op9_block_naming,
     op10_transducer_counts,
@@ -13,10 +15,12 @@ from routelens.llm import (
 
 QUERIES = {
     "op1_gated_toxicity": op1_gated_toxicity.op1_gated_toxicity,
+    "op2_closed_syncmers": op2_closed_syncmers.op2_closed_syncmers,
     "op3_kd_shards": op3_kd_shards.op3_kd_shards,
     "op4_minmax_dedup": op4_minmax_dedup.op4_minmax_dedup,
     "op5_minimum_slack_packing": op5_minimum_slack_packing.op5_minimum_slack_packing,
     "op6_radix_windows": op6_radix_windows.op6_radix_windows,
+    "op7_neighbour_quality": op7_neighbour_quality.op7_neighbour_quality,
     "op8_systematic_mixing": op8_systematic_mixing.op8_systematic_mixing,
     "op9_block_naming": op9_block_naming.op9_block_naming,
     "op10_transducer_counts": op10_transducer_counts.op10_transducer_counts,

@@ -56,13 +56,13 @@ def _on(df: DataFrame, keys: list[str]) -> Column:
     return on
 
 
-def with_text_columns(df: DataFrame, fn, fields: str, text: str = "text") -> DataFrame:
-    """``df`` without its text, and with the columns that ``fn`` makes from lists of texts.
+def with_text_columns(df: DataFrame, fn, fields: str, keep_text: bool = False, text: str = "text") -> DataFrame:
+    """``df`` without its text, or with it, and with the columns that ``fn`` makes from lists of texts.
 
     ``fn`` maps a list of strings (null is "") to a list of columns in the order of ``fields``, a DDL
     string.  All other columns pass unread.  Runs on Arrow batches, a batch at a time.
     """
-    kept = [f for f in df.schema.fields if f.name != text]
+    kept = [f for f in df.schema.fields if keep_text or f.name != text]
     schema = StructType([*kept, *StructType.fromDDL(fields).fields])
     target = to_arrow_schema(schema)
 

@@ -341,10 +341,10 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_by
     return train([r.text for r in rows], [r.label for r in rows])
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns, and text) with a score in place of text."""
+def scored(docs: DataFrame, model: Model, name: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs`` (any columns, and text) with a score, in place of text or beside it."""
     shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
-    return with_text_columns(docs, lambda texts: [_unpacked(shared.value).scores(texts)], "score double")
+    return with_text_columns(docs, lambda texts: [_unpacked(shared.value).scores(texts)], f"{name} double", keep_text)
 
 
 def held_out(parts: int, part: int):
@@ -359,6 +359,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, seen=None) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, seen=None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below the threshold."""
+    model = learned(docs, labels if seen is None else labels.filter(seen))
+    return scored(docs, model, "_toxicity_of_row", keep_text=True).filter(F.col("_toxicity_of_row") < THRESHOLD).drop("_toxicity_of_row")
+
+
 def op1_gated_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = toxicity(documents(spark, sf_dir), labels, ~held_out(3, 1))

@@ -12,15 +12,16 @@ connected classes, never all pairs.  Components of these links are the result.
 size is whole, costs the square of its classes only in comparisons, and is spread over many tasks.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing.  Rows that
-repeat a doc_id are one document in the links; a null doc_id counts as the greatest.  Other columns are
-not read by the groups; the filter keeps them.
+repeat a doc_id are one document in the links.  Rows with a null doc_id are one document for each text,
+greater than all others; a component of nothing else has a null component_id.  Other columns are not
+read by the groups; the filter keeps them.
 """
 
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelens.llm.common import documents, in_pieces, text_or_empty, with_text_columns
@@ -33,7 +34,8 @@ SHINGLE, PERCENT = 4, 80
 #: A block holds about so many shingles and classes, and a group two blocks.
 BLOCK_SHINGLES, BLOCK_CLASSES = 500_000, 2_000
 CHARS_AT_ONCE = 2_000_000
-NO_ID = 2**63 - 1
+#: Documents without a doc_id go by a number from here on, made of their text.
+NO_ID = 2**62
 _FACTORS = np.random.default_rng(7).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -130,11 +132,16 @@ def _links_of_group(percent: int):
     return compare
 
 
-def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    text = docs.select("doc_id", text_or_empty().alias("text"))
+def _id(docs: DataFrame) -> Column:
+    of_text = F.shiftrightunsigned(F.xxhash64(F.coalesce(docs["text"], F.lit(""))), 2).bitwiseOR(F.lit(NO_ID))
+    return F.coalesce(docs["doc_id"].cast("long"), of_text)
+
+
+def _rooted(docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """doc_id, id, n_shingles, root for every row of ``docs``: root is the least id that its id reaches."""
+    text = docs.select("doc_id", _id(docs).alias("id"), text_or_empty().alias("text"))
     rows = with_text_columns(text, _described(n), "n_shingles bigint, digest binary, keys array<bigint>")
-    rows = materialize(rows.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), "signatures")
+    rows = materialize(rows, "signatures")
 
     # The class of a set is its smallest document.
     sets = rows.filter("digest IS NOT NULL")
@@ -172,14 +179,19 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block
     labelled = classes.join(roots, "class_id", "left")
     labelled = materialize(labelled.select(F.col("digest").alias("of"), F.coalesce("root", "class_id").alias("root")), "labelled")
     out = rows.join(labelled, rows["digest"] == labelled["of"], "left")
-    component = F.when(F.coalesce("root", "id") != NO_ID, F.coalesce("root", "id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "id", "n_shingles", F.coalesce("root", "id").alias("root"))
+
+
+def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    out = _rooted(docs, n, percent, block)
+    component = F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id")
+    return out.select("doc_id", "n_shingles", component, (F.col("id") == F.col("root")).alias("kept"))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """class_id, shingles for the wanted classes, made again from a text of each class."""
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("class_id"), text_or_empty().alias("text"))
+    text = docs.select(_id(docs).alias("class_id"), text_or_empty().alias("text"))
     text = text.join(wanted, "class_id")
 
     def make(texts: list[str]) -> list:
@@ -191,10 +203,10 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay: the smallest doc_id of each component."""
-    groups = near_groups(docs, n, percent)
-    goes = materialize(groups.filter("NOT kept").select(F.col("doc_id").alias("_goes")), "near-copies")
-    return docs.join(goes, docs["doc_id"].eqNullSafe(goes["_goes"]), "left_anti")
+    """The rows of ``docs``, with all their columns, that stay: the least document of each component."""
+    goes = _rooted(docs, n, percent, BLOCK_SHINGLES).filter("id <> root").select(F.col("id").alias("_goes"))
+    goes = materialize(goes, "near-copies")
+    return docs.join(goes, _id(docs) == goes["_goes"], "left_anti")
 
 
 def op4_minmax_dedup(spark, sf_dir: str) -> DataFrame:
