@@ -192,7 +192,7 @@ def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """class_id, shingles for the wanted classes, made again from a text of each class."""
     text = docs.select(_id(docs).alias("class_id"), text_or_empty().alias("text"))
-    text = text.join(wanted, "class_id")
+    text = text.join(wanted.hint("merge"), "class_id")  # planned alike at every size: the wanted grow with the texts
 
     def make(texts: list[str]) -> list:
         sets = shingle_sets(texts, n)
