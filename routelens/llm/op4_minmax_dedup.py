@@ -32,7 +32,7 @@ from routelens.plans.shared import materialize
 PERMUTATIONS, BAND = 64, 4
 SHINGLE, PERCENT = 4, 80
 #: A block holds about so many shingles and classes, and a group two blocks.
-BLOCK_SHINGLES, BLOCK_CLASSES = 500_000, 2_000
+BLOCK_SHINGLES, BLOCK_CLASSES = 250_000, 500
 CHARS_AT_ONCE = 2_000_000
 #: Documents without a doc_id go by a number from here on, made of their text.
 NO_ID = 2**62
