@@ -5,17 +5,20 @@ order only through that depth, and groups that are still equal there are the rep
 are names (64-bit hashes) of byte runs.  Sorting every suffix would move the text hundreds of times over,
 so suffixes are sorted in bundles that no equality can cross:
 
-* The owner of a window is the place, among its first 256, whose 16 bytes hash least.  Equal windows have
+* The owner of a window is the place, among its first 300, whose 16 bytes hash least.  Equal windows have
   owners at the same place in them, so a bundle is all windows of one owner: a run of neighbours.
 * First pass: the digit is the name of the bytes that all windows of an owner hold.  Bundles alone with
   their first digit are done.  These are almost all.
 * Second pass: the digit is the name of all bytes of the bundle.  Where bundles of one first digit agree
   in it too, all their windows are repeated.
 * Last pass, only within first digits under which bundles differ, one bundle for each second digit: the
-  digit is the name of each window.  Windows in a group of two or more are repeated.
+  digit is the name of each window.  Windows in a group of two or more are repeated.  The bytes of
+  bundles of one first digit meet in a task that sorts their windows; where more than ``MOST_KINDS``
+  bundles differ under a first digit, each of their windows becomes a row and groups are counted instead.
 
 Groups are counted map-side before they are shuffled, and their members are found by joins that split
-large groups; nothing collects a group.  A document's own places are all that meets in one row.
+large groups; nothing collects a group of unbounded size.  A document's own places are all that meets in
+one row.  Texts travel compressed to their places.
 
 Null text counts as empty.  Texts shorter than a window lose nothing.  Rows that repeat doc_id and text
 are repeats of each other, as any others.  Empty tables give no rows; other columns are not read.
@@ -32,7 +35,8 @@ from routelens.llm.common import documents, in_pieces, text_or_empty
 from routelens.llm.words import mix
 from routelens.plans.shared import materialize
 
-WINDOW, OWNERS, GRAM = 400, 256, 16
+WINDOW, OWNERS, GRAM = 400, 300, 16
+MOST_KINDS = 4096
 BYTES_AT_ONCE = 2_000_000
 _BYTE = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0xD1342543DE82EF95
@@ -115,21 +119,99 @@ def _bundle_rows(window: int, owners: int, gram: int):
     return run
 
 
-def _window_rows(window: int):
+def _packed_rows(batches):
+    """doc_id, text_hash, text -> the text's UTF-8 bytes compressed, and their number."""
+    for batch in batches:
+        data = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+        packed = pa.array([pa.compress(d, "zstd", asbytes=True) if d else b"" for d in data], pa.binary())
+        sizes = pa.array([len(d) for d in data], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, sizes], names=[*_KEY, "packed", "n_bytes"])
+
+
+def _unpacked(packed: bytes, size: int) -> bytes:
+    return pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def _region_rows(window: int):
+    """packed, n_bytes, open -> the bytes of each open bundle."""
+
     def run(batches):
         for batch in batches:
-            out = []
-            for row, (text, open_) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            get = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n not in _KEY}
+            row, numbers, regions = [], [], []
+            for i, (packed, size, open_) in enumerate(zip(get["packed"], get["n_bytes"], get["open"], strict=True)):
+                data = _unpacked(packed, size)
                 for b in open_:
-                    part = RunNames(raw[b["lo"] : b["hi"] + window])
-                    at = np.arange(b["hi"] - b["lo"] + 1)
-                    names = part.names(at, at + window).view(np.int64)
-                    out.append((np.full(at.size, row), np.full(at.size, b["owner"]), at + b["lo"], np.full(at.size, b["one"]), names))
-            if out:
-                row, owner, start, one, name = (np.concatenate(c) for c in zip(*out, strict=True))
-                keys = [batch.column(i).take(pa.array(row)) for i in (0, 1)]
-                rest = [pa.array(owner.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(one), pa.array(name)]
+                    row.append(i)
+                    numbers.append((b["owner"], b["lo"], b["hi"], b["one"]))
+                    regions.append(data[b["lo"] : b["hi"] + window])
+            keys = [batch.column(i).take(pa.array(row, pa.int32())) for i in (0, 1)]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            columns = [pa.array([n[k] for n in numbers], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*keys, *columns, pa.array(regions, pa.binary())], names=[*_KEY, "owner", "lo", "hi", "one", "region"])
+
+    return run
+
+
+def _windows_of(batch: pa.RecordBatch, window: int) -> tuple:
+    """Of every window of the batch's regions: row, start in the text, place after the owner, name."""
+    owner, lo, hi = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3, 4))
+    regions = batch.column(6).to_pylist()
+    run = RunNames(np.frombuffer(b"".join(regions), np.uint8))
+    begin = np.cumsum([0, *(len(r) for r in regions)])[:-1]
+    count = hi - lo + 1
+    row = np.repeat(np.arange(count.size), count)
+    nth = np.arange(row.size) - np.repeat(np.cumsum(count) - count, count)
+    first = begin[row] + nth
+    start = lo[row] + nth
+    return row, start, start - owner[row], run.names(first, first + window)
+
+
+def _repeated_runs(window: int, bytes_at_once: int = 4 * BYTES_AT_ONCE):
+    """Regions sorted by first digit -> runs of windows that another region of the digit has at the same place."""
+
+    def resolve(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, start, place, name = _windows_of(batch, window)
+        one = batch.column(5).to_numpy(zero_copy_only=False).view(np.uint64)
+        digit = mix(mix(name + mix(one)[row]) * np.uint64(3) + place.astype(np.uint64))
+        order = np.argsort(digit, kind="stable")
+        same = np.concatenate(([False], digit[order][1:] == digit[order][:-1], [False]))
+        again = np.zeros(row.size, bool)
+        again[order] = same[1:] | same[:-1]
+        new = again & ~np.concatenate(([False], again[:-1] & (row[1:] == row[:-1])))
+        end = again & ~np.concatenate((again[1:] & (row[1:] == row[:-1]), [False]))
+        keys = [batch.column(i).take(pa.array(row[new])) for i in (0, 1)]
+        runs = [pa.array(start[x].astype(np.int32)) for x in (new, end)]
+        return pa.RecordBatch.from_arrays([*keys, *runs], names=[*_KEY, "lo", "hi"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size < bytes_at_once:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            one = whole["one"].to_numpy()
+            other = np.flatnonzero(one != one[-1])
+            last = int(other[-1]) + 1 if other.size else 0  # where the last digit, which may go on, begins
+            if last:
+                yield resolve(whole.slice(0, last).combine_chunks().to_batches()[0])
+            held = whole.slice(last).to_batches()
+            size = sum(b.nbytes for b in held)
+        if held and sum(b.num_rows for b in held):
+            yield resolve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def _window_rows(window: int):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                row, start, _, name = _windows_of(batch, window)
+                keys = [batch.column(i).take(pa.array(row)) for i in (0, 1, 2)]
+                rest = [pa.array(start.astype(np.int32)), batch.column(5).take(pa.array(row)), pa.array(name.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*keys, *rest], names=[*_KEY, "owner", "start", "one", "name"])
 
     return run
@@ -139,8 +221,8 @@ def _cut_rows(window: int):
     def run(batches):
         for batch in batches:
             size, removed, spans, digest = [], [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+            for packed, of, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                data = _unpacked(packed, of)
                 kept, at, n = [], 0, 0
                 end = -1
                 for lo, hi in sorted((x["lo"], x["hi"]) for x in found or ()):
@@ -162,19 +244,30 @@ def _cut_rows(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, owners: int = OWNERS, gram: int = GRAM) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _texts(docs).mapInArrow(_packed_rows, f"doc_id {kind}, text_hash bigint, packed binary, n_bytes bigint")
+
+
+def _at_texts(packed: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    places = places.withColumnsRenamed({k: f"_{k}" for k in _KEY})
+    return packed.join(places, packed["doc_id"].eqNullSafe(places["_doc_id"]) & (packed["text_hash"] == places["_text_hash"]), how)
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, owners: int = OWNERS, gram: int = GRAM, most_kinds: int = MOST_KINDS) -> DataFrame:
     """doc_id, text_hash, lo, hi: runs of places at which a window starts that also starts elsewhere."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
     key = f"doc_id {kind}, text_hash bigint"
-    found = text.mapInArrow(_bundle_rows(window, owners, gram), f"{key}, owner int, lo int, hi int, one bigint, two bigint")
-    found = materialize(found, "bundles")
+    found = _texts(docs).mapInArrow(_bundle_rows(window, owners, gram), f"{key}, owner int, lo int, hi int, one bigint, two bigint")
 
     first = found.groupBy("one").agg(F.count("*").alias("n")).filter("n > 1").select("one")
     found = materialize(found.join(materialize(first, "first-digits"), "one"), "same-first-digit")
 
-    second = ["one", F.col("owner") - F.col("lo"), F.col("hi") - F.col("lo"), "two"]
-    second = [F.col(c) if isinstance(c, str) else c.alias(n) for c, n in zip(second, ("one", "before", "width", "two"), strict=True)]
+    second = [F.col("one"), (F.col("owner") - F.col("lo")).alias("before"), (F.col("hi") - F.col("lo")).alias("width"), F.col("two")]
     member = F.struct(*_KEY, "owner", "lo", "hi")
     groups = materialize(found.groupBy(*second).agg(F.count("*").alias("n"), F.min(member).alias("member")), "second-digits")
     whole = groups.filter("n > 1").select(F.col("one").alias("_1"), F.col("before").alias("_2"), F.col("width").alias("_3"), F.col("two").alias("_4"))
@@ -183,13 +276,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, owners: int = OWNERS
     on = on & (found["owner"] - found["lo"] == whole["_2"]) & (found["hi"] - found["lo"] == whole["_3"])
     settled = found.join(whole, on, "left_semi").select(*_KEY, "lo", "hi")
 
-    mixed = groups.groupBy("one").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("one")
-    open_ = groups.join(materialize(mixed, "mixed-digits"), "one").select("one", "member.*")
-    open_ = open_.groupBy(*_KEY).agg(F.collect_list(F.struct("owner", "lo", "hi", "one")).alias("open"))
-    open_ = materialize(open_, "open-bundles").withColumnsRenamed({k: f"_{k}" for k in _KEY})
-    at = text["doc_id"].eqNullSafe(open_["_doc_id"]) & (text["text_hash"] == open_["_text_hash"])
-    read = text.join(open_, at).select(*_KEY, "text", "open")
-    windows = read.mapInArrow(_window_rows(window), f"{key}, owner int, start int, one bigint, name bigint")
+    mixed = groups.groupBy("one").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = materialize(mixed, "mixed-digits")
+    region = f"{key}, owner int, lo int, hi int, one bigint, region binary"
+
+    def regions(kinds: DataFrame) -> DataFrame:
+        open_ = groups.join(kinds.select("one"), "one").select("one", "member.*")
+        open_ = open_.groupBy(*_KEY).agg(F.collect_list(F.struct("owner", "lo", "hi", "one")).alias("open"))
+        read = _at_texts(_packed(docs), open_, "inner").select(*_KEY, "packed", "n_bytes", "open")
+        return read.mapInArrow(_region_rows(window), region)
+
+    few = regions(mixed.filter(F.col("kinds") <= most_kinds)).repartition("one").sortWithinPartitions("one")
+    runs = settled.unionByName(few.mapInArrow(_repeated_runs(window), f"{key}, lo int, hi int"))
+    many = mixed.filter(F.col("kinds") > most_kinds)
+    if many.isEmpty():
+        return runs
+
+    windows = regions(many).mapInArrow(_window_rows(window), f"{key}, owner int, start int, one bigint, name bigint")
     windows = materialize(windows, "windows")
     place = F.col("start") - F.col("owner")
     again = windows.groupBy("one", place.alias("place"), "name").agg(F.count("*").alias("n")).filter("n > 1")
@@ -198,18 +301,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, owners: int = OWNERS
     hit = windows.join(again, on, "left_semi").groupBy(*_KEY, "owner").agg(
         F.min("start").alias("lo"), F.max("start").alias("hi"), F.collect_set("start").alias("starts")
     )
-    runs = F.when(F.size("starts") == F.col("hi") - F.col("lo") + 1, F.array(F.struct("lo", "hi")))
-    runs = runs.otherwise(F.transform("starts", lambda s: F.struct(s.alias("lo"), s.alias("hi"))))
-    return settled.unionByName(hit.select(*_KEY, F.explode(runs).alias("run")).select(*_KEY, "run.lo", "run.hi"))
+    parts = F.when(F.size("starts") == F.col("hi") - F.col("lo") + 1, F.array(F.struct("lo", "hi")))
+    parts = parts.otherwise(F.transform("starts", lambda s: F.struct(s.alias("lo"), s.alias("hi"))))
+    return runs.unionByName(hit.select(*_KEY, F.explode(parts).alias("run")).select(*_KEY, "run.lo", "run.hi"))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, owners: int = OWNERS, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, owners: int = OWNERS, gram: int = GRAM, most_kinds: int = MOST_KINDS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
-    runs = repeated_windows(docs, window, owners, gram).groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    runs = materialize(runs, "runs").withColumnsRenamed({k: f"_{k}" for k in _KEY})
-    text = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    at = text["doc_id"].eqNullSafe(runs["_doc_id"]) & (text["text_hash"] == runs["_text_hash"])
-    out = text.join(runs, at, "left").select("doc_id", "text", "runs")
+    runs = repeated_windows(docs, window, owners, gram, most_kinds)
+    runs = materialize(runs.groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
+    out = _at_texts(_packed(docs), runs, "left").select("doc_id", "packed", "n_bytes", "runs")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return out.mapInArrow(_cut_rows(window), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 

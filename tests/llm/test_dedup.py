@@ -175,11 +175,22 @@ def test_repeated_windows_equal_all_suffixes(spark):
         rows.append((i, text))
     rows += rows[20:25]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for window, owners, gram in ((20, 8, 3), (33, 20, 4)):
-        got = Counter(tuple(r) for r in op6_radix_windows.without_repeats(df, window, owners, gram).collect())
+    for window, owners, gram, most_kinds in ((20, 8, 3, 4096), (20, 16, 5, 2), (33, 20, 4, 0)):
+        got = Counter(tuple(r) for r in op6_radix_windows.without_repeats(df, window, owners, gram, most_kinds).collect())
         assert got == windows_by_hand(rows, window)
 
 
+def test_regions_are_resolved_digit_by_digit(spark):
+    import pyarrow as pa
+
+    names = ["doc_id", "text_hash", "owner", "lo", "hi", "one", "region"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    rows = [(i, 0, 5, 3, 8, i // 2, b"abcdefghij") for i in range(40)]  # pairs of one digit: all windows repeat
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k]], t) for k, t in enumerate(kinds)], names=names) for r in rows]
+    out = [r for b in op6_radix_windows._repeated_runs(5, 300)(batches) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["lo"], r["hi"]) for r in out] == [(i, 3, 8) for i in range(40)]
+
+
 def test_repeated_windows_query_and_odd_rows(spark, sf, texts, odd, empty):
     got = Counter(tuple(r) for r in QUERIES["op6_radix_windows"](spark, sf).collect())
     assert got == windows_by_hand(list(texts.items()), 400)
