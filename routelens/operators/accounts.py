@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.plans.shared import broadcast_if_small, materialize
+from routelens.plans.shared import materialize, spread_join
 
 # Five failures since the last success lock an account for 15 minutes.
 LOCKOUT_FAILURES = 5
@@ -83,7 +83,7 @@ def login_state(audit: DataFrame) -> DataFrame:
     )
     failed = logins.filter(F.col("action") == "login_failure").select("username", "at")
     last = materialize(last, "last-login")
-    open_failures = failed.join(broadcast_if_small(last), "username").filter(
+    open_failures = spread_join(failed, last, ["username"], F.col("at.audit_id")).filter(
         F.col("last_login").isNull() | (F.col("at") > F.col("last_login"))
     )
     counted = open_failures.groupBy("username").agg(

@@ -1,10 +1,11 @@
 """Behavioural profiles and anomaly detection.
 
-The order of records matters (who trains a profile, who comes first), so every record carries
-``ord = struct(phase, timestamp, record_id)``: phase 0 is the explicit training set, phase 1 the
-analysed traffic.
+The order of records matters (who trains a profile, who comes first).  ``in_order`` sorts the narrow
+rows once by (phase, timestamp, record_id), phase 0 being the explicit training set, and numbers them:
+``seq`` is unique, so identical records are told apart too, and as it is one number every aggregation
+over raw rows keeps fixed-width values and hashes instead of sorting.
 
-Raw rows are read twice: once to train profiles, once to fold the traffic into an *activity*
+The ordered rows are read twice: once to train profiles, once to fold the traffic into an *activity*
 table with one row per (endpoint, source, resource id).  All six detectors work on that table.
 No detector orders or collects the rows of a group.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from routelens.functions.paths import anomaly_source, endpoint_name, resource_id
 from routelens.functions.pytext import percent, whole
 from routelens.functions.times import seconds_between
-from routelens.plans.shared import broadcast_if_small, materialize, top_k_per_group, union_all
+from routelens.plans.shared import broadcast_if_small, materialize, spread_join, top_k_per_group, union_all, with_index
 
 # Detector thresholds and scores.
 TRAINING_WINDOW = 1000
@@ -33,6 +34,9 @@ SAMPLE_IDS = 5
 
 ENDPOINT = ["method", "path_pattern"]
 PAIR = [*ENDPOINT, "source"]
+ORDER = ["phase", "timestamp", "record_id"]
+#: Runs of 2**20 consecutive numbers; batches of 2**40.
+RUN_BITS, BATCH_BITS = 20, 40
 
 
 def observations(traffic: DataFrame, phase: int = 1) -> DataFrame:
@@ -44,10 +48,26 @@ def observations(traffic: DataFrame, phase: int = 1) -> DataFrame:
         resource_id(F.col("path"), F.col("path_pattern")).alias("resource_id"),
         "status_code",
         F.col("response_time_ms").alias("latency"),
-        F.struct(F.lit(phase).alias("phase"), "timestamp", "record_id").alias("ord"),
+        F.lit(phase).alias("phase"),
+        "timestamp",
+        "record_id",
     )
 
 
+def in_order(rows: DataFrame, training: DataFrame | None = None, batch: int | None = None) -> DataFrame:
+    """The rows, after those of ``training``, written with their number ``seq``: ascending in order and unique.
+
+    With ``batch`` the numbers of a later batch are greater than all of an earlier one; -1 is for what was
+    known before the first.
+    """
+    all_rows = rows if training is None else training.unionByName(rows)
+    if batch is not None:
+        numbered = with_index(all_rows, ORDER, "seq")
+        return materialize(numbered.withColumn("seq", F.col("seq") + F.lit(batch * 2**BATCH_BITS)), "in-order")
+    placed = all_rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    return materialize(placed.withColumn("seq", F.monotonically_increasing_id()), "in-order")
+
+
 def _stats() -> list[Column]:
     return [
         F.count("*").alias("sample_count"),
@@ -65,24 +85,33 @@ def train(rows: DataFrame, training_window: int = TRAINING_WINDOW) -> DataFrame:
     return stats.withColumn("is_trained", F.col("sample_count") >= training_window)
 
 
-def train_then_detect(
-    rows: DataFrame, training: DataFrame | None = None, training_window: int = TRAINING_WINDOW
-) -> DataFrame:
-    """Profiles as they stand when detection starts, with ``cut``, the last training record.
+def train_then_detect(ordered: DataFrame, training_window: int = TRAINING_WINDOW) -> DataFrame:
+    """Profiles as they stand when detection starts, with ``cut``, the number of the last training record.
 
-    An endpoint whose training set is too small goes on training with its first analysed records
-    up to and including the one that fills the window; only later records are scored.  At most
-    ``training_window`` rows per endpoint reach the final aggregation.
+    All of an explicit training set (phase 0) trains.  An endpoint for which that is too small goes on
+    training with its first analysed records up to and including the one that fills the window; only
+    later records are scored.  Counts per (endpoint, run of records) tell in which run a window fills, so
+    only that run's records are ranked.
     """
-    order = [F.col("ord")]
-    if training is None:
-        learned = top_k_per_group(rows, ENDPOINT, order, training_window)
-    else:
-        seen = training.groupBy(*ENDPOINT).agg(F.count("*").alias("_seen"))
-        first = top_k_per_group(rows, ENDPOINT, order, training_window).join(seen, ENDPOINT, "left")
-        more = first.filter(F.col("_rank") <= training_window - F.coalesce("_seen", F.lit(0)))
-        learned = training.unionByName(more.select(*training.columns))
-    profiles = learned.groupBy(*ENDPOINT).agg(*_stats(), F.max("ord").alias("cut"))
+    run = F.shiftright("seq", RUN_BITS).alias("run")
+    rows = ordered.withColumn("run", run)
+    counts = rows.groupBy(*ENDPOINT, "run").agg(
+        F.count_if(F.col("phase") == 0).alias("given"), F.count_if(F.col("phase") == 1).alias("n")
+    )
+    earlier = Window.partitionBy(*ENDPOINT).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    need = F.greatest(F.lit(0), training_window - F.sum("given").over(Window.partitionBy(*ENDPOINT)))
+    take = F.least("n", need - F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    marks = counts.select(*ENDPOINT, "run", "n", take.alias("take")).filter("take > 0")
+    marks = materialize(marks, "training-runs")
+
+    first = rows.filter("phase = 1").join(broadcast_if_small(marks), [*ENDPOINT, "run"])
+    place = F.row_number().over(Window.partitionBy(*ENDPOINT, "run").orderBy("seq"))
+    part = first.filter("take < n").withColumn("place", place).filter("place <= take")
+    learned = union_all(
+        [x.select(*ENDPOINT, "latency", "timestamp", "seq") for x in (ordered.filter("phase = 0"), first.filter("take = n"), part)]
+    )
+    last = [F.max("seq").alias("cut"), F.max_by("timestamp", "seq").alias("cut_at")]
+    profiles = learned.groupBy(*ENDPOINT).agg(*_stats(), *last)
     return profiles.withColumn("is_trained", F.col("sample_count") >= training_window)
 
 
@@ -104,11 +133,13 @@ def known_resource_ids(rows: DataFrame) -> DataFrame:
 def profile_summary(rows: DataFrame, training_window: int = TRAINING_WINDOW) -> DataFrame:
     """Sample count, trained flag, mean latency, consumers and status map per endpoint.
 
-    One pass over the rows to the (endpoint, source, status) grain; the rest is rolled up from it.
+    One pass over the rows to the (endpoint, source, status) grain, which is written; the rest is
+    rolled up from it.
     """
     grain = rows.groupBy(*PAIR, "status_code").agg(
         F.count("*").alias("n"), F.sum("latency").alias("ms"), F.count("latency").alias("timed")
     )
+    grain = materialize(grain, "profile-grain")
     by_status = grain.groupBy(*ENDPOINT, "status_code").agg(F.sum("n").alias("n"))
     maps = by_status.groupBy(*ENDPOINT).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("status_code", "n")))).alias("status_codes")
@@ -132,38 +163,43 @@ def profile_summary(rows: DataFrame, training_window: int = TRAINING_WINDOW) ->
 # ── Activity ──
 
 
-def activity(rows: DataFrame, profiles: DataFrame | None = None, training: DataFrame | None = None) -> DataFrame:
+def activity(rows: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Fold records to one row per (endpoint, source, resource id).
 
-    ``profiles`` has one row per endpoint and is joined by equality; ``score`` measures it for a
-    broadcast.  Without profiles nothing counts as scored, which is all the source and
-    enumeration detectors need.
+    ``profiles``, a written table with one row per endpoint, says which records are scored; with it
+    the rows must come from ``in_order``.  A record whose endpoint has no profile is not scored, but
+    counts for the source and enumeration detectors as any other.  Without profiles nothing is scored.
 
     Write the result before running detectors on it: their filters would otherwise be moved below
     the aggregation and evaluate paths and ids again on every raw row.
     """
-    all_rows = rows if training is None else training.unionByName(rows)
-    analysed = F.col("ord.phase") == 1
+    analysed = F.col("phase") == 1
     if profiles is None:
-        scored, outlier, z = F.lit(False), F.lit(False), F.lit(0.0)
-        joined = all_rows.withColumns({"avg_latency": F.lit(0.0), "cut": F.col("ord")})
+        nothing = {"is_trained": F.lit(False), "avg_latency": F.lit(None).cast("double"), "std_latency": F.lit(None).cast("double")}
+        joined = rows.withColumns(nothing | {"cut": F.lit(0).cast("bigint"), "seq": F.lit(0).cast("bigint")})
     else:
-        wanted = profiles.select(*ENDPOINT, "is_trained", "avg_latency", "std_latency", "cut")
-        joined = all_rows.join(wanted, ENDPOINT)
-        scored = F.col("is_trained") & (F.col("ord") > F.col("cut"))
-        z = F.when(
-            F.col("std_latency") > 0, F.abs(F.col("latency") - F.col("avg_latency")) / F.col("std_latency")
-        )
-        outlier = scored & (z > OUTLIER_DEVIATIONS) & (F.col("latency") > F.col("avg_latency"))
-    shown = F.struct("ord", "latency", "avg_latency", z.alias("z"))
+        cut = F.col("cut") if "cut" in profiles.columns else F.lit(None).cast("bigint")
+        wanted = profiles.select(*ENDPOINT, "is_trained", "avg_latency", "std_latency", cut.alias("cut"))
+        joined = spread_join(rows, wanted, ENDPOINT, F.shiftright("seq", 10), "left")
+    after = F.col("cut").isNull() | (F.col("seq") > F.col("cut"))
+    scored = analysed & F.coalesce(F.col("is_trained") & after, F.lit(False))
+    z = F.when(F.col("std_latency") > 0, F.abs(F.col("latency") - F.col("avg_latency")) / F.col("std_latency"))
+    far = scored & (z > OUTLIER_DEVIATIONS) & (F.col("latency") > F.col("avg_latency"))
+    scored_seq, far_seq = F.when(scored, F.col("seq")), F.when(far, F.col("seq"))
     return joined.groupBy(*PAIR, "resource_id").agg(
         F.count_if(analysed).alias("requests"),
         F.count_if(analysed & F.col("status_code").isin(401, 403)).alias("auth_failures"),
-        F.min(F.when(analysed, F.col("ord.timestamp"))).alias("first_at"),
-        F.max(F.when(analysed, F.col("ord.timestamp"))).alias("last_at"),
-        F.min("ord").alias("first_ord"),
-        F.min(F.when(scored, F.col("ord"))).alias("first_scored"),
-        F.min(F.when(outlier, shown)).alias("outlier"),
+        F.min(F.when(analysed, F.col("timestamp"))).alias("first_at"),
+        F.max(F.when(analysed, F.col("timestamp"))).alias("last_at"),
+        F.min("seq").alias("first_seq"),
+        F.min_by("timestamp", "seq").alias("first_time"),
+        F.min(scored_seq).alias("first_scored"),
+        F.min_by("timestamp", scored_seq).alias("scored_time"),
+        F.min(far_seq).alias("outlier_seq"),
+        F.min_by("timestamp", far_seq).alias("outlier_time"),
+        F.min_by("latency", far_seq).alias("outlier_latency"),
+        F.max("avg_latency").alias("avg_latency"),
+        F.max("std_latency").alias("std_latency"),
     )
 
 
@@ -174,9 +210,15 @@ def merge_activity(*tables: DataFrame) -> DataFrame:
         F.sum("auth_failures").alias("auth_failures"),
         F.min("first_at").alias("first_at"),
         F.max("last_at").alias("last_at"),
-        F.min("first_ord").alias("first_ord"),
+        F.min("first_seq").alias("first_seq"),
+        F.min_by("first_time", "first_seq").alias("first_time"),
         F.min("first_scored").alias("first_scored"),
-        F.min("outlier").alias("outlier"),
+        F.min_by("scored_time", "first_scored").alias("scored_time"),
+        F.min("outlier_seq").alias("outlier_seq"),
+        F.min_by("outlier_time", "outlier_seq").alias("outlier_time"),
+        F.min_by("outlier_latency", "outlier_seq").alias("outlier_latency"),
+        F.max("avg_latency").alias("avg_latency"),
+        F.max("std_latency").alias("std_latency"),
     )
 
 
@@ -206,8 +248,14 @@ def _name() -> Column:
 
 def latency_outliers(act: DataFrame) -> DataFrame:
     """First scored response per (endpoint, source) more than three deviations above the mean."""
-    first = act.groupBy(*PAIR).agg(F.min("outlier").alias("o")).filter("o is not null")
-    seen, mean, z = F.col("o.latency"), F.col("o.avg_latency"), F.col("o.z")
+    first = act.filter("outlier_seq is not null").groupBy(*PAIR).agg(
+        F.min_by("outlier_latency", "outlier_seq").alias("seen"),
+        F.min_by("outlier_time", "outlier_seq").alias("at"),
+        F.max("avg_latency").alias("mean"),
+        F.max("std_latency").alias("deviation"),
+    )
+    seen, mean = F.col("seen"), F.col("mean")
+    z = F.abs(seen - mean) / F.col("deviation")
     message = F.concat(
         F.lit("Unusual response time on "), _name(), F.lit(": "), whole(seen), F.lit("ms vs avg "), whole(mean),
         F.lit("ms ("), F.format_string("%.1f", F.bround(z, 1)), F.lit(" std devs) — possible data exfiltration"),
@@ -215,7 +263,7 @@ def latency_outliers(act: DataFrame) -> DataFrame:
     details = {"observed_latency_ms": seen, "avg_latency_ms": mean, "z_score": F.round(z, 2)}
     return first.select(
         *_anomaly("data_exfiltration", "high", _name(), F.col("source"), message,
-                  F.least(z / 10, F.lit(1.0)), F.col("o.ord.timestamp"), details)
+                  F.least(z / 10, F.lit(1.0)), F.col("at"), details)
     )
 
 
@@ -227,23 +275,25 @@ def bola(act: DataFrame, threshold: int = BOLA_IDS) -> DataFrame:
     deciding id, or, when training had already passed the threshold, the first scored one.
     """
     ids = act.filter("resource_id is not null")
-    trained_id = F.col("first_scored").isNull() | (F.col("first_ord") < F.col("first_scored"))
+    trained_id = F.col("first_scored").isNull() | (F.col("first_seq") < F.col("first_scored"))
     pairs = ids.groupBy(*PAIR).agg(
         F.min("first_scored").alias("first_scored"),
+        F.min_by("scored_time", "first_scored").alias("scored_time"),
         F.count_if(trained_id).alias("trained_ids"),
         F.count("*").alias("all_ids"),
-        F.min(F.when(~trained_id, F.col("first_ord"))).alias("first_new"),
+        F.min(F.when(~trained_id, F.col("first_seq"))).alias("first_new"),
     )
     pairs = pairs.filter((F.col("all_ids") > threshold) & F.col("first_scored").isNotNull())
-    # the earliest threshold + 1 ids per pair; all later ids cannot move the alarm
-    early = top_k_per_group(ids.select(*PAIR, "resource_id", "first_ord"), PAIR, [F.col("first_ord")], threshold + 1)
+    # the earliest threshold + 1 ids of the pairs in question; all later ids cannot move the alarm
+    wanted = ids.select(*PAIR, "resource_id", "first_seq", "first_time").join(pairs.select(*PAIR), PAIR, "left_semi")
+    early = top_k_per_group(wanted, PAIR, [F.col("first_seq")], threshold + 1)
     crossing = early.groupBy(*PAIR).agg(
-        F.max(F.when(F.col("_rank") == threshold + 1, F.col("first_ord"))).alias("crossed"),
+        F.max(F.when(F.col("_rank") == threshold + 1, F.col("first_time"))).alias("crossed"),
         F.sort_array(F.collect_list(F.when(F.col("_rank") <= SAMPLE_IDS, F.struct("_rank", "resource_id")))).alias("s"),
     )
     found = pairs.join(crossing, PAIR)
     while_training = F.col("trained_ids") > threshold
-    fired = F.when(while_training, F.col("first_scored")).otherwise(F.col("crossed"))
+    fired = F.when(while_training, F.col("scored_time")).otherwise(F.col("crossed"))
     brings_new = F.when(F.col("first_new") == F.col("first_scored"), 1).otherwise(0)
     reached = F.when(while_training, F.col("trained_ids") + brings_new).otherwise(threshold + 1)
     message = F.concat(
@@ -254,18 +304,22 @@ def bola(act: DataFrame, threshold: int = BOLA_IDS) -> DataFrame:
     details = {"unique_ids_accessed": reached, "threshold": F.lit(threshold), "sample_ids": sample}
     return found.select(
         *_anomaly("bola", "critical", _name(), F.col("source"), message,
-                  F.least(reached / (threshold * 5), F.lit(1.0)), fired["timestamp"], details)
+                  F.least(reached / (threshold * 5), F.lit(1.0)), fired, details)
     )
 
 
 def new_consumers(act: DataFrame) -> DataFrame:
     """Sources whose very first record on a trained endpoint is a scored one."""
-    pairs = act.groupBy(*PAIR).agg(F.min("first_ord").alias("first_ord"), F.min("first_scored").alias("scored"))
-    new = pairs.filter(F.col("first_ord") == F.col("scored"))
+    pairs = act.groupBy(*PAIR).agg(
+        F.min("first_seq").alias("first_seq"),
+        F.min("first_scored").alias("scored"),
+        F.min_by("scored_time", "first_scored").alias("at"),
+    )
+    new = pairs.filter(F.col("first_seq") == F.col("scored"))
     message = F.concat(F.lit("New consumer "), F.col("source"), F.lit(" accessing "), _name())
     return new.select(
         *_anomaly("new_consumer", "low", _name(), F.col("source"), message,
-                  F.lit(NEW_CONSUMER_SCORE), F.col("scored.timestamp"), {})
+                  F.lit(NEW_CONSUMER_SCORE), F.col("at"), {})
     )
 
 
@@ -392,8 +446,9 @@ def score(
     rows: DataFrame, training: DataFrame | None = None, training_window: int = TRAINING_WINDOW
 ) -> DataFrame:
     """Train, then fold the traffic to the activity table, written once for all detectors."""
-    profiles = materialize(train_then_detect(rows, training, training_window), "profiles")
-    return materialize(activity(rows, broadcast_if_small(profiles), training), "activity")
+    ordered = in_order(rows, training)
+    profiles = materialize(train_then_detect(ordered, training_window), "profiles")
+    return materialize(activity(ordered, profiles), "activity")
 
 
 def detect(act: DataFrame, bola_threshold: int = BOLA_IDS, medium_rpm: float = RATE_MEDIUM_RPM,
@@ -423,25 +478,23 @@ def first_per_key(anomalies: DataFrame) -> DataFrame:
     return anomalies.groupBy("anomaly_type", "source", "endpoint").agg(first.alias("a")).select("a.*")
 
 
-def call_transitions(rows: DataFrame, slice_minutes: int = 60) -> DataFrame:
+def call_transitions(rows: DataFrame) -> DataFrame:
     """How often a source calls one endpoint right after another.
 
-    Offered as data only: nothing is detected from it.  Neighbours are looked up within
-    (source, time slice); across slices, the last call of a slice is paired with the first call
-    of the source's next slice.  So a source with most of the traffic is split by time.
+    Offered as data only: nothing is detected from it.  The calls are range-partitioned and sorted by
+    (source, time), so a source with most of the traffic spreads over many runs.  Neighbours are looked
+    up within runs; the first call of a run is paired with the last one of the source's run before it,
+    which takes two rows per run.
     """
-    calls = rows.select("source", _name().alias("endpoint"), "ord").withColumn(
-        "slice", F.window("ord.timestamp", f"{slice_minutes} minutes")["start"]
-    )
-    inside = Window.partitionBy("source", "slice").orderBy("ord")
-    paired = calls.select("source", F.lag("endpoint").over(inside).alias("previous"), "endpoint")
-    edges = calls.groupBy("source", "slice").agg(
-        F.min_by("endpoint", "ord").alias("first_call"), F.max_by("endpoint", "ord").alias("last_call")
-    )
-    across = edges.select(
-        "source",
-        F.lag("last_call").over(Window.partitionBy("source").orderBy("slice")).alias("previous"),
-        F.col("first_call").alias("endpoint"),
+    order = ["source", "timestamp", "record_id"]
+    calls = rows.select(*order, _name().alias("endpoint")).repartitionByRange(*order).sortWithinPartitions(*order)
+    calls = materialize(calls.select("source", "endpoint", F.monotonically_increasing_id().alias("seq")), "calls")
+    inside = Window.partitionBy("source", F.shiftright("seq", 16)).orderBy("seq")
+    paired = calls.select(
+        "source", "endpoint", "seq", F.lag("endpoint").over(inside).alias("previous"), F.lead("endpoint").over(inside).alias("next")
     )
-    moves = paired.unionByName(across).filter("previous is not null")
+    ends = paired.filter("previous is null or next is null")
+    before = F.lag("endpoint").over(Window.partitionBy("source").orderBy("seq"))
+    across = ends.withColumn("before", before).filter("previous is null").select("source", F.col("before").alias("previous"), "endpoint")
+    moves = paired.select("source", "previous", "endpoint").unionByName(across).filter("previous is not null")
     return moves.groupBy("source", "previous", "endpoint").agg(F.count("*").alias("transitions"))

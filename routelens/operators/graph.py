@@ -4,15 +4,13 @@
 small set; its paths are kept as rows of their own, only a sample is ever an array.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelens.functions.paths import consumer_node_name, non_empty
 from routelens.operators.egress import UNKNOWN_PROVIDER
 from routelens.operators.inventory import error_rate
-from routelens.plans.shared import materialize
+from routelens.plans.shared import materialize, union_all
 
 UNKNOWN_SERVICE = "unknown-service"
 # A single point of failure takes more than 30 % of all nodes with it.
@@ -166,33 +164,42 @@ def critical_services(nodes: DataFrame, edges: DataFrame, limit: int = CRITICAL_
     return nodes.join(in_degree(edges), "name").orderBy(F.desc("in_degree"), "name").limit(limit)
 
 
-def _reach(frontier: DataFrame, edges: DataFrame, key: list[str], max_rounds: int) -> DataFrame:
+#: Rounds that are kept as tables of their own before they are merged into one.
+MERGE_ROUNDS = 8
+
+
+def _reach(frontier: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """Semi-naive reverse closure of ``frontier(*key, node)``: ``(*key, node, depth)``.
 
-    Every round is written to the shared folder, so the plan stays flat, a lost executor costs
-    one round at most, and each join is planned from the measured size of the frontier.
+    It ends by itself, as each round must find rows never seen before.  Every round is written to
+    the shared folder and finished rounds are merged every few rounds, so the plan is as large at
+    any depth; a lost executor costs one round at most, and each join is planned from the measured
+    size of the frontier.
     """
     callers = edges.select(F.col("target").alias("node"), F.col("source").alias("caller"))
-    found = [materialize(frontier.withColumn("depth", F.lit(0)), "reach")]
-    for depth in range(1, max_rounds + 1):
-        seen = reduce(DataFrame.unionByName, found).select(*key, "node")
-        step = found[-1].select(*key, "node").join(callers, "node").select(*key, F.col("caller").alias("node"))
+    last = materialize(frontier.withColumn("depth", F.lit(0)), "reach")
+    found, depth = [last], 0
+    while True:
+        depth += 1
+        seen = union_all(found).select(*key, "node")
+        step = last.select(*key, "node").join(callers, "node").select(*key, F.col("caller").alias("node"))
         fresh = step.distinct().join(seen, [*key, "node"], "left_anti").withColumn("depth", F.lit(depth))
-        fresh = materialize(fresh, "reach")
-        if fresh.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        found.append(fresh)
-    raise RuntimeError(f"closure not complete after {max_rounds} rounds")
+        last = materialize(fresh, "reach")
+        if last.isEmpty():
+            return union_all(found)
+        found.append(last)
+        if len(found) > MERGE_ROUNDS:
+            found = [materialize(union_all(found), "reach-merged")]
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, service: str, max_rounds: int = 1000) -> DataFrame:
+def blast_radius(nodes: DataFrame, edges: DataFrame, service: str) -> DataFrame:
     """Everything that calls ``service`` directly or through others, with its distance.
 
     No rows when the service is not in the graph or nobody depends on it.
     """
     start = nodes.filter(F.col("name") == service).select(F.col("name").alias("node"))
     links = materialize(edges.select("source", "target").distinct(), "edges")
-    reached = _reach(start, links, [], max_rounds)
+    reached = _reach(start, links, [])
     return reached.filter("depth > 0").select(F.col("node").alias("affected"), "depth")
 
 
@@ -204,12 +211,13 @@ def blast_summary(radius: DataFrame, service: str) -> DataFrame:
     )
 
 
-def affected_counts(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def affected_counts(edges: DataFrame) -> DataFrame:
     """Blast-radius size of every called node: ``(name, affected_count)``.
 
     Closure rows exist only between *called* nodes (services).  Pure callers, usually the vast
     majority, are counted through groups: callers with exactly the same set of targets form one
-    group with a weight.  A set is identified by its size and two independent 64-bit hashes.
+    group with a weight.  Sets are grouped by size and hash; where the members of a group have more
+    different targets than one set holds, the hash has failed and each of them is a group.
     """
     links = materialize(edges.select("source", "target").distinct().filter("source <> target"), "edges")
     called = links.select(F.col("target").alias("node")).distinct()
@@ -217,14 +225,14 @@ def affected_counts(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     leaves = links.join(called.withColumnRenamed("node", "source"), "source", "left_anti")
 
     start = called.select(F.col("node").alias("root"), "node")
-    closure = _reach(start, inner, ["root"], max_rounds).select("root", "node")
-
-    sets = leaves.groupBy("source").agg(
-        F.count("*").alias("size"),
-        F.bit_xor(F.xxhash64("target")).alias("h1"),
-        F.bit_xor(F.xxhash64(F.lit("second"), "target")).alias("h2"),
-    )
-    groups = sets.groupBy("size", "h1", "h2").agg(F.min("source").alias("source"), F.count("*").alias("weight"))
+    closure = _reach(start, inner, ["root"]).select("root", "node")
+
+    sets = leaves.groupBy("source").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("target")).alias("hash"))
+    sets = materialize(sets, "caller-sets")
+    members = leaves.join(sets, "source").select("size", "hash", "target").distinct()
+    true = members.groupBy("size", "hash").agg(F.count("*").alias("targets")).filter("targets = size")
+    alike = sets.join(true, ["size", "hash"], "left").withColumn("own", F.when(F.col("targets").isNull(), F.col("source")))
+    groups = alike.groupBy("size", "hash", "own").agg(F.min("source").alias("source"), F.count("*").alias("weight"))
     targets = leaves.join(groups.select("source", "weight"), "source")  # one representative each
     hit = closure.join(targets.select(F.col("target").alias("node"), "source", "weight"), "node")
     outer = hit.select("root", "source", "weight").distinct().groupBy("root").agg(F.sum("weight").alias("callers"))
@@ -234,15 +242,13 @@ def affected_counts(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     )
 
 
-def single_points_of_failure(
-    nodes: DataFrame, edges: DataFrame, share: float = SPOF_SHARE, max_rounds: int = 1000
-) -> DataFrame:
+def single_points_of_failure(nodes: DataFrame, edges: DataFrame, share: float = SPOF_SHARE) -> DataFrame:
     """Nodes whose failure affects more than ``share`` of all nodes.
 
     Nodes nobody calls affect nothing, so only called nodes can qualify.
     """
     total = nodes.count()
-    counts = affected_counts(edges, max_rounds)
+    counts = affected_counts(edges)
     counts = counts.join(nodes.select("name"), "name", "left_semi")
     hits = counts.filter(F.col("affected_count") > F.lit(total) * share)
     percentage = F.bround(F.col("affected_count") / F.lit(max(total, 1)) * 100, 1)

@@ -48,17 +48,39 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def is_small(written: DataFrame) -> bool:
+    """Whether the measured rows and bytes of a written table, from file metadata, allow a broadcast."""
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= BROADCAST_BYTES and written.count() <= BROADCAST_ROWS
+
+
 def broadcast_if_small(written: DataFrame) -> DataFrame:
     """Mark a written table for broadcast when its measured rows and bytes allow it.
 
-    Worth it where the other side is raw log data, which would otherwise be shuffled.  Both
-    measurements come from file metadata.  A larger table is returned as it is: the join then
-    shuffles, and AQE splits the partitions of hot keys.
+    Worth it where the other side is raw log data, which would otherwise be shuffled.  A larger
+    table is returned as it is: the join then shuffles, and AQE splits the partitions of hot keys,
+    unless an aggregation by the same keys follows in the same stage: use ``spread_join`` there.
     """
-    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= BROADCAST_BYTES and written.count() <= BROADCAST_ROWS:
-        return F.broadcast(written)
-    return written
+    return F.broadcast(written) if is_small(written) else written
+
+
+#: Copies of the written side's rows in a join that cannot broadcast them.
+SPREAD = 16
+
+
+def spread_join(raw: DataFrame, written: DataFrame, keys: list[str], row: Column, how: str = "inner") -> DataFrame:
+    """Join raw rows to a written table with one row per key, before an aggregation by the keys.
+
+    A table too large to broadcast is joined by (keys, salt): its rows are repeated for each salt
+    and ``row``, a number that differs between rows of a key, chooses one.  So a key's rows go to
+    several tasks, and as the salt is no key of the aggregation that follows, that aggregation
+    combines map-side and shuffles again, instead of taking the join's tasks over.
+    """
+    if is_small(written):
+        return raw.join(F.broadcast(written), keys, how)
+    salted = written.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    rows = raw.withColumn("_salt", F.pmod(row, F.lit(SPREAD)).cast("int"))
+    return rows.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from routelens.operators import anomaly, traffic as stats
 from routelens.operators.inventory import endpoint_parts
 from routelens.plans.analyze import fold_batch, store_traffic
-from routelens.plans.shared import broadcast_if_small, materialize
+from routelens.plans.shared import materialize
 from routelens.sources import logs, tables
 
 # Poll interval of the log watcher.
@@ -73,20 +73,24 @@ def scoring_writer(
     checkpoint: str,
     known: DataFrame | None = None,
     once: bool = False,
+    **thresholds,
 ) -> DataStreamWriter:
     """Score every micro-batch against a fixed, written profile table and store its anomalies.
 
     The state is the activity table, which adds up over batches, so ids and consumers of earlier
-    batches (and of ``known``, the activity of a training set) count.  A replayed batch starts
-    from the state before itself.  Per-source rates and failure shares are those of the batch.
+    batches count, and those of ``known``, the activity of a training set that ``in_order`` numbered as
+    batch -1.  Records are ordered by batch, then by time.  A replayed batch starts from the state before
+    itself.  Per-source rates and failure shares are those of the batch.  Requests to endpoints without a
+    profile are not scored, but count for sources and enumeration.  ``thresholds`` go to ``detect``.
     """
+    fixed = profiles.drop("cut")  # the stream begins after all training
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        table = broadcast_if_small(profiles)
-        new = materialize(anomaly.activity(anomaly.observations(batch), table), "activity")
+        ordered = anomaly.in_order(anomaly.observations(batch), batch=batch_id)
+        new = materialize(anomaly.activity(ordered, fixed), "activity")
         state = new if known is None or batch_id > 0 else anomaly.merge_activity(new, known)
         total = tables.fold_state(f"{store}/activity", state, batch_id, anomaly.merge_activity)
-        tables.write_batch(anomaly.detect(total, by_source=new), f"{store}/anomalies", batch_id)
+        tables.write_batch(anomaly.detect(total, by_source=new, **thresholds), f"{store}/anomalies", batch_id)
 
     return _trigger(traffic.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint), once)
 

@@ -143,9 +143,10 @@ def test_enumeration_counts_texts_but_compares_numbers(spark):
 def test_activity_adds_up_over_batches(spark):
     records = random_records(11, 400, hot=0.5)
     rows = frame(spark, records)
-    profiles = anomaly.train_then_detect(anomaly.observations(rows), training_window=30).cache()
-    whole = detected(anomaly.activity(anomaly.observations(rows), profiles))
-    parts = [anomaly.activity(anomaly.observations(rows.filter(F.col("record_id") % 3 == i)), profiles) for i in range(3)]
+    ordered = anomaly.in_order(anomaly.observations(rows))
+    profiles = anomaly.train_then_detect(ordered, training_window=30).cache()
+    whole = detected(anomaly.activity(ordered, profiles))
+    parts = [anomaly.activity(ordered.filter(F.col("record_id") % 3 == i), profiles) for i in range(3)]
     assert detected(anomaly.merge_activity(*parts)) == whole
 
 
@@ -156,11 +157,11 @@ def test_profile_summary_is_sorted(spark):
     assert all(sum(r.status_codes.values()) == r.sample_count and r.is_trained == (r.sample_count >= 100) for r in rows)
 
 
-def test_call_transitions_cross_time_slices(spark):
+def test_call_transitions(spark):
     records = random_records(3, 200)
     got = {
         (r.source, r.previous, r.endpoint): r.transitions
-        for r in anomaly.call_transitions(anomaly.observations(frame(spark, records)), slice_minutes=1).collect()
+        for r in anomaly.call_transitions(anomaly.observations(frame(spark, records))).collect()
     }
     want, last = {}, {}
     for r in records:
@@ -171,3 +172,45 @@ def test_call_transitions_cross_time_slices(spark):
             want[key] = want.get(key, 0) + 1
         last[source] = endpoint
     assert got == want
+
+
+def test_identical_records_are_trained_or_scored(spark):
+    records = random_records(4, 60)
+    for r in records:
+        r.update(records[0])  # one line, 60 times
+    rows = anomaly.observations(frame(spark, records))
+    ordered = anomaly.in_order(rows)
+    profiles = anomaly.train_then_detect(ordered, training_window=20).cache()
+    row = profiles.first()
+    assert row.sample_count == 20 and row.is_trained
+    assert ordered.filter(F.col("seq") > row.cut).count() == 40
+
+
+def test_endpoints_without_profile_reach_the_source_detectors(spark):
+    records = random_records(9, 100)
+    for r in records:
+        r.update(method="POST", path="/login", status_code=401, source_ip="9.9.9.9")
+    ordered = anomaly.in_order(anomaly.observations(frame(spark, records)))
+    none = anomaly.train_then_detect(ordered, 20).filter("method = 'GET'").cache()
+    found = {r.anomaly_type for r in anomaly.detect(anomaly.activity(ordered, none)).collect()}
+    assert "credential_stuffing" in found and "new_consumer" not in found
+
+
+def test_raw_rows_are_hashed_and_hot_endpoints_split(spark, monkeypatch):
+    from routelens.plans import shared
+
+    ordered = anomaly.in_order(anomaly.observations(frame(spark, random_records(4))))
+    profiles = shared.materialize(anomaly.train_then_detect(ordered, 20), "profiles")
+    small = anomaly.activity(ordered, profiles)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = anomaly.activity(ordered, profiles)
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortAggregate" not in plan and "_salt" in plan
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Exchange hashpartitioning(method" in above  # the aggregation shuffles again, after combining map-side
