@@ -88,3 +88,16 @@ def in_pieces(texts: list[str], most: int):
         n += len(t)
     if run:
         yield run
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, most: int, most_bytes: int) -> list:
+    """Rows (text, label) of at most ``most`` labelled documents of at most ``most_bytes`` bytes each.
+
+    ``labels`` has doc_id; ``label`` aggregates its labels of one.  The labels are chosen first, by a hash of doc_id, so
+    what is broadcast to the texts has ``most`` rows at any size of the tables.
+    """
+    chosen = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(label.alias("label")).filter("label IS NOT NULL")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = materialize(chosen.orderBy(*order).limit(most), "chosen-labels")
+    text = docs.select("doc_id", text_or_empty().alias("text")).filter(F.octet_length("text") <= most_bytes)
+    return text.join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(most).select("text", "label").collect()

@@ -28,12 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import documents, in_pieces, text_or_empty, with_text_columns
+from routelens.llm.common import documents, in_pieces, labelled_sample, text_or_empty, with_text_columns
 from routelens.llm.words import mix, word_hashes
 
 WINDOW, STRIDE = 32, 16
 BUCKETS, DIM, HIDDEN, ATTENTION = 1 << 17, 6, 8, 8
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 65_536
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 65_536
 EPOCHS, BATCH, RATE = 4, 128, 0.05
 LANES, CHARS_AT_ONCE = 4096, 1_000_000
 THRESHOLD = 0.7
@@ -73,6 +73,11 @@ class Words:
         self.piece_starts = np.searchsorted(np.concatenate([*owners, np.zeros(0, np.int64)])[order], np.arange(size.size))
         self.piece_counts = np.diff(np.append(self.piece_starts, self.pieces.size))
 
+    def pieces_at(self, words: np.ndarray) -> np.ndarray:
+        """The places in ``pieces`` of the pieces of the given distinct words, word by word."""
+        count = self.piece_counts[words]
+        return np.arange(count.sum()) + np.repeat(self.piece_starts[words] - np.cumsum(count) + count, count)
+
     def inputs(self, word_table: np.ndarray, piece_table: np.ndarray) -> np.ndarray:
         """A row for each distinct word; every word has at least one piece."""
         if not self.word.size:
@@ -217,8 +222,7 @@ class Model:
         part = object.__new__(Words)
         part.word = words.word[known]
         count = words.piece_counts[known]
-        index = np.arange(count.sum()) + np.repeat(words.piece_starts[known] - np.cumsum(count) + count, count)
-        part.pieces, part.piece_counts, part.piece_starts = words.pieces[index], count, np.cumsum(count) - count
+        part.pieces, part.piece_counts, part.piece_starts = words.pieces[words.pieces_at(known)], count, np.cumsum(count) - count
         inputs = part.inputs(self.word_table, self.piece_table)
         at = where - lo  # -1 for no word
         projected = self.project(inputs)
@@ -248,11 +252,22 @@ class Model:
         descend("pieces", self.piece_table, d_piece * live[1][rows, None], rows)
 
 
-def _log_odds(buckets: np.ndarray, owner_text: np.ndarray, toxic: np.ndarray, least: int) -> np.ndarray:
-    """Smoothed log-odds of a text's being toxic by bucket; 0 where fewer than ``least`` texts have it."""
-    pairs = np.unique(buckets * np.int64(toxic.size) + owner_text)
-    of, bad = pairs // toxic.size, toxic[pairs % toxic.size]
-    pos, all_ = np.bincount(of, bad, BUCKETS), np.bincount(of, minlength=BUCKETS)
+def _log_odds(words: Words, toxic: np.ndarray, pieces: bool, least: int, at_once: int = 100) -> np.ndarray:
+    """Smoothed log-odds of a text's being toxic by bucket of its words or pieces; 0 where fewer than ``least``
+    texts have it.  Counts are added up over some texts at a time."""
+    pos, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for i in range(0, toxic.size, at_once):
+        starts = words.starts[i : i + at_once + 1]
+        owner = np.repeat(np.arange(starts.size - 1), np.diff(starts))
+        pairs = np.unique(owner * np.int64(words.word.size) + words.of[starts[0] : starts[-1]])
+        text, word = np.divmod(pairs, words.word.size)
+        if pieces:
+            text, buckets = np.repeat(text, words.piece_counts[word]), words.pieces[words.pieces_at(word)]
+        else:
+            buckets = words.word[word]
+        text, bucket = np.divmod(np.unique(text * np.int64(BUCKETS) + buckets), BUCKETS)
+        pos += np.bincount(bucket, toxic[i : i + at_once][text], BUCKETS)
+        all_ += np.bincount(bucket, minlength=BUCKETS)
     odds = np.log((pos + 0.5) / (all_ - pos + 0.5)) - np.log(toxic.sum() / (toxic.size - toxic.sum()))
     return np.where(all_ >= least, odds * all_ / (all_ + 5.0), 0).astype(np.float32)
 
@@ -267,15 +282,10 @@ def train(texts: list[str], labels: list[int], seed: int = 1, epochs: int = EPOC
     if not len(at):
         model.constant = float(toxic.mean())
         return model
-    owner = np.repeat(np.arange(len(texts)), np.diff(words.starts))
     model.word_table[:, 1:] = rng.normal(0, 0.02, (BUCKETS, DIM - 1))
     model.piece_table[:, 1:] = rng.normal(0, 0.02, (BUCKETS, DIM - 1))
-    model.word_table[:, 0] = _log_odds(words.word[words.of], owner, toxic, 3)
-    pairs = np.unique(words.of * np.int64(len(texts)) + owner)  # distinct word and text
-    word, in_text = pairs // len(texts), pairs % len(texts)
-    count = words.piece_counts[word]
-    index = np.arange(count.sum()) + np.repeat(words.piece_starts[word] - np.cumsum(count) + count, count)
-    model.piece_table[:, 0] = _log_odds(words.pieces[index], np.repeat(in_text, count), toxic, 5)
+    model.word_table[:, 0] = _log_odds(words, toxic, False, 3)
+    model.piece_table[:, 0] = _log_odds(words, toxic, True, 5)
     # A bucket that too few texts have is no evidence at all, now and after training.
     live_word, live_piece = model.word_table[:, 0] != 0, model.piece_table[:, 0] != 0
     model.word_table[~live_word], model.piece_table[~live_piece] = 0, 0
@@ -334,10 +344,7 @@ def _unpacked(data: bytes) -> Model:
 
 def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of the labelled documents (labels: doc_id, toxic), from a bounded sample of them."""
-    labels = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    text = docs.select("doc_id", text_or_empty().alias("text")).filter(F.octet_length("text") <= most_bytes)
-    sample = text.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
-    rows = sample.select("text", "label").collect()
+    rows = labelled_sample(docs, labels, F.max("toxic"), most, most_bytes)
     return train([r.text for r in rows], [r.label for r in rows])
 
 

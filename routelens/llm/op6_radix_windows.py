@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import documents, in_pieces, text_or_empty
+from routelens.llm.common import documents, text_or_empty
 from routelens.llm.words import mix
 from routelens.plans.shared import materialize
 
 WINDOW, OWNERS, GRAM = 400, 300, 16
 MOST_KINDS = 4096
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 1 << 20
 _BYTE = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0xD1342543DE82EF95
 _KEY = ["doc_id", "text_hash"]
@@ -105,15 +105,21 @@ def bundles(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, owners: int
 def _bundle_rows(window: int, owners: int, gram: int):
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            row = 0
-            for piece in in_pieces(texts, BYTES_AT_ONCE):
-                data = [t.encode("utf-8", "surrogatepass") for t in piece]
-                raw = np.frombuffer(b"".join(data), np.uint8)
-                text, *columns = bundles(raw, np.cumsum([len(d) for d in data]), window, owners, gram)
-                keys = [batch.column(i).take(pa.array(text + row)) for i in (0, 1)]
-                row += len(piece)
-                rest = [pa.array(c.astype(np.int32)) for c in columns[:3]] + [pa.array(c) for c in columns[3:]]
+            # Parts of texts, overlapping so that each window is whole in one of them.
+            parts = [
+                (row, at, data[at : at + BYTES_AT_ONCE + window - 1])
+                for row, text in enumerate(batch.column(2).to_pylist())
+                for data in (text.encode("utf-8", "surrogatepass"),)
+                for at in range(0, max(len(data) - window + 1, 0), BYTES_AT_ONCE)
+            ]
+            while parts:
+                n = max(1, int(np.searchsorted(np.cumsum([len(d) for _, _, d in parts]), BYTES_AT_ONCE, "right")))
+                some, parts = parts[:n], parts[n:]
+                raw = np.frombuffer(b"".join(d for _, _, d in some), np.uint8)
+                part, *columns = bundles(raw, np.cumsum([len(d) for _, _, d in some]), window, owners, gram)
+                row, at = (np.array([x[k] for x in some], np.int64)[part] for k in (0, 1))
+                keys = [batch.column(i).take(pa.array(row)) for i in (0, 1)]
+                rest = [pa.array((c + at).astype(np.int32)) for c in columns[:3]] + [pa.array(c) for c in columns[3:]]
                 yield pa.RecordBatch.from_arrays([*keys, *rest], names=[*_KEY, "owner", "lo", "hi", "one", "two"])
 
     return run
@@ -167,7 +173,7 @@ def _windows_of(batch: pa.RecordBatch, window: int) -> tuple:
     return row, start, start - owner[row], run.names(first, first + window)
 
 
-def _repeated_runs(window: int, bytes_at_once: int = 4 * BYTES_AT_ONCE):
+def _repeated_runs(window: int, bytes_at_once: int = BYTES_AT_ONCE):
     """Regions sorted by first digit -> runs of windows that another region of the digit has at the same place."""
 
     def resolve(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import documents, in_pieces, text_or_empty, with_text_columns
+from routelens.llm.common import documents, in_pieces, labelled_sample, text_or_empty, with_text_columns
 from routelens.llm.op1_gated_toxicity import held_out
 from routelens.llm.words import mix, word_hashes
 
@@ -128,10 +128,7 @@ def _unpacked(data: bytes) -> Neighbours:
 
 def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> Neighbours:
     """The labelled vectors (labels: doc_id, quality), of a bounded sample of the labelled documents."""
-    labels = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    text = docs.select("doc_id", text_or_empty().alias("text")).filter(F.octet_length("text") <= most_bytes)
-    sample = text.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
-    rows = sample.select("text", "label").collect()
+    rows = labelled_sample(docs, labels, F.min("quality"), most, most_bytes)
     return Neighbours([r.text for r in rows], [r.label for r in rows])
 
 

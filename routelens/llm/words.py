@@ -11,6 +11,8 @@ _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
 _BYTE[_SPACE] = 0
 _BASE = 0x9E3779B97F4A7C15
+#: Words are hashed as many at a time as have 2**BITS bytes, and a longer one alone.
+BITS = 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,9 +43,15 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum([0, *(len(d) + 1 for d in data)])
     if not first.size:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    power, inverse = _powers(max(22, int(raw.size).bit_length()))
-    sums = np.add.reduceat(_BYTE[raw] * power[: raw.size], first)
-    return mix(sums * inverse[first] + (last - first).astype(np.uint64)), np.searchsorted(first, ends)
+    hashes, i = np.zeros(first.size, np.uint64), 0
+    while i < first.size:  # whole words, of at most some bytes together
+        j = max(i + 1, int(np.searchsorted(last, first[i] + (1 << BITS), "right")))
+        at = first[i:j] - first[i]
+        power, inverse = _powers(max(BITS, int(last[j - 1] - first[i]).bit_length()))
+        part = raw[first[i] : last[j - 1]]
+        hashes[i:j] = np.add.reduceat(_BYTE[part] * power[: part.size], at) * inverse[at]
+        i = j
+    return mix(hashes + (last - first).astype(np.uint64)), np.searchsorted(first, ends)
 
 
 def shingles(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
