@@ -12,7 +12,10 @@ from routelens.operators.inventory import error_rate
 from routelens.plans.shared import union_all, with_index
 
 TOOL = "routelens"
-# Number ranges of generated rules, and document texts.
+# Number ranges of generated rules, and document texts, here and in the templates of rules,
+# descriptions, responses and parameters below.
+RULER = "# ═══════════════════════════════════════════════"
+WAF_NAME, WAF_METRIC = f"{TOOL}-ShadowAPIBlockRules", f"{TOOL}ShadowAPIRules"
 FIRST_RULE_ID = 900000
 FIRST_PRIORITY = 100
 SPEC_TITLE = "Auto-Generated API Spec"
@@ -235,6 +238,50 @@ def aws_waf_rules(endpoints: DataFrame) -> DataFrame:
     )
 
 
+def _fixed(spark, section: int, line: Column) -> DataFrame:
+    return spark.range(1).select(F.lit(section).alias("section"), F.lit("").alias("sort_key"), line.alias("line"))
+
+
+def _key(i: Column) -> Column:
+    """A running number as a text that sorts like it."""
+    return F.lpad(i.cast("string"), 19, "0")
+
+
+def nginx_document(endpoints: DataFrame, as_of: str, action: str = "deny") -> DataFrame:
+    """The whole nginx file as ordered lines ``(section, sort_key, line)``: head, then a block per endpoint."""
+    spark = endpoints.sparkSession
+    rows = numbered(endpoints)
+    count = endpoints.agg(F.count("*").cast("string").alias("n")).select(
+        F.lit(1).alias("section"), F.lit("").alias("sort_key"), _text("# Endpoints: ", F.col("n"), f"\n{RULER}\n").alias("line")
+    )
+    head = F.lit(f"{RULER}\n# {TOOL} — Auto-Generated Shadow API Block Rules\n# Generated: {as_of}")
+    blocks = nginx_blocks(rows, action).select("endpoint_id", "block").join(rows.select("endpoint_id", "i"), "endpoint_id")
+    body = blocks.select(F.lit(2).alias("section"), _key(F.col("i")).alias("sort_key"), F.concat("block", F.lit("\n")).alias("line"))
+    return union_all([_fixed(spark, 0, head), count, body]).orderBy("section", "sort_key")
+
+
+def modsecurity_document(endpoints: DataFrame, as_of: str) -> DataFrame:
+    """The whole rule file as ordered lines ``(section, sort_key, line)``."""
+    head = F.lit(f"{RULER}\n# {TOOL} — ModSecurity Shadow API Block Rules\n# Generated: {as_of}\n{RULER}\n")
+    body = modsecurity_rules(endpoints).select(
+        F.lit(1).alias("section"), _key(F.col("rule_id")).alias("sort_key"), F.concat("rule", F.lit("\n")).alias("line")
+    )
+    return union_all([_fixed(endpoints.sparkSession, 0, head), body]).orderBy("section", "sort_key")
+
+
+def aws_waf_document(endpoints: DataFrame, as_of: str) -> DataFrame:
+    """The whole rule group as ordered lines ``(section, sort_key, line)`` of one JSON document."""
+    spark = endpoints.sparkSession
+    head = (
+        f'{{"_comment":"Generated by {TOOL} at {as_of}","Name":"{WAF_NAME}","Scope":"REGIONAL",'
+        '"DefaultAction":{"Allow":{}},"Rules":['
+    )
+    tail = f'],"VisibilityConfig":{{"SampledRequestsEnabled":true,"CloudWatchMetricsEnabled":true,"MetricName":"{WAF_METRIC}"}}}}'
+    rules = aws_waf_rules(endpoints).withColumn("key", _key(F.col("priority")))
+    lines = [_fixed(spark, 0, F.lit(head)), _members(rules, 1, "key", F.col("rule")), _fixed(spark, 2, F.lit(tail))]
+    return union_all(lines).orderBy("section", "sort_key")
+
+
 # ── OpenAPI documents ──
 
 
@@ -274,9 +321,10 @@ def undocumented(endpoints: DataFrame) -> DataFrame:
 def _members(rows: DataFrame, section: int, key: str, text: Column) -> DataFrame:
     """Rows as comma-separated JSON members: all but the first in order start with a comma."""
     keyed = rows.select(F.col(key).alias("sort_key"), text.alias("text"))
-    smallest = keyed.agg(F.min("sort_key")).first()[0]
-    line = F.when(F.col("sort_key") == F.lit(smallest), F.col("text")).otherwise(F.concat(F.lit(","), "text"))
-    return keyed.select(F.lit(section).alias("section"), "sort_key", line.alias("line"))
+    first = F.broadcast(keyed.agg(F.min("sort_key").alias("first")))  # one row
+    joined = keyed.join(first, F.col("sort_key") == F.col("first"), "left")
+    line = F.when(F.col("first").isNotNull(), F.col("text")).otherwise(F.concat(F.lit(","), "text"))
+    return joined.select(F.lit(section).alias("section"), "sort_key", line.alias("line"))
 
 
 def openapi_lines(
@@ -291,7 +339,7 @@ def openapi_lines(
     text = description or f"Auto-generated by {TOOL} from observed traffic. Generated: {as_of}."
 
     def fixed(section: int, line: Column) -> DataFrame:
-        return spark.range(1).select(F.lit(section).alias("section"), F.lit("").alias("sort_key"), line.alias("line"))
+        return _fixed(spark, section, line)
 
     info = F.to_json(
         F.struct(F.lit(title).alias("title"), F.lit(version).alias("version"), F.lit(text).alias("description"))

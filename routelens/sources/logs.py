@@ -63,8 +63,17 @@ def with_pattern(traffic: DataFrame, path_patterns: DataFrame | None = None) ->
     )
 
 
+#: A head is looked for in at most so many bytes of a file.
+HEAD_BYTES = 1 << 20
+
+
 def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First non-blank lines of each listed file, read without touching the rest of it."""
+    """First non-blank lines of each listed file, read without touching the rest of it.
+
+    A file without enough line ends in its first ``HEAD_BYTES`` gives the complete lines there; one
+    without any gives what it starts with as one line.
+    """
+    import codecs
     import re
 
     from pyarrow import fs
@@ -73,17 +82,17 @@ def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path in batch["file_path"]:
             system, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+            decoder = codecs.getincrementaldecoder("utf-8")("replace")
+            lines, rest, read, block = [], "", 0, b"-"
             with system.open_input_stream(name) as stream:
-                head, lines = b"", []
-                while True:
+                while block and read < HEAD_BYTES and len(lines) < SAMPLE_LINES:
                     block = stream.read(65536)
-                    head += block
-                    text = head.decode("utf-8", "replace")
-                    complete = text if not block else text[: max(text.rfind("\n"), 0)]
-                    lines = [x for x in re.split("\r\n|\n|\r", complete) if x.strip()][:SAMPLE_LINES]
-                    if not block or len(lines) == SAMPLE_LINES:
-                        break
-            rows += [(path, x) for x in lines]
+                    read += len(block)
+                    *complete, rest = re.split("\r\n|\n|\r", rest + decoder.decode(block, not block))
+                    lines += [x for x in complete if x.strip()]
+            if rest.strip() and (not block or not lines):
+                lines.append(rest)
+            rows += [(path, x) for x in lines[:SAMPLE_LINES]]
         yield pd.DataFrame(rows, columns=["file_path", "value"])
 
 
@@ -93,7 +102,11 @@ def head_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Files are listed by Spark and their heads read in tasks, so detection costs one small read
     per file and never a scan of the data.
     """
-    files = spark.read.format("binaryFile").load(paths).select("_metadata.file_path")  # no content
+    return heads_of(spark.read.format("binaryFile").load(paths).select("_metadata.file_path"))  # no content
+
+
+def heads_of(files: DataFrame) -> DataFrame:
+    """The first 10 non-blank lines of each file of a table (file_path)."""
     return clean_lines(files.repartition("file_path").mapInPandas(_read_heads, "file_path string, value string"))
 
 
@@ -123,5 +136,10 @@ def read_logs(
     lines = scan_lines(spark, paths)
     if log_format != "auto":
         return parse_lines(lines, log_format, ingest_time)
-    formats = materialize(detect_formats(head_lines(spark, paths)), "formats")  # one row per file
+    return parse_detected(lines, detect_formats(head_lines(spark, paths)), ingest_time)
+
+
+def parse_detected(lines: DataFrame, formats: DataFrame, ingest_time: Column) -> DataFrame:
+    """Parse each line by its file's format (file_path, log_format)."""
+    formats = materialize(formats, "formats")  # one row per file
     return parse_lines(lines.join(broadcast_if_small(formats), "file_path"), F.col("log_format"), ingest_time).drop("log_format")

@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelens.schemas import SPEC_VERBS
@@ -14,9 +14,14 @@ def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     import yaml
 
+    def convert(text: str) -> str:
+        try:
+            return json.dumps(yaml.safe_load(text), default=str)
+        except yaml.YAMLError:
+            return text  # not JSON either, so it counts as unreadable
+
     for batch in batches:
-        text = [json.dumps(yaml.safe_load(t), default=str) for t in batch["spec_json"]]
-        yield batch.assign(spec_json=text)
+        yield batch.assign(spec_json=[convert(t) for t in batch["spec_json"]])
 
 
 def read_specs(spark: SparkSession, paths: str | list[str], host: str | None = None) -> DataFrame:
@@ -31,11 +36,31 @@ def read_specs(spark: SparkSession, paths: str | list[str], host: str | None = N
     return files.filter(~is_yaml).unionByName(converted)
 
 
-def spec_operations(specs: DataFrame) -> DataFrame:
-    """``(host, method, path, deprecated)`` rows; only the seven HTTP verbs count as operations."""
-    doc = F.from_json("spec_json", "paths map<string,map<string,string>>")
-    paths = specs.select("host", F.explode(doc["paths"]).alias("path", "members"))
-    members = paths.select("host", "path", F.explode("members").alias("verb", "operation"))
+def _is_object(text: Column) -> Column:
+    """Whether a text is one JSON object; a truncated one is not."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+
+def unreadable_specs(specs: DataFrame) -> DataFrame:
+    """The documents that are no JSON object, with the start of their text."""
+    return specs.filter(~_is_object(F.col("spec_json"))).withColumn("start", F.substring("spec_json", 1, 80)).drop("spec_json")
+
+
+def spec_operations(specs: DataFrame, skip_unreadable: bool = False) -> DataFrame:
+    """``(host, method, path, deprecated)`` rows; only the seven HTTP verbs count as operations.
+
+    Path items that are no objects, like ``x-`` members, lists and nulls, hold no operations and do not
+    disturb the others.  An unreadable document fails the job, as its absence would look like the removal of all its
+    routes; with ``skip_unreadable`` it is left out, and ``unreadable_specs`` tells which.
+    """
+    text = F.col("spec_json")
+    readable = specs.filter(_is_object(text)) if skip_unreadable else specs.withColumn(
+        "spec_json",
+        F.when(_is_object(text), text).otherwise(F.raise_error(F.concat(F.lit("spec is no JSON object: "), F.coalesce(F.substring(text, 1, 80), F.lit("null"))))),
+    )
+    doc = F.from_json("spec_json", "paths map<string,string>")
+    paths = readable.select("host", F.explode(doc["paths"]).alias("path", "item"))
+    members = paths.select("host", "path", F.explode(F.from_json("item", "map<string,string>")).alias("verb", "operation"))
     operations = members.filter(F.col("verb").isin(*SPEC_VERBS))
     flag = F.get_json_object("operation", "$.deprecated")
     return operations.select(

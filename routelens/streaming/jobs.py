@@ -25,6 +25,24 @@ def stream_logs(
     return logs.with_pattern(logs.parse_lines(lines, log_format, ingest_time))
 
 
+def ingest_writer(
+    spark: SparkSession, folder: str, path: str, checkpoint: str, ingest_time: Column, once: bool = False
+) -> DataStreamWriter:
+    """Append the traffic of log files that appear in a folder, each parsed by the format found in its head.
+
+    A replayed batch replaces what it wrote.
+    """
+    lines = logs.clean_lines(spark.readStream.format("text").load(folder).select(F.col("_metadata.file_path"), "value"))
+
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        written = materialize(batch, "lines")
+        formats = logs.detect_formats(logs.heads_of(written.select("file_path").distinct()))
+        traffic = logs.with_pattern(logs.parse_detected(written, formats, ingest_time))
+        tables.write_batch(traffic, path, batch_id)
+
+    return _trigger(lines.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint), once)
+
+
 def _trigger(writer: DataStreamWriter, once: bool) -> DataStreamWriter:
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=LOG_INTERVAL)
 

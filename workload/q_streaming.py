@@ -8,11 +8,11 @@ from routelens.schemas import ENDPOINTS
 from routelens.sources import tables
 from routelens.streaming import jobs
 from workload import views
-from workload.q_anomaly import observed
 from workload.q_inventory import _ENDPOINT, _endpoint_columns
+from workload.q_sources import _expected, _parsed
 from workload.q_traffic import HOURLY
 from workload.registry import query, r6, text
-from workload.sql import WINDOW
+from workload.sql import alerts as alerts_sql, classified as classified_sql
 
 
 def _run(writer) -> None:
@@ -58,6 +58,16 @@ def _(spark, d):
     return spark.read.parquet(out).groupBy("method", "path").agg(F.count("*").alias("calls"))
 
 
+@query("l2_tail_detects_formats", f"{_expected('nginx')} UNION ALL {_expected('gtext')}")
+def _(spark, d):
+    # files of two formats arrive in one folder
+    out, state, folder = (scratch_path(spark, x) for x in ("detected", "detected-state", "mixed-logs"))
+    for lines in (views.nginx_lines(spark, d), views.generic_text_lines(spark, d)):
+        lines.select("raw_line").write.mode("append").text(folder)
+        _run(jobs.ingest_writer(spark, folder, out, state, views.as_of(), once=True))
+    return _parsed(spark.read.parquet(out))
+
+
 @query(
     "l3_stateful_inventory",
     "SELECT method, host, path_pattern, coalesce(auth_subject, source_ip, source_service) AS consumer, count(*) AS calls FROM traffic GROUP BY ALL",
@@ -87,12 +97,12 @@ def _(spark, d):
 
 @query(
     "l5_alerts_per_cycle",
-    """SELECT endpoint_id, 'shadow_api' AS alert_type FROM plainep WHERE status = 'shadow'
-    UNION ALL SELECT endpoint_id, 'unauthenticated' FROM plainep WHERE list_contains(auth, 'none')""",
+    f"""SELECT endpoint_id, alert_type, severity FROM ({alerts_sql(f"({classified_sql("SELECT *, 'undocumented' AS st, false AS declared FROM half1")})")})
+    UNION SELECT endpoint_id, alert_type, severity FROM ({alerts_sql('plainep')})""",
 )
 def _(spark, d):
-    stored = spark.read.parquet(f"{_store(spark, d)}/alerts")
-    return stored.filter("alert_type in ('shadow_api', 'unauthenticated')").select("endpoint_id", "alert_type")
+    # an alert is stored in the cycle that raises it first
+    return spark.read.parquet(f"{_store(spark, d)}/alerts").select("endpoint_id", "alert_type", "severity")
 
 
 @query("l6_spec_correlation", "SELECT endpoint_id, status, declared AS declared_in_spec, total_calls FROM ep")
@@ -101,18 +111,49 @@ def _(spark, d):
     return rows.select("endpoint_id", "status", "declared_in_spec", "total_calls")
 
 
-@query(
-    "l7_streaming_anomalies",
-    """SELECT 'data_exfiltration' AS anomaly_type, endpoint, source FROM outliers UNION ALL SELECT 'bola', endpoint, source FROM bola
-    UNION ALL SELECT 'new_consumer', endpoint, source FROM newcons UNION ALL SELECT 'enumeration', endpoint, source FROM enums""",
-)
+_SECOND, _THIRD, _FIXED_WINDOW = "2024-01-11 00:00:00", "2024-01-21 00:00:00", 30
+_RATES = (0.001, 0.02)  # a month of sparse traffic
+_L7 = f"""/*with*/ told AS (SELECT * FROM obs WHERE tm < TIMESTAMP '{_SECOND}' AND path_pattern <> '/internal/metrics'),
+    fresh AS (SELECT *, CASE WHEN tm < TIMESTAMP '{_THIRD}' THEN 0 ELSE 1 END AS batch FROM obs WHERE tm >= TIMESTAMP '{_SECOND}'),
+    fixed AS (SELECT endpoint, avg(latency) AS mean, stddev_pop(latency) AS dev FROM told GROUP BY endpoint HAVING count(*) >= {_FIXED_WINDOW}),
+    everything AS (SELECT *, -1 AS batch FROM told UNION ALL SELECT * FROM fresh),
+    ids AS (SELECT endpoint, source, rid, min(batch) AS first_batch FROM everything WHERE rid IS NOT NULL GROUP BY ALL),
+    steps AS (SELECT *, num - lag(num) OVER (PARTITION BY upto, endpoint, source ORDER BY num) AS gap FROM (
+        SELECT DISTINCT b.upto, endpoint, source, rid, CAST(rid AS BIGINT) AS num FROM ids, (VALUES (0), (1)) b(upto)
+        WHERE first_batch <= b.upto AND regexp_full_match(rid, '[0-9]+'))),
+    persource AS (SELECT batch, source, count(*) AS n, count(*) FILTER (status_code IN (401, 403)) AS failed,
+        epoch_us(max(tm)) - epoch_us(min(tm)) AS us FROM fresh GROUP BY batch, source),
+    touched AS (SELECT DISTINCT b.upto, endpoint, source FROM fresh, (VALUES (0), (1)) b(upto) WHERE batch <= b.upto AND regexp_full_match(rid, '[0-9]+')) /*end*/
+    SELECT DISTINCT anomaly_type, endpoint, source FROM (
+    SELECT 'data_exfiltration' AS anomaly_type, endpoint, source FROM fresh JOIN fixed USING (endpoint)
+        WHERE dev > 0 AND latency > mean AND abs(latency - mean) / dev > 3
+    UNION ALL SELECT 'bola', endpoint, source FROM (SELECT endpoint, source, count(*) AS n FROM ids JOIN fixed USING (endpoint) GROUP BY ALL) b WHERE n > 20
+        AND EXISTS (SELECT 1 FROM fresh f WHERE f.endpoint = b.endpoint AND f.source = b.source AND f.rid IS NOT NULL)
+    UNION ALL SELECT 'new_consumer', f.endpoint, f.source FROM fresh f JOIN fixed USING (endpoint)
+        WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.endpoint = f.endpoint AND t.source = f.source)
+    UNION ALL SELECT 'credential_stuffing', 'multiple', source FROM persource WHERE n >= 10 AND failed / n > 0.8
+    UNION ALL SELECT 'rate_anomaly', 'multiple', source FROM persource WHERE n >= 5 AND us > 0 AND n / (us / 1000000.0 / 60) > {_RATES[0]}
+    UNION ALL SELECT 'enumeration', endpoint, source FROM steps JOIN touched USING (upto, endpoint, source) GROUP BY upto, endpoint, source
+        HAVING count(*) >= 10 AND count(*) FILTER (gap = 1) > (count(*) - 1) * 0.7)"""
+
+
+@query("l7_streaming_anomalies", _L7)
 def _(spark, d):
-    profiles = materialize(anomaly.train_then_detect(observed(spark, d), training_window=WINDOW), "profiles")
-    store, state = scratch_path(spark, "scores"), scratch_path(spark, "stream-state")
-    _run(jobs.scoring_writer(views.traffic_stream(spark, d), profiles, store, state, once=True))
+    # profiles come from the first third, without one endpoint; the rest arrives as two batches
+    rows = views.raw_traffic(spark, d)
+    time, second, third = F.col("timestamp"), F.lit(_SECOND).cast("timestamp_ntz"), F.lit(_THIRD).cast("timestamp_ntz")
+    told = views.with_pattern(rows.filter(time < second)).filter("path_pattern <> '/internal/metrics'")
+    training = anomaly.in_order(anomaly.observations(told, phase=0), batch=-1)
+    profiles = materialize(anomaly.train(training, _FIXED_WINDOW), "profiles")
+    known = materialize(anomaly.activity(training, profiles), "known")
+    folder, store, state = (scratch_path(spark, x) for x in ("arriving", "scores", "stream-state"))
+    for part in ((time >= second) & (time < third), time >= third):
+        rows.filter(part).write.mode("append").parquet(folder)
+        stream = views.with_pattern(spark.readStream.schema(rows.schema).parquet(folder))
+        thresholds = {"medium_rpm": _RATES[0], "high_rpm": _RATES[1]}
+        _run(jobs.scoring_writer(stream, profiles, store, state, known, once=True, **thresholds))
     found = anomaly.first_per_key(spark.read.parquet(f"{store}/anomalies").drop("batch_id"))
-    per_endpoint = ["data_exfiltration", "bola", "new_consumer", "enumeration"]
-    return found.filter(F.col("anomaly_type").isin(per_endpoint)).select("anomaly_type", "endpoint", "source")
+    return found.select("anomaly_type", "endpoint", "source")
 
 
 @query("l8_progress", "SELECT count(*) AS records, (SELECT count(*) FROM inv) AS total_endpoints FROM traffic")
