@@ -4,8 +4,8 @@ A document is counted as terms: hashed words, the shapes of its words (first and
 and length), hashed pairs of bytes, and words that come again within four words.  Counts are damped,
 weighted by how rare the term is among the labelled documents, scaled to length one, and projected to
 the leading singular directions of the labelled documents.  Every document is multiplied with all
-labelled vectors, a block of documents at a time, and its nearest labelled documents vote with their
-cosine as weight.
+labelled vectors, a block of documents at a time, and its nine nearest labelled documents vote with
+the fourth power of their cosine as weight.
 
 The labelled vectors are a bounded sample: at most ``SAMPLE_DOCS`` labelled documents of at most
 ``SAMPLE_BYTES`` bytes each, the first by a hash of doc_id.  They, the term weights and the directions
@@ -30,7 +30,7 @@ from routelens.llm.words import mix, word_hashes
 
 WORD_TERMS, PAIR_TERMS, NEAR = 1024, 1024, 4
 KINDS, LENGTHS = 5, 8
-DIRECTIONS, NEIGHBOURS = 32, 25
+DIRECTIONS, NEIGHBOURS, SHARPNESS = 32, 9, 4
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 65_536
 CHARS_AT_ONCE, BLOCK = 1_000_000, 512
 THRESHOLD = 0.7
@@ -115,7 +115,7 @@ class Neighbours:
 
     def _votes(self, cosines: np.ndarray) -> np.ndarray:
         nearest = np.argpartition(-cosines, self.neighbours - 1, axis=1)[:, : self.neighbours]
-        weight = np.maximum(np.take_along_axis(cosines, nearest, 1), 0).astype(np.float64)
+        weight = np.maximum(np.take_along_axis(cosines, nearest, 1), 0).astype(np.float64) ** SHARPNESS
         total = weight.sum(1)
         votes = (weight * self.labels[nearest]).sum(1) / np.where(total > 0, total, 1)
         return np.clip(np.where(total > 0, votes, self.prior), 0, 1)
