@@ -270,11 +270,15 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # ── Exports ──
 
 
+def drawn_size(calls: Column) -> Column:
+    return F.greatest(F.lit(5), F.least(F.lit(50), F.floor(calls / 10) + 5))
+
+
 def force_nodes(nodes: DataFrame) -> DataFrame:
     """Node rows of a force-directed drawing: group code and clamped size."""
     kind = F.col("node_type")
     group = F.when(kind == "service", 1).when(kind == "api_endpoint", 2).when(kind == "third_party", 3).otherwise(0)
-    size = F.greatest(F.lit(5), F.least(F.lit(50), F.floor(F.col("total_calls") / 10) + 5))
+    size = drawn_size(F.col("total_calls"))
     return nodes.select(
         F.col("name").alias("id"), group.alias("group"), kind.alias("type"), F.col("total_calls").alias("calls"),
         size.cast("bigint").alias("size"),

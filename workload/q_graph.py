@@ -40,14 +40,16 @@ def _(spark, d):
     return nodes_edges(spark, d)[1].filter("target = 'svc-2'").select("source")
 
 
-# the graph seen from one service: everything not tied to it is an orphan
-@query(
-    "c12_orphans",
-    "SELECT name FROM nodes WHERE name <> 'svc-2' AND name NOT IN (SELECT source FROM edges WHERE target = 'svc-2')",
-)
+def _registered(spark, d, nodes):
+    """Nodes of the graph and services that are only registered: suppliers, whom nobody calls."""
+    names = views.table(spark, d, "supplier").select(F.col("s_name").alias("name"))
+    return nodes.select("name").unionByName(names).distinct()
+
+
+@query("c12_orphans", "SELECT name FROM (SELECT name FROM nodes UNION SELECT s_name FROM supplier) EXCEPT (SELECT source FROM edges UNION SELECT target FROM edges)")
 def _(spark, d):
     nodes, edges = nodes_edges(spark, d)
-    return graph.orphans(nodes, edges.filter("target = 'svc-2'")).select("name")
+    return graph.orphans(_registered(spark, d, nodes), edges).select("name")
 
 
 @query("c13_degree_of_nodes", "SELECT name, total_calls, count(*) AS in_degree FROM nodes JOIN edges ON target = name GROUP BY name, total_calls")
@@ -136,9 +138,19 @@ def _(spark, d):
     return graph.connected_names(nodes_edges(spark, d)[1])
 
 
-@query("i1_inventory_graph", f"{_CEDGES.split(' UNION')[0].replace('eedges', 'edges')}")
+@query(
+    "i1_inventory_graph",
+    "SELECT name, total_calls, round(error_rate + 1e-9, 6) AS error_rate, NULL AS target, NULL AS methods FROM nodes "
+    "UNION ALL SELECT source, call_count, error_count, target, array_to_string(methods, ',') FROM edges",
+)
 def _(spark, d):
-    return nodes_edges(spark, d)[1].select("source", "target", "call_count")
+    nodes, edges = nodes_edges(spark, d)
+    none = F.lit(None).cast("string")
+    one = nodes.select("name", "total_calls", r6("error_rate"), none.alias("target"), none.alias("methods"))
+    two = edges.select(
+        F.col("source").alias("name"), F.col("call_count").alias("total_calls"), F.col("error_count").cast("double").alias("error_rate"), "target", joined("methods")
+    )
+    return one.unionByName(two)
 
 
 @query(
@@ -191,11 +203,13 @@ def _(spark, d):
     return _spof(spark, d)
 
 
-# all services against the calls that leave the company
-@query("i5_orphaned_services", f"SELECT name FROM ({_CNODES}) WHERE name NOT IN (SELECT source FROM eedges UNION SELECT target FROM eedges)")
+@query(
+    "i5_orphaned_services",
+    f"SELECT name FROM (SELECT name FROM ({_CNODES}) UNION SELECT s_name FROM supplier) EXCEPT (SELECT source FROM ({_CEDGES}) UNION SELECT target FROM ({_CEDGES}))",
+)
 def _(spark, d):
-    out = _egress(spark, d)
-    return graph.orphans(_combined(spark, d)[0], graph.egress_edges(*out)).select("name")
+    nodes, edges = _combined(spark, d)
+    return graph.orphans(_registered(spark, d, nodes), edges).select("name")
 
 
 _CRITICAL = "SELECT name, count(*) AS in_degree FROM nodes JOIN edges ON target = name GROUP BY name ORDER BY in_degree DESC, name LIMIT 10"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from routelens.operators import inventory, policy
-from routelens.plans.shared import materialize
+from routelens.plans.shared import materialize, union_all
 from workload import views
 from workload.q_inventory import specs
 from workload.registry import joined, query, text
@@ -152,6 +152,24 @@ def _(spark, d):
     return strict.unionByName(relaxed).agg(F.bool_and("strict").alias("strict"), F.bool_and("lenient").alias("lenient"))
 
 
+_OPTIONS = [(b, w) for b in (True, False) for w in (True, False)]
+
+
+@query(
+    "h16_passed_by_option",
+    f"""SELECT breaking, shadow, count(*) FILTER (level = 'error') = 0 AS passed, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings
+    FROM (SELECT o.*, CASE WHEN rule = 'BREAKING_CHANGE' AND NOT breaking OR rule = 'SHADOW_POLICY_VIOLATION' AND NOT shadow THEN 'warning' ELSE severity END AS level
+    FROM ({_ALL}), (VALUES (true, true), (true, false), (false, true), (false, false)) o(breaking, shadow)) GROUP BY breaking, shadow""",
+)
+def _(spark, d):
+    parts = []
+    for breaking, shadow in _OPTIONS:
+        found = violations(spark, d, fail_on_breaking=breaking, fail_on_shadow=shadow)
+        errors, warnings = (F.count_if(F.col("severity") == x) for x in ("error", "warning"))
+        parts.append(found.agg(F.lit(breaking).alias("breaking"), F.lit(shadow).alias("shadow"), (errors == 0).alias("passed"), errors.alias("errors"), warnings.alias("warnings")))
+    return union_all(parts)
+
+
 @query(
     "d30_validation_counters",
     f"""SELECT count(*) FILTER (severity = 'error') = 0 AS passed, (SELECT count(*) FROM (SELECT DISTINCT method, path FROM {_PROPOSED})) AS spec_endpoints,

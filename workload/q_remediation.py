@@ -70,24 +70,99 @@ def _(spark, d):
     return remediation.modsecurity_rules(shadow(spark, d))
 
 
+# ── Whole documents ──
+
+_RULER = "'# ═══════════════════════════════════════════════'"
+
+
+@query(
+    "j1_nginx_document",
+    f"""SELECT 0 AS section, {_RULER} || chr(10) || '# routelens — Auto-Generated Shadow API Block Rules' || chr(10) || '# Generated: 2024-01-31 00:00:00' AS line
+    UNION ALL SELECT 1, '# Endpoints: ' || count(*) || chr(10) || {_RULER} || chr(10) FROM {_SHADOW}
+    UNION ALL SELECT 2, '# Shadow API: ' || method || ' ' || path_pattern || chr(10) || '# Calls: ' || total_calls || ', First seen: ' ||
+    strftime(first_seen, '%Y-%m-%d %H:%M:%S.%f') || chr(10) || 'location ~ ^' || rx || '$ {{' || chr(10) || '    if ($request_method = ' || method || ') {{' ||
+    chr(10) || '        deny;' || chr(10) || '    }}' || chr(10) || '}}' || chr(10) FROM {_SHADOW}""",
+)
+def _(spark, d):
+    return remediation.nginx_document(materialize(shadow(spark, d), "shadow"), views.AS_OF).select("section", "line")
+
+
+@query(
+    "j2_waf_document",
+    f"""SELECT 0 AS section, '{{"_comment":"Generated by routelens at 2024-01-31 00:00:00","Name":"routelens-ShadowAPIBlockRules","Scope":"REGIONAL","DefaultAction":{{"Allow":{{}}}},"Rules":[' AS line
+    UNION ALL SELECT 1, CASE WHEN i > 0 THEN ',' ELSE '' END || '{{"Name":"BlockShadowAPI_' || i || '","Priority":' || (100 + i) || ',"Statement":{{"AndStatement":{{"Statements":{_STATEMENTS}}}}},"Action":{{"Block":{{}}}},"VisibilityConfig":{{"SampledRequestsEnabled":true,"CloudWatchMetricsEnabled":true,"MetricName":"BlockShadowAPI_' ||
+    method || '_' || trim(regexp_replace(path_pattern, '[^A-Za-z0-9]', '_', 'g'), '_') || '"}}}}' FROM {_SHADOW}
+    UNION ALL SELECT 2, '],"VisibilityConfig":{{"SampledRequestsEnabled":true,"CloudWatchMetricsEnabled":true,"MetricName":"routelensShadowAPIRules"}}}}'""",
+)
+def _(spark, d):
+    return remediation.aws_waf_document(materialize(shadow(spark, d), "shadow"), views.AS_OF).select("section", "line")
+
+
+@query(
+    "j3_modsecurity_document",
+    f"""SELECT 0 AS section, {_RULER} || chr(10) || '# routelens — ModSecurity Shadow API Block Rules' || chr(10) || '# Generated: 2024-01-31 00:00:00' || chr(10) || {_RULER} || chr(10) AS line
+    UNION ALL SELECT 1, 'SecRule REQUEST_URI "@rx ^' || rx || '$" "id:' || (900000 + i) || ',phase:1,deny,status:403,msg:''routelens: Blocked shadow API ' ||
+    method || ' ' || path_pattern || ''',chain"' || chr(10) || '    SecRule REQUEST_METHOD "@streq ' || method || '" ""' || chr(10) FROM {_SHADOW}""",
+)
+def _(spark, d):
+    return remediation.modsecurity_document(materialize(shadow(spark, d), "shadow"), views.AS_OF).select("section", "line")
+
+
+_DESCRIPTION = """concat_ws(chr(10), '**Auto-discovered by routelens**' || chr(10), '- **Status:** ' || status, '- **Total calls observed:** ' || total_calls,
+    '- **Error rate:** ' || printf('%.1f', CASE WHEN total_calls > 0 THEN error_count / total_calls ELSE 0 END * 100) || '%', '- **Consumers:** ' || consumer_count,
+    '- **First seen:** ' || strftime(first_seen, '%Y-%m-%dT%H:%M:%S.%f'), '- **Last seen:** ' || strftime(last_seen, '%Y-%m-%dT%H:%M:%S.%f'),
+    '- **Avg latency:** ' || printf('%.0f', avg_ms) || 'ms', chr(10) || '> Review this endpoint and replace this auto-generated documentation.')"""
+_RESPONSES = """'{"' || CASE method WHEN 'POST' THEN '201' WHEN 'DELETE' THEN '204' ELSE '200' END || '":{"description":"Successful response (inferred from traffic)"}' ||
+    CASE WHEN error_count > 0 AND error_count / total_calls > 0.5 THEN ',"500":{"description":"Server error (high error rate observed)"}'
+    WHEN error_count > 0 THEN ',"400":{"description":"Client error (errors observed in traffic)"}' ELSE '' END ||
+    CASE WHEN list_contains(auth, 'none') AND len(auth) > 1 THEN ',"401":{"description":"Authentication required"}' ELSE '' END || '}'"""
+_SECURITY = """coalesce(nullif('[' || array_to_string(list_transform(list_filter(auth, lambda a: a IN ('api_key', 'basic', 'bearer')), lambda a: '{"' ||
+    CASE a WHEN 'api_key' THEN 'apiKeyAuth' WHEN 'basic' THEN 'basicAuth' ELSE 'bearerAuth' END || '":[]}'), ',') || ']', '[]'), '[{}]')"""
+_PARAMETERS = r"""array_to_string(list_transform(regexp_extract_all(path_pattern, '\{(\w+)\}', 1), lambda n: '{"name":"' || n ||
+    '","in":"path","required":true,"schema":{"type":"string"},"description":"Auto-detected path parameter: ' || n || '"}'), ',')"""
+_WHOLE = (
+    """'{"summary":"[Auto-discovered] ' || method || ' ' || path_pattern || '","description":' || CAST(to_json(""" + _DESCRIPTION + """) AS VARCHAR) || ',"responses":' || """
+    + _RESPONSES + """ || CASE WHEN status = 'deprecated' THEN ',"deprecated":true' ELSE '' END || coalesce(',"tags":["' || """ + _TAG + """ || '"]', '') ||
+    ',"operationId":"' || """ + _OPERATION_ID + """ || '"' || CASE WHEN contains(path_pattern, '{') THEN ',"parameters":[' || """ + _PARAMETERS + """ || ']' ELSE '' END ||
+    ',"security":' || """ + _SECURITY + """ || '}'"""
+)
+_ITEMS = (
+    """(SELECT path_pattern, '{' || string_agg(member, ',' ORDER BY member) || '}' AS path_item FROM (SELECT path_pattern, '"' || lower(method) || '":' || op AS member
+    FROM (SELECT *, """ + _WHOLE + """ AS op, row_number() OVER (PARTITION BY path_pattern, lower(method) ORDER BY status DESC, endpoint_id DESC) AS f FROM @source) WHERE f = 1) GROUP BY path_pattern)"""
+)
+_SCHEMES = """(SELECT CASE a WHEN 'bearer' THEN 'bearerAuth' WHEN 'api_key' THEN 'apiKeyAuth' ELSE 'basicAuth' END AS scheme, CASE a
+    WHEN 'bearer' THEN '{"type":"http","scheme":"bearer","bearerFormat":"JWT","description":"Inferred from observed Bearer tokens in traffic"}'
+    WHEN 'api_key' THEN '{"type":"apiKey","in":"header","name":"X-API-Key","description":"Inferred from observed API key headers"}'
+    ELSE '{"type":"http","scheme":"basic","description":"Inferred from observed Basic auth headers"}' END AS definition
+    FROM (SELECT DISTINCT unnest(auth) AS a FROM ep) WHERE a IN ('bearer', 'api_key', 'basic'))"""
+
+
+def _listed(section: int, key: str, text: str, source: str) -> str:
+    return f"SELECT {section}, CASE WHEN row_number() OVER (ORDER BY {key}) > 1 THEN ',' ELSE '' END || {text} FROM {source}"
+
+
 @query(
     "j4_openapi_document",
-    """SELECT section, count(*) AS lines FROM (SELECT 0 AS section UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 6
-    UNION ALL SELECT 1 FROM (SELECT DISTINCT unnest(auth) AS a FROM ep) WHERE a IN ('bearer', 'api_key', 'basic')
-    UNION ALL SELECT 3 FROM (SELECT DISTINCT host FROM ep WHERE host <> '')
-    UNION ALL SELECT 5 FROM (SELECT DISTINCT path_pattern FROM ep)) GROUP BY section""",
+    " UNION ALL ".join(
+        [
+            """SELECT 0 AS section, '{"openapi":"3.0.3","info":{"title":"Auto-Generated API Spec","version":"1.0.0","description":"Auto-generated by routelens from observed traffic. Generated: 2024-01-31 00:00:00."},"components":{"securitySchemes":{' AS line""",
+            _listed(1, "scheme", """'"' || scheme || '":' || definition""", _SCHEMES),
+            """SELECT 2, '}},"servers":['""",
+            _listed(3, "host", """'{"url":"https://' || host || '"}'""", "(SELECT DISTINCT host FROM ep WHERE host <> '')"),
+            """SELECT 4, '],"paths":{'""",
+            _listed(5, "path_pattern", """'"' || path_pattern || '":' || path_item""", _ITEMS.replace("@source", "ep")),
+            "SELECT 6, '}}'",
+        ]
+    ),
 )
 def _(spark, d):
     rows = materialize(classified(spark, d), "endpoints")
-    lines = materialize(remediation.openapi_lines(rows, views.AS_OF), "document")
-    return lines.groupBy("section").agg(F.count("*").alias("lines"))
+    return remediation.openapi_lines(rows, views.AS_OF).select("section", "line")
 
 
-@query("j5_undocumented_paths", "SELECT path_pattern, count(DISTINCT lower(method)) AS operations FROM ep WHERE NOT declared GROUP BY path_pattern")
+@query("j5_undocumented_paths", f"SELECT path_pattern, path_item FROM {_ITEMS.replace('@source', '(SELECT * FROM ep WHERE NOT declared)')}")
 def _(spark, d):
-    items = remediation.path_items(remediation.undocumented(classified(spark, d)))
-    verbs = F.size(F.map_keys(F.from_json("path_item", "map<string,string>"))).cast("bigint")
-    return items.select("path_pattern", verbs.alias("operations"))
+    return remediation.path_items(remediation.undocumented(classified(spark, d)))
 
 
 def _operation(field: str):
@@ -117,15 +192,9 @@ def _(spark, d):
     return remediation.operations(classified(spark, d)).select("endpoint_id", _operation("description").alias("description"))
 
 
-@query(
-    "j8_responses",
-    """SELECT endpoint_id, array_to_string(list_sort(list_filter([CASE method WHEN 'POST' THEN '201' WHEN 'DELETE' THEN '204' ELSE '200' END,
-    CASE WHEN error_count > 0 AND error_count / total_calls > 0.5 THEN '500' WHEN error_count > 0 THEN '400' END,
-    CASE WHEN list_contains(auth, 'none') AND len(auth) > 1 THEN '401' END], lambda c: c IS NOT NULL)), ',') AS codes FROM ep""",
-)
+@query("j8_responses", f"SELECT endpoint_id, {_RESPONSES} AS responses FROM ep")
 def _(spark, d):
-    codes = F.map_keys(F.from_json(_operation("responses"), "map<string,string>"))
-    return remediation.operations(classified(spark, d)).select("endpoint_id", F.array_join(F.sort_array(codes), ",").alias("codes"))
+    return remediation.operations(classified(spark, d)).select("endpoint_id", _operation("responses").alias("responses"))
 
 
 @query(
@@ -138,13 +207,9 @@ def _(spark, d):
     return remediation.operations(classified(spark, d)).select("endpoint_id", _operation("security").alias("security"))
 
 
-@query(
-    "j10_security_schemes",
-    """SELECT CASE a WHEN 'bearer' THEN 'bearerAuth' WHEN 'api_key' THEN 'apiKeyAuth' ELSE 'basicAuth' END AS scheme FROM (SELECT DISTINCT unnest(auth) AS a FROM ep)
-    WHERE a IN ('bearer', 'api_key', 'basic')""",
-)
+@query("j10_security_schemes", f"SELECT scheme, definition FROM {_SCHEMES}")
 def _(spark, d):
-    return remediation.security_schemes(classified(spark, d)).select("scheme")
+    return remediation.security_schemes(classified(spark, d))
 
 
 @query("j11_path_parameters", "SELECT path_pattern, array_to_string(regexp_extract_all(path_pattern, '\\{(\\w+)\\}', 1), ',') AS parameters FROM ep GROUP BY path_pattern")

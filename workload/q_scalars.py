@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from routelens.functions import auth, paths, pytext, times
-from routelens.operators import network
+from routelens.operators import anomaly, graph, inventory, network, remediation
 from routelens.plans.shared import materialize
+from routelens.sources import tables
 from workload import views
 from workload.registry import query, r6
 from workload.sql import ts
@@ -13,7 +14,8 @@ from workload.sql import ts
 @query(
     "k1_regex",
     """SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_]', '_', 'g') AS replaced, regexp_extract(url, '/([a-z]+)/', 1) AS extracted,
-    array_to_string(regexp_extract_all(url, '[0-9]+'), ',') AS found FROM pages""",
+    array_to_string(regexp_extract_all(url, '[0-9]+'), ',') AS found,
+    trim(regexp_replace(url, '[^A-Za-z0-9]', '_', 'g'), '_') AS metric, regexp_replace(url, '\\{[^}]+\\}', '[^/]+', 'g') AS route FROM pages""",
 )
 def _(spark, d):
     url = F.col("url")
@@ -21,6 +23,7 @@ def _(spark, d):
         "page_id", F.regexp_replace(url, "[^A-Za-z0-9_]", "_").alias("replaced"),
         F.regexp_extract(url, "/([a-z]+)/", 1).alias("extracted"),
         F.array_join(F.regexp_extract_all(url, F.lit("[0-9]+"), F.lit(0)), ",").alias("found"),
+        remediation.metric_name(url).alias("metric"), remediation.path_regex(url).alias("route"),
     )
 
 
@@ -41,9 +44,12 @@ def _(spark, d):
     )
 
 
-@query("k3_like", "SELECT c_custkey FROM customer WHERE c_name ILIKE '%CUSTOMER#%1_3%'")
+@query("k3_like", "SELECT c_custkey FROM customer WHERE c_name ILIKE '%CUSTOMER#%1_3%' OR c_mktsegment ILIKE '%CUSTOMER#%1_3%'")
 def _(spark, d):
-    return views.table(spark, d, "customer").filter(F.col("c_name").ilike("%CUSTOMER#%1_3%")).select("c_custkey")
+    rows = views.table(spark, d, "customer").select(
+        "c_custkey", F.col("c_name").alias("path_pattern"), F.col("c_mktsegment").alias("host"), F.lit(None).cast("string").alias("service_name")
+    )
+    return inventory.search(rows, "CUSTOMER#%1_3").select("c_custkey")
 
 
 @query(
@@ -131,7 +137,9 @@ def _(spark, d):
 @query(
     "k13_math",
     """SELECT l_linenumber, sum(greatest(5, least(50, floor(l_quantity / 10) + 5)))::BIGINT AS clamped, round(sum(abs(l_discount - 0.05)), 4) AS off,
-    round(sum(sqrt(l_quantity)), 4) AS roots, sum(floor(l_extendedprice / 100))::BIGINT AS hundreds FROM lineitem GROUP BY l_linenumber""",
+    round(sum(sqrt(l_quantity)), 4) AS roots, sum(floor(l_extendedprice / 100))::BIGINT AS hundreds,
+    sum(greatest(5, least(50, floor(l_extendedprice / 10) + 5)))::BIGINT AS sizes, round(sum(CASE WHEN l_quantity > 0 THEN l_tax / l_quantity ELSE 0 END), 4) AS rates
+    FROM lineitem GROUP BY l_linenumber""",
 )
 def _(spark, d):
     q = F.col("l_quantity")
@@ -140,23 +148,28 @@ def _(spark, d):
         F.round(F.sum(F.abs(F.col("l_discount") - 0.05)), 4).alias("off"),
         F.round(F.sum(F.sqrt(q)), 4).alias("roots"),
         F.sum(F.floor(F.col("l_extendedprice") / 100)).cast("bigint").alias("hundreds"),
+        F.sum(graph.drawn_size(F.col("l_extendedprice"))).cast("bigint").alias("sizes"),
+        F.round(F.sum(inventory.error_rate(F.col("l_tax"), q)), 4).alias("rates"),
     )
 
 
 @query(
     "k14_json",
-    """SELECT event_id, k, '{"id":' || event_id || ',"kind":"' || event_type || '"}' AS doc FROM ev""",
+    """SELECT event_id, k, '{"id":' || event_id || ',"kind":"' || event_type || '"}' AS doc, '{"id":' || event_id || ',"k":' || k || ',"none":null}' AS report FROM ev""",
 )
 def _(spark, d):
     rows = views.table(spark, d, "events").withColumn("doc", F.from_json("props", "k int"))
     out = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind")))
-    return rows.select("event_id", F.col("doc.k").alias("k"), out.alias("doc"))
+    report = tables.as_json(rows.select(F.col("event_id").alias("id"), F.col("doc.k").alias("k"), F.lit(None).cast("string").alias("none")))
+    read = report.select(F.get_json_object("value", "$.id").cast("bigint").alias("event_id"), F.col("value").alias("report"))
+    return rows.select("event_id", F.col("doc.k").alias("k"), out.alias("doc")).join(read, "event_id")
 
 
 @query(
     "k15_arrays",
     """SELECT conv_id, turn, len(list_distinct(words)) AS distinct_words, list_contains(words, 'the') AS has_the,
-    array_to_string(list_slice(list_sort(list_distinct(words)), 1, 5), ',') AS first_words
+    array_to_string(list_slice(list_sort(list_distinct(words)), 1, 5), ',') AS first_words,
+    '[' || array_to_string(list_transform(list_slice(list_sort(list_distinct(words)), 1, 5), lambda w: chr(39) || w || chr(39)), ', ') || ']' AS quoted
     FROM (SELECT *, string_split(text, ' ') AS words FROM conversations)""",
 )
 def _(spark, d):
@@ -164,6 +177,7 @@ def _(spark, d):
     return views.table(spark, d, "conversations").select(
         "conv_id", "turn", F.size(words).cast("bigint").alias("distinct_words"), F.array_contains(words, "the").alias("has_the"),
         F.array_join(F.slice(F.sort_array(words), 1, 5), ",").alias("first_words"),
+        pytext.quoted_list(F.slice(F.sort_array(words), 1, 5)).alias("quoted"),
     )
 
 
@@ -173,8 +187,9 @@ def _(spark, d):
     count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id""",
 )
 def _(spark, d):
-    counts = views.events(spark, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    # status_distribution makes a map per endpoint: here per user, of event types
+    rows = views.events(spark, d).select(F.col("user_id").alias("method"), F.lit("").alias("path_pattern"), F.col("event_type").alias("status_code"))
+    maps = anomaly.status_distribution(rows).select(F.col("method").alias("user_id"), F.col("status_codes").alias("m"))
     return maps.select(
         "user_id", F.try_element_at("m", F.lit("click")).alias("clicks"), F.try_element_at("m", F.lit("error")).alias("errors"),
         F.size("m").cast("bigint").alias("kinds"),
@@ -184,12 +199,13 @@ def _(spark, d):
 @query(
     "k17_conversions",
     """SELECT o_orderkey, TRY_CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rank, TRY_CAST(o_orderstatus AS INTEGER) AS bad,
-    TRY_CAST(o_totalprice::VARCHAR AS DOUBLE) AS price FROM orders""",
+    TRY_CAST(o_totalprice::VARCHAR AS DOUBLE) AS price, printf('%.0f', o_totalprice) AS whole FROM orders""",
 )
 def _(spark, d):
     return views.table(spark, d, "orders").select(
         "o_orderkey", F.substring("o_orderpriority", 1, 1).try_cast("int").alias("rank"),
         F.col("o_orderstatus").try_cast("int").alias("bad"), F.col("o_totalprice").cast("string").try_cast("double").alias("price"),
+        pytext.whole(F.col("o_totalprice")).alias("whole"),
     )
 
 
