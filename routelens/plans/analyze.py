@@ -43,7 +43,8 @@ def analyze_logs(
     """Ingest log files into the store at ``store`` and return the updated report.
 
     ``batch_id`` names the batch: running the same batch again replaces it instead of counting
-    its calls twice.
+    its calls twice, and an older batch that runs again renews the newest snapshot as well, as long as
+    its delta is not yet part of a compacted state (``tables.COMPACT_EVERY``), which is an error.
     """
     traffic = logs.with_pattern(logs.read_logs(spark, paths, as_of, log_format))
     written = store_traffic(traffic, store, batch_id)
@@ -61,7 +62,9 @@ def fold_batch(
     spark: SparkSession, traffic: DataFrame, store: str, as_of: Column, batch_id: int, spec: DataFrame | None = None
 ) -> InventoryReport:
     """Merge one batch of traffic into the stored state and refresh endpoints and alerts."""
-    current = tables.fold_state(f"{store}/parts", inventory.endpoint_parts(traffic), batch_id, inventory.merge_parts)
+    newest = max(batch_id, tables.latest_version(spark, f"{store}/endpoints") or 0)
+    parts = inventory.endpoint_parts(traffic)
+    current = tables.fold_state(f"{store}/parts", parts, batch_id, inventory.merge_parts, upto=newest)
     stored = tables.read_snapshot(spark, f"{store}/endpoints", ENDPOINTS, before=batch_id)
     # what an earlier spec declared or deprecated stays so
     declared = stored.filter("declared_in_spec").select(
@@ -70,11 +73,11 @@ def fold_batch(
     if spec is not None:
         declared = declared.unionByName(spec.select("method", "path", "host", "deprecated"))
     fresh = inventory_report(current, as_of, declared)
-    tables.write_snapshot(inventory.upsert_endpoints(stored, fresh.endpoints), f"{store}/endpoints", batch_id)
-    endpoints = tables.read_snapshot(spark, f"{store}/endpoints", ENDPOINTS, before=batch_id + 1)
+    tables.write_snapshot(inventory.upsert_endpoints(stored, fresh.endpoints), f"{store}/endpoints", newest)
+    endpoints = tables.read_snapshot(spark, f"{store}/endpoints", ENDPOINTS, before=newest + 1)
 
     raised = alerts.generate_alerts(endpoints, as_of)
     old = tables.read_if_exists(spark, f"{store}/alerts", raised.schema.add("batch_id", T.IntegerType()))
-    new = alerts.unseen_alerts(raised, old.filter(F.col("batch_id") < batch_id))
+    new = alerts.unseen_alerts(raised, old.filter(F.col("batch_id") != batch_id))
     tables.write_batch(new, f"{store}/alerts", batch_id)
     return InventoryReport(inventory.report(endpoints, as_of), endpoints, raised)

@@ -78,20 +78,26 @@ COMPACT_EVERY = 20
 
 
 def fold_state(
-    root: str, batch: DataFrame, batch_id: int, merge: Callable[..., DataFrame], compact_every: int = COMPACT_EVERY
+    root: str, batch: DataFrame, batch_id: int, merge: Callable[..., DataFrame], compact_every: int = COMPACT_EVERY,
+    upto: int | None = None,
 ) -> DataFrame:
     """Add a batch to a state table and return the whole state, merged on read.
 
-    ``merge`` combines any number of states into one.  Only batches up to ``batch_id`` count, so
-    a batch that is run again sees the state it saw the first time.
+    ``merge`` combines any number of states into one.  Only batches up to ``batch_id``, or up to a later
+    ``upto``, count, so a batch that is run again sees the state it saw the first time.  A batch whose old
+    delta is part of a snapshot up to ``upto`` cannot be replaced there any more: that is an error.
     """
     spark, schema = batch.sparkSession, batch.schema
+    newest = latest_version(spark, root, before=upto + 1) if upto is not None else None
+    if newest is not None and newest > batch_id:
+        raise ValueError(f"batch {batch_id} is part of the snapshot of batch {newest}; replay from a copy of the older state")
     write_batch(batch, f"{root}/deltas", batch_id)
+    last = max(batch_id, upto or 0)
     base = latest_version(spark, root, before=batch_id)
     deltas = spark.read.schema(schema).parquet(f"{root}/deltas")  # batch_id comes from the folder names
-    newer = deltas.filter((F.col("batch_id") > (-1 if base is None else base)) & (F.col("batch_id") <= batch_id))
+    newer = deltas.filter((F.col("batch_id") > (-1 if base is None else base)) & (F.col("batch_id") <= last))
     state = merge(read_snapshot(spark, root, schema, before=batch_id), newer.drop("batch_id"))
-    if batch_id - (-1 if base is None else base) < compact_every:
+    if last > batch_id or batch_id - (-1 if base is None else base) < compact_every:
         return state
     write_snapshot(state, root, batch_id)
     return read_snapshot(spark, root, schema, before=batch_id + 1)

@@ -120,3 +120,20 @@ def test_exports(spark):
     assert graph.force_links(edges).first().width == 3
     assert graph.export_edges(edges).first().error_rate == 0.04
     assert {r.error_rate for r in graph.export_nodes(nodes).collect()} == {0.123, 0.0}
+
+
+def test_reach_has_no_limit(spark):
+    hops = 40  # rounds are merged several times on the way
+    edges = spark.createDataFrame([(f"s{i + 1}", f"s{i}") for i in range(hops)] + [("s0", f"s{hops}")], "source string, target string")
+    nodes = spark.createDataFrame([(f"s{i}",) for i in range(hops + 1)], "name string")
+    found = {r.affected: r.depth for r in graph.blast_radius(nodes, edges, "s0").collect()}
+    assert found == {f"s{i}": i for i in range(1, hops + 1)} | {"s0": 0} or found == {f"s{i}": i for i in range(1, hops + 1)}
+
+
+def test_affected_counts_when_set_hashes_collide(spark, monkeypatch):
+    rows = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "z"), ("c", "x"), ("c", "y"), ("x", "y")]
+    edges = spark.createDataFrame(rows, "source string, target string")
+    want = {r.name: r.affected_count for r in graph.affected_counts(edges).collect()}
+    assert want == {"x": 3, "y": 4, "z": 1}
+    monkeypatch.setattr(graph.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    assert {r.name: r.affected_count for r in graph.affected_counts(edges).collect()} == want

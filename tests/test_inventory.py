@@ -181,6 +181,17 @@ def test_store_is_idempotent_per_batch(spark, tmp_path):
     assert tables.latest_version(spark, f"{tmp_path}/endpoints") == 1
 
 
+def test_older_batch_again_renews_the_newest_snapshot(spark, tmp_path):
+    records = random_records(8, 60)
+    for batch, part in ((0, records[:30]), (1, records[30:]), (0, records[:10])):
+        report = analyze.fold_batch(spark, frame(spark, part), str(tmp_path), as_of(), batch)
+    assert report.endpoints.agg(F.sum("total_calls")).first()[0] == 40
+    assert tables.latest_version(spark, f"{tmp_path}/endpoints") == 1
+    tables.write_snapshot(spark.read.parquet(f"{tmp_path}/parts/deltas").drop("batch_id"), f"{tmp_path}/parts", 1)
+    with pytest.raises(ValueError, match="part of the snapshot of batch 1"):
+        analyze.fold_batch(spark, frame(spark, records[:5]), str(tmp_path), as_of(), 0)
+
+
 def test_analyze_logs_end_to_end(spark, tmp_path):
     line = '10.0.0.{i} - - [30/Jan/2024:10:00:0{i} +0000] "GET /users/{i} HTTP/1.1" {s} 1 "-" "ua" 0.5 ""'
     (tmp_path / "a.log").write_text("\n".join(line.format(i=i, s=500 if i < 4 else 200) for i in range(9)))

@@ -138,3 +138,37 @@ def test_specs_from_json_and_yaml(spark, tmp_path):
     assert openapi.deprecated_endpoints(specs).count() == 2
     declared = openapi.declared_endpoints(specs).filter("method = 'PUT'").first()
     assert (declared.host, declared.status, declared.declared_in_spec) == ("h", "deprecated", True)
+
+
+def test_irregular_specs(spark):
+    docs = [
+        ('{"paths":{"x-owner":"team","/a":{"get":{}},"/b":{"post":{"deprecated":true}},"/n":null,"/l":[{"get":{}}]}}',),
+        ('{"paths":{"/cut":{"get":{}}',), ("[1]",), ('{"paths":[1]}',), ('{"info":{}}',), (None,),
+    ]
+    specs = spark.createDataFrame([("h", *x) for x in docs], "host string, spec_json string")
+    rows = {(r.method, r.path): r.deprecated for r in openapi.spec_operations(specs, skip_unreadable=True).collect()}
+    assert rows == {("GET", "/a"): False, ("POST", "/b"): True}
+    assert sorted(r.start or "" for r in openapi.unreadable_specs(specs).collect()) == ["", "[1]", '{"paths":{"/cut":{"get":{}}']
+    with pytest.raises(Exception, match="spec is no JSON object"):
+        openapi.spec_operations(specs).collect()
+
+
+def test_heads_of_files_without_line_feeds(spark, tmp_path):
+    (tmp_path / "one.log").write_bytes(b"x" * (3 * logs.HEAD_BYTES))
+    (tmp_path / "mac.log").write_bytes("\r".join(NGINX * 4).encode())
+    (tmp_path / "short.log").write_bytes(NGINX[0].encode())
+    heads = {}
+    for r in logs.head_lines(spark, str(tmp_path)).collect():
+        heads.setdefault(r.file_path.rsplit("/", 1)[-1], []).append(r.raw_line)
+    assert [len(x) for x in heads["one.log"]] == [logs.HEAD_BYTES]
+    assert len(heads["mac.log"]) == min(10, len(NGINX) * 4) and heads["short.log"] == [NGINX[0]]
+
+
+def test_package_is_shipped_once(spark):
+    from routelens.session import ship_package
+
+    before = len(spark.sparkContext._jsc.sc().listFiles().mkString(",").split(","))
+    ship_package(spark)
+    ship_package(spark)
+    files = spark.sparkContext._jsc.sc().listFiles().mkString(",").split(",")
+    assert len(files) == before and any("routelens" in f for f in files)  # the session has done it already
