@@ -140,21 +140,28 @@ def _unpacked(packed: bytes, size: int) -> bytes:
 
 def _region_rows(window: int):
     """packed, n_bytes, open -> the bytes of each open bundle."""
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
+
+    def batch_of(batch: pa.RecordBatch, row: list, numbers: list, regions: list) -> pa.RecordBatch:
+        keys = [batch.column(i).take(pa.array(row, pa.int32())) for i in (0, 1)]
+        columns = [pa.array([n[k] for n in numbers], t) for k, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*keys, *columns, pa.array(regions, pa.binary())], names=[*_KEY, "owner", "lo", "hi", "one", "region"])
 
     def run(batches):
         for batch in batches:
             get = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n not in _KEY}
-            row, numbers, regions = [], [], []
-            for i, (packed, size, open_) in enumerate(zip(get["packed"], get["n_bytes"], get["open"], strict=True)):
-                data = _unpacked(packed, size)
+            row, numbers, regions, size = [], [], [], 0
+            for i, (packed, n_bytes, open_) in enumerate(zip(get["packed"], get["n_bytes"], get["open"], strict=True)):
+                data = _unpacked(packed, n_bytes)
                 for b in open_:
                     row.append(i)
                     numbers.append((b["owner"], b["lo"], b["hi"], b["one"]))
                     regions.append(data[b["lo"] : b["hi"] + window])
-            keys = [batch.column(i).take(pa.array(row, pa.int32())) for i in (0, 1)]
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
-            columns = [pa.array([n[k] for n in numbers], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*keys, *columns, pa.array(regions, pa.binary())], names=[*_KEY, "owner", "lo", "hi", "one", "region"])
+                    size += len(regions[-1])
+                    if size >= BYTES_AT_ONCE:
+                        yield batch_of(batch, row, numbers, regions)
+                        row, numbers, regions, size = [], [], [], 0
+            yield batch_of(batch, row, numbers, regions)
 
     return run
 
@@ -163,14 +170,18 @@ def _windows_of(batch: pa.RecordBatch, window: int) -> tuple:
     """Of every window of the batch's regions: row, start in the text, place after the owner, name."""
     owner, lo, hi = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3, 4))
     regions = batch.column(6).to_pylist()
-    run = RunNames(np.frombuffer(b"".join(regions), np.uint8))
-    begin = np.cumsum([0, *(len(r) for r in regions)])[:-1]
+    begin = np.cumsum([0, *(len(r) for r in regions)])
     count = hi - lo + 1
     row = np.repeat(np.arange(count.size), count)
     nth = np.arange(row.size) - np.repeat(np.cumsum(count) - count, count)
-    first = begin[row] + nth
-    start = lo[row] + nth
-    return row, start, start - owner[row], run.names(first, first + window)
+    start, name, i = lo[row] + nth, np.zeros(row.size, np.uint64), 0
+    while i < count.size:  # some regions at a time
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + BYTES_AT_ONCE, "right")) - 1)
+        of = slice(*np.searchsorted(row, (i, j)))
+        first = begin[row[of]] - begin[i] + nth[of]
+        name[of] = RunNames(np.frombuffer(b"".join(regions[i:j]), np.uint8)).names(first, first + window)
+        i = j
+    return row, start, start - owner[row], name
 
 
 def _repeated_runs(window: int, bytes_at_once: int = BYTES_AT_ONCE):
@@ -286,19 +297,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, owners: int = OWNERS
     mixed = materialize(mixed, "mixed-digits")
     region = f"{key}, owner int, lo int, hi int, one bigint, region binary"
 
-    def regions(kinds: DataFrame) -> DataFrame:
+    def regions(kinds: DataFrame, fn, schema: str) -> DataFrame:
         open_ = groups.join(kinds.select("one"), "one").select("one", "member.*")
         open_ = open_.groupBy(*_KEY).agg(F.collect_list(F.struct("owner", "lo", "hi", "one")).alias("open"))
         read = _at_texts(_packed(docs), open_, "inner").select(*_KEY, "packed", "n_bytes", "open")
-        return read.mapInArrow(_region_rows(window), region)
+        return read.mapInArrow(fn, schema)
 
-    few = regions(mixed.filter(F.col("kinds") <= most_kinds)).repartition("one").sortWithinPartitions("one")
+    few = regions(mixed.filter(F.col("kinds") <= most_kinds), _region_rows(window), region)
+    few = few.repartition("one").sortWithinPartitions("one")
     runs = settled.unionByName(few.mapInArrow(_repeated_runs(window), f"{key}, lo int, hi int"))
     many = mixed.filter(F.col("kinds") > most_kinds)
     if many.isEmpty():
         return runs
 
-    windows = regions(many).mapInArrow(_window_rows(window), f"{key}, owner int, start int, one bigint, name bigint")
+    def window_rows(batches):
+        return _window_rows(window)(_region_rows(window)(batches))
+
+    windows = regions(many, window_rows, f"{key}, owner int, start int, one bigint, name bigint")
     windows = materialize(windows, "windows")
     place = F.col("start") - F.col("owner")
     again = windows.groupBy("one", place.alias("place"), "name").agg(F.count("*").alias("n")).filter("n > 1")
