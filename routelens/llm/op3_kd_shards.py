@@ -4,7 +4,8 @@ All rows of one text form a group, the unit that is placed.  A node of the tree
 target bytes is split: along the dimension in which its groups spread widest, at the weighted quantile
 that leaves both sides whole shares of the leaves (the weighted median where the leaves are even).
 Each level splits all nodes at once, by a range-partitioned sort of one small row per group and running
-sums of its bytes; the driver gets one row per node.  Leaves are the shards.
+sums of its bytes; the driver gets one row per node, at most as many as there are shards.  Leaves are the
+shards.
 
 Dimensions are a group's smallest doc_id, its size in bytes, and its smallest source and lang by their
 first bytes, each as a share of its range over the table.  A sort by (dimension, digest) settles ties, so
@@ -49,25 +50,22 @@ def kd_leaves(groups: DataFrame, leaves: int) -> DataFrame:
     shares = {0: leaves}  # of leaves still to make from each node; a node is named by its first leaf
     while any(n > 1 for n in shares.values()):
         spread = [((F.max(d) - F.min(d)) / scale[d]).alias(d) for d in DIMENSIONS]
-        seen = nodes.groupBy("node").agg(F.sum("weight").alias("weight"), *spread).collect()
-        widest = {r.node: max(DIMENSIONS, key=lambda d: r[d]) for r in seen}  # noqa: B023
-        total = {r.node: r.weight for r in seen}
-
-        def per_node(values: dict, like: str) -> Column:
-            out = F.lit(None).cast(like)
-            for node, v in values.items():
-                out = F.when(F.col("node") == node, v).otherwise(out)
-            return out
-
-        place = per_node({n: F.col(d) for n, d in widest.items()}, "double")
-        summed = running_sums(nodes.withColumn("_place", place), ["node"], ["_place", "digest"], {"_upto": F.col("weight")})
-        left = {n: shares[n] // 2 for n in total}
-        cut = per_node({n: F.lit(total[n] * left[n] / shares[n]) for n in total}, "double")
-        right = F.col("_upto") - F.col("weight") / 2.0 > cut  # a group goes where its middle falls
-        move = F.when(right, per_node({n: F.lit(left[n]) for n in total}, "int")).otherwise(0)
-        move = F.when(per_node({n: F.lit(shares[n]) for n in total}, "int") > 1, move).otherwise(0)
-        nodes = materialize(summed.withColumn("node", F.col("node") + move).select(*groups.columns, "node"), "kd-level")
-        shares = {k: v for n in total for k, v in (((n, left[n]), (n + left[n], shares[n] - left[n])) if shares[n] > 1 else ((n, 1),))}
+        seen = nodes.groupBy("node").agg(F.sum("weight").alias("weight"), *spread).collect()  # a row per node
+        splits, after = [], {}
+        for r in seen:
+            share, left = shares[r.node], shares[r.node] // 2
+            widest = max(range(len(DIMENSIONS)), key=lambda i: r[DIMENSIONS[i]])  # noqa: B023
+            cut = r.weight * left / share if share > 1 else float("inf")
+            splits.append((r.node, widest + 1, cut, left))
+            after |= {r.node: left, r.node + left: share - left} if share > 1 else {r.node: 1}
+        table = nodes.sparkSession.createDataFrame(splits, "node int, _widest int, _cut double, _left int")
+        split = nodes.join(F.broadcast(table), "node")
+        split = split.withColumn("_place", F.element_at(F.array(*DIMENSIONS), F.col("_widest")))
+        summed = running_sums(split, ["node"], ["_place", "digest"], {"_upto": F.col("weight")})
+        right = F.col("_upto") - F.col("weight") / 2.0 > F.col("_cut")  # a group goes where its middle falls
+        node = F.col("node") + F.when(right, F.col("_left")).otherwise(0)
+        nodes = materialize(summed.withColumn("node", node).select(*groups.columns, "node"), "kd-level")
+        shares = after
     return nodes.select("digest", F.col("node").alias("shard"))
 
 
