@@ -3,8 +3,9 @@
 A text is a sequence of words (longer ones cut into pieces of 16 characters).  Of its runs of five words
 those are anchors whose least inner run of two words, by hash, is the first or the last.  Whether a run
 is an anchor depends on its own words alone, so an edit touches only the anchors around it.  The
-fingerprint is the 64 anchors of least hash, each with its place; a text of fewer than five words has
-one anchor for the whole, a text without words none.
+fingerprint is the 64 anchors of least hash, each with its place.  A text of words without such a run, as
+all of fewer than five words and some of five or six, has one anchor for the whole; a text without words
+has none.
 
 The likeness of two fingerprints is the share, among the 64 least hashes of both, of anchors that both
 have and that match by place: another common anchor lies as far apart in the two texts, or there is no
@@ -64,8 +65,11 @@ def _anchors(words: Column) -> Column:
 
         return F.transform(F.filter(F.sequence(F.lit(0), n - RUN), closed), anchor)
 
+    def or_whole(found: Column) -> Column:
+        return F.when((F.size(found) == 0) & (n > 0), F.array(_anchor(F.xxhash64(words), 0))).otherwise(found)
+
     none = F.array().cast("array<bigint>")
-    return F.when(n == 0, none).when(n < RUN, F.array(_anchor(F.xxhash64(words), 0))).otherwise(let(inner, of_runs))
+    return let(F.when(n < RUN, none).otherwise(let(inner, of_runs)), or_whole)
 
 
 def fingerprint(text: Column) -> Column:

@@ -273,3 +273,14 @@ def test_fingerprints_of_odd_rows(odd, empty):
     one = op2_closed_syncmers.edited_pairs(odd.filter("doc_id = 8")).collect()
     assert one[0].near_next == 1.0 and one[0].n_chars == 1320
     assert odd.select(F.lit(1)).count() == len(rows)
+
+
+def test_only_texts_without_words_have_no_anchors(spark):
+    draw = random.Random(6)
+    texts = ["", " \n\t"] + [" ".join(f"w{draw.randrange(10**6)}" for _ in range(n)) for n in (5, 6) * 40]
+    texts += ["".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(n)) for n in (70, 90) * 20]  # pieces of 16 characters
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = sorted(op2_closed_syncmers.edited_pairs(df).collect(), key=lambda r: r.doc_id)
+    assert all((r.fingerprint == "") == (not texts[r.doc_id].strip()) for r in rows)
+    assert len({r.fingerprint for r in rows}) == len(rows) - 1  # the two texts without words are alike
+    assert rows[0].near_next == 1.0 and all(r.near_next < 1.0 for r in rows[1:])
