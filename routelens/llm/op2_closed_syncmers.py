@@ -7,13 +7,14 @@ fingerprint is the 64 anchors of least hash, each with its place.  A text of wor
 all of fewer than five words and some of five or six, has one anchor for the whole; a text without words
 has none.
 
-The likeness of two fingerprints is the share, among the 64 least hashes of both, of anchors that both
-have and that match by place: another common anchor lies as far apart in the two texts, or there is no
-other.  That estimates the overlap of the anchor sets within about 0.06, and is exact for sets of up to
-64.  Two fingerprints without anchors have likeness 1.
+The likeness of two anchor sets is the share, among the anchors of both, of those that both have and that
+match by place: another common anchor lies as far apart in the two texts, or there is no other.  The
+columns near_edited_all and near_next_all are that over all anchors of the texts; near_edited and near_next
+are it over the 64 least hashes of both, an estimate from the fingerprints alone, and the same for sets of
+up to 64 together.  Two texts without anchors have likeness 1.
 
-The next document is found on keys alone, by a range-partitioned sort; of its text only the part that the
-edited text takes travels.  DataFrame functions only, and every array is as long as one text at most.
+The next document is found on keys alone, by a range-partitioned sort; its text then travels whole, as all
+its anchors are compared.  DataFrame functions only, and every array is as long as two texts at most.
 
 Null text counts as empty.  Documents go by doc_id, null first, then by a hash of the text; rows that
 repeat both are one document, and each of them gives a row.  A single document is followed by itself.
@@ -38,16 +39,8 @@ def let(value: Column, body) -> Column:
 
 
 def _anchor(hashed: Column, place: Column | int) -> Column:
-    place = F.least(F.lit(place).cast("long") if isinstance(place, int) else place.cast("long"), F.lit(2**PLACE_BITS - 1))
-    return F.shiftleft(F.shiftrightunsigned(hashed, PLACE_BITS + 1), PLACE_BITS).bitwiseOR(place)
-
-
-def _hash_part(anchor: Column) -> Column:
-    return F.shiftright(anchor, PLACE_BITS)
-
-
-def _place(anchor: Column) -> Column:
-    return anchor.bitwiseAND(F.lit(2**PLACE_BITS - 1).cast("long"))
+    place = F.lit(place) if isinstance(place, int) else place
+    return F.struct(F.shiftrightunsigned(hashed, PLACE_BITS + 1).alias("hash"), place.cast("int").alias("place"))
 
 
 def _anchors(words: Column) -> Column:
@@ -68,83 +61,97 @@ def _anchors(words: Column) -> Column:
     def or_whole(found: Column) -> Column:
         return F.when((F.size(found) == 0) & (n > 0), F.array(_anchor(F.xxhash64(words), 0))).otherwise(found)
 
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<struct<hash:bigint,place:int>>")
     return let(F.when(n < RUN, none).otherwise(let(inner, of_runs)), or_whole)
 
 
-def fingerprint(text: Column) -> Column:
-    """The anchors of least hash, ascending, one for each hash; as numbers that hold hash and place."""
+def all_anchors(text: Column) -> Column:
+    """All anchors of a text as (hash, place), ascending, the first of each hash."""
     words = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda w: F.xxhash64(w))
 
-    def least(found: Column) -> Column:
-        new = F.filter(found, lambda x, i: (i == 0) | (_hash_part(x) != _hash_part(F.get(found, i - 1))))
-        return F.slice(new, 1, ANCHORS)
+    def first_of_hash(found: Column) -> Column:
+        return F.filter(found, lambda x, i: (i == 0) | (x["hash"] != F.get(found, i - 1)["hash"]))
+
+    return let(F.sort_array(let(words, _anchors)), first_of_hash)
 
-    return let(F.sort_array(let(words, _anchors)), least)
+
+def fingerprint(anchors: Column) -> Column:
+    """The anchors of least hash."""
+    return F.slice(anchors, 1, ANCHORS)
 
 
 def as_text(anchors: Column) -> Column:
-    return F.array_join(F.transform(anchors, lambda x: F.lower(F.hex(x))), " ")
+    """Hash and place as one number; what a place has beyond its bits there follows after a dot."""
+
+    def number(x: Column) -> Column:
+        low = x["place"].bitwiseAND(F.lit(2**PLACE_BITS - 1)).cast("long")
+        beyond = F.shiftright(x["place"], PLACE_BITS)
+        shown = F.lower(F.hex(F.shiftleft(x["hash"], PLACE_BITS).bitwiseOR(low)))
+        return F.when(beyond == 0, shown).otherwise(F.concat(shown, F.lit("."), F.lower(F.hex(beyond))))
+
+    return F.array_join(F.transform(anchors, number), " ")
+
 
+def likeness(a: Column, b: Column, most: int | None = None) -> Column:
+    """Share of the anchors of both, or of their ``most`` least, that both have and that match by place.
 
-def likeness(a: Column, b: Column) -> Column:
-    def by_hash(ha: Column, hb: Column) -> Column:
-        def of_least(both: Column) -> Column:
-            common = F.array_intersect(F.array_intersect(ha, hb), both)
-            return F.when(F.size(both) == 0, 1.0).otherwise(let(common, matched) / F.size(both))
+    One sort brings equal hashes of the two side by side and another equal shifts, so sets of any size are compared.
+    """
 
-        def matched(common: Column) -> Column:
-            def shift(x: Column) -> Column:
-                there = F.filter(b, lambda y: _hash_part(y) == _hash_part(x))[0]
-                return _place(x) - _place(there)
+    def of_side(anchors: Column, side: int) -> Column:
+        return F.transform(anchors, lambda x: F.struct(x["hash"].alias("hash"), F.lit(side).alias("side"), x["place"].alias("place")))
 
-            mine = F.filter(a, lambda x: F.array_contains(common, _hash_part(x)))
-            shifts = let(F.transform(mine, shift), lambda s: F.size(F.filter(s, lambda x: (F.size(s) == 1) | (F.size(F.filter(s, lambda y: x == y)) > 1))))
-            return F.when(F.size(common) == 0, 0).otherwise(shifts)
+    def least(both: Column) -> Column:
+        last = F.get(F.array_distinct(F.transform(both, lambda x: x["hash"])), most - 1)
+        return let(last, lambda last: F.filter(both, lambda x: last.isNull() | (x["hash"] <= last)))
 
-        return let(F.slice(F.sort_array(F.array_union(ha, hb)), 1, ANCHORS), of_least)
+    def share(both: Column) -> Column:
+        def shift(x: Column, i: Column) -> Column:
+            after = F.get(both, i + 1)
+            return F.when(after["hash"] == x["hash"], x["place"] - after["place"])
 
-    hashes = [F.transform(x, _hash_part) for x in (a, b)]
-    return let(hashes[0], lambda ha: let(hashes[1], lambda hb: by_hash(ha, hb)))
+        def of_shifts(shifts: Column) -> Column:
+            alike = lambda x, i: (F.size(shifts) == 1) | F.get(shifts, i - 1).eqNullSafe(x) | F.get(shifts, i + 1).eqNullSafe(x)
+            total = F.size(both) - F.size(shifts)
+            return F.when(total == 0, 1.0).otherwise(F.size(F.filter(shifts, alike)) / total)
 
+        return let(F.sort_array(F.filter(F.transform(both, shift), lambda x: x.isNotNull())), of_shifts)
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, fingerprint (anchors), and the row's key, for every row of ``docs``."""
-    text = docs.select("doc_id", text_or_empty().alias("text"))
-    key = [F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("text_hash")]
-    return text.select("doc_id", *key, F.char_length("text").cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("anchors"))
+    both = F.sort_array(F.concat(of_side(a, 0), of_side(b, 1)))
+    return let(let(both, least) if most else both, share)
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with its fingerprint, that of its edited text, and their likeness."""
-    rows = materialize(fingerprints(docs), "fingerprints")
-    own = rows.groupBy(*_KEY).agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("anchors").alias("anchors"), F.count("*").alias("copies"))
-    placed = ranked(own.select(*_KEY, "doc_id", "n_chars", "copies"), [], ["doc_id", "text_hash"], "in-order", "at")
-    placed = materialize(placed, "placed")
+    text = docs.select("doc_id", F.xxhash64("doc_id").alias("id_hash"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    keys = text.select("doc_id", *_KEY, F.char_length("text").cast("long").alias("n_chars"))
+    own = keys.groupBy(*_KEY).agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.count("*").alias("copies"))
+    placed = materialize(ranked(own, [], ["doc_id", "text_hash"], "in-order", "at"), "placed")
     total = F.lit(max(placed.count(), 1))
     before = placed.select(F.pmod(F.col("at") + 1, total).alias("at"), *[F.col(c).alias(f"of_{c}") for c in (*_KEY, "doc_id", "n_chars", "copies")])
     links = materialize(before.join(placed.select("at", *_KEY), "at").drop("at"), "next-documents")
 
-    text = docs.select(F.xxhash64("doc_id").alias("id_hash"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
     text = text.groupBy(*_KEY).agg(F.first("text").alias("text"))
-    own = own.select(*_KEY, "anchors")
-    taken = F.substring("text", F.lit(1), F.floor(F.col("of_n_chars") / 2).cast("int")).alias("taken")
-    ahead = text.join(links, _KEY).join(own, _KEY)
-    ahead = ahead.select(*[F.col(f"of_{c}").alias(c) for c in (*_KEY, "doc_id", "n_chars", "copies")], taken, F.col("anchors").alias("next_anchors"))
+    ahead = text.join(links, _KEY).select(*[F.col(f"of_{c}").alias(c) for c in (*_KEY, "doc_id", "n_chars", "copies")], F.col("text").alias("next_text"))
     kept = F.substring("text", F.lit(1), F.ceil(F.col("n_chars") / 2).cast("int"))
-    out = ahead.join(text, _KEY).join(own, _KEY).select("doc_id", "n_chars", "copies", "anchors", "next_anchors", F.concat(kept, "taken").alias("edited"))
-    out = out.select("*", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_anchors")).drop("edited")
-    out = out.select(
-        "doc_id",
-        "n_chars",
-        "copies",
-        "edited_sha256",
-        as_text(F.col("anchors")).alias("fingerprint"),
-        as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
-    )
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "copies")
+    taken = F.substring("next_text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int"))
+    out = ahead.join(text, _KEY).withColumn("edited", F.concat(kept, taken))
+
+    def compared(own: Column, edited: Column, following: Column) -> Column:
+        least = [fingerprint(x) for x in (own, edited, following)]
+        return F.struct(
+            as_text(least[0]).alias("fingerprint"),
+            as_text(least[1]).alias("edited_fingerprint"),
+            likeness(least[0], least[1], ANCHORS).alias("near_edited"),
+            likeness(least[0], least[2], ANCHORS).alias("near_next"),
+            likeness(own, edited).alias("near_edited_all"),
+            likeness(own, following).alias("near_next_all"),
+        )
+
+    of = [all_anchors(F.col(c)) for c in ("text", "edited", "next_text")]
+    found = let(of[0], lambda x: let(of[1], lambda y: let(of[2], lambda z: compared(x, y, z))))
+    # Inlined, as fields of a struct column would each compute it anew.
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.inline(F.array_repeat(found, F.col("copies").cast("int"))))
 
 
 def op2_closed_syncmers(spark, sf_dir: str) -> DataFrame:

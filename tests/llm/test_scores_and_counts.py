@@ -284,3 +284,35 @@ def test_only_texts_without_words_have_no_anchors(spark):
     assert all((r.fingerprint == "") == (not texts[r.doc_id].strip()) for r in rows)
     assert len({r.fingerprint for r in rows}) == len(rows) - 1  # the two texts without words are alike
     assert rows[0].near_next == 1.0 and all(r.near_next < 1.0 for r in rows[1:])
+
+
+def closed_runs(words):
+    """Run -> place of all runs of five of distinct words whose least pair is the first or the last."""
+    hashed = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in words]
+    pairs = [longs(hashed[i : i + 2]) for i in range(len(words) - 1)]
+    return {tuple(words[i : i + 5]): i for i in range(len(words) - 4) if min(range(4), key=lambda k: pairs[i + k]) in (0, 3)}
+
+
+def test_likeness_on_all_anchors_of_long_texts(spark):
+    passage = [f"p{i}" for i in range(24)]
+    long = [[f"{x}{i}" for i in range(3000)] for x in "abc"]
+    long[0][500:500] = long[1][2000:2000] = passage  # under one percent of both
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(long)], "doc_id bigint, text string")
+    rows = sorted(op2_closed_syncmers.edited_pairs(df).collect(), key=lambda r: r.doc_id)
+    runs = [closed_runs(w) for w in long]
+    for r, other in zip(rows, (1, 2, 0), strict=True):
+        text, following = " ".join(long[r.doc_id]), " ".join(long[other])
+        edited = closed_runs((text[: len(text) - len(text) // 2] + following[: len(text) // 2]).split())
+        for got, b in ((r.near_edited_all, edited), (r.near_next_all, runs[other])):
+            both = runs[r.doc_id].keys() & b.keys()  # all shifts are equal
+            assert got == pytest.approx(len(both) / len(runs[r.doc_id].keys() | b.keys()), abs=1e-12)
+    assert rows[0].near_next_all > 0 == rows[1].near_next_all
+
+
+def test_places_beyond_the_bits_of_a_fingerprint(spark):
+    far = 2**23
+    a, b = [(1, far + 1), (2, far + 5), (3, far + 9)], [(1, far + 7), (2, far + 100), (3, far + 1000)]
+    df = spark.createDataFrame([(a, b)], "a array<struct<hash:bigint,place:int>>, b array<struct<hash:bigint,place:int>>")
+    like = op2_closed_syncmers.likeness(F.col("a"), F.col("b"))
+    same = op2_closed_syncmers.likeness(F.col("a"), F.col("a"))
+    assert df.select(like, same, op2_closed_syncmers.as_text(F.col("a"))).first()[:] == (0.0, 1.0, "800001.1 1000005.1 1800009.1")
