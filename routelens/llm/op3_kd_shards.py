@@ -7,28 +7,29 @@ Each level splits all nodes at once, by a range-partitioned sort of one small ro
 sums of its bytes; the driver gets one row per node, at most as many as there are shards.  Leaves are the
 shards.
 
-Dimensions are a group's smallest doc_id, its size in bytes, and its smallest source and lang by their
-first bytes, each as a share of its range over the table.  A sort by (dimension, digest) settles ties, so
+Dimensions are a group's smallest doc_id, its size in bytes, and its smallest source and lang by their rank
+among the table's distinct ones, each as a share of its range over the table.  A sort by (dimension, digest) settles ties, so
 a node splits within a value as well.  Sizes are near equal: law ``bytes``.
 
-Null text counts as empty, and so is equal to empty text.  Null dimensions are 0.  Rows that repeat a
+Null text counts as empty, and so is equal to empty text.  A null doc_id is 0, a null source or lang empty.  Rows that repeat a
 doc_id are separate rows.  Empty tables give no rows, and other columns are not read.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelens.llm.common import documents, ranked, text_or_empty
-from routelens.plans.shared import materialize, running_sums
+from routelens.plans.shared import broadcast_if_small, materialize, running_sums
 
 SHARDS = 8
 DIMENSIONS = ("by_id", "by_size", "by_source", "by_lang")
 
 
-def _prefix(c: str) -> Column:
-    """A string's first six bytes as a number, ascending in the string's order."""
-    head = F.rpad(F.substring(F.hex(F.coalesce(F.col(c), F.lit("")).cast("binary")), 1, 12), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+def _with_ranks(groups: DataFrame, rows: DataFrame, c: str) -> DataFrame:
+    """``groups`` with by_``c``, the rank of its ``c`` among the distinct values of ``rows``, in place of ``c``."""
+    values = ranked(rows.select(c).distinct(), [], [c], f"{c}-in-order", "_rank")
+    ranks = materialize(values.select(c, F.col("_rank").cast("double").alias(f"by_{c}")), f"{c}-ranks")
+    return groups.join(broadcast_if_small(ranks), c).drop(c)
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -36,9 +37,11 @@ def _groups(rows: DataFrame) -> DataFrame:
         F.sum("size").alias("weight"),
         F.coalesce(F.min("doc_id"), F.lit(0)).cast("double").alias("by_id"),
         F.max("size").cast("double").alias("by_size"),
-        F.min("by_source").alias("by_source"),
-        F.min("by_lang").alias("by_lang"),
+        F.min("source").alias("source"),
+        F.min("lang").alias("lang"),
     )
+    for c in ("source", "lang"):
+        groups = _with_ranks(groups, rows, c)
     return materialize(groups, "text-groups")
 
 
@@ -82,8 +85,7 @@ def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
         (F.octet_length("text") + 1).cast("long").alias("size"),
         F.crc32("text").alias("text_crc32"),
         F.unhex(F.sha2("text", 256)).alias("digest"),
-        _prefix("source").alias("by_source"),
-        _prefix("lang").alias("by_lang"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("source", "lang")],
     )
     rows = materialize(rows, "shard-rows")
     groups = _groups(rows)

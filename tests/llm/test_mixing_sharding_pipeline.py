@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from routelens.llm import QUERIES, op1_gated_toxicity, op3_kd_shards, op8_systematic_mixing
@@ -105,6 +106,19 @@ def test_shards_of_odd_rows(odd, empty):
     assert max(r.shard for r in sized) >= 3
 
 
+@pytest.mark.parametrize("column", ["source", "lang"])
+def test_shards_split_by_names_with_a_common_prefix(spark, column):
+    # All of one size, so after the first split, by doc_id, the names spread widest.
+    names = ["crawl_part_1", "crawl_part_2"]
+    rows = [(i, f"text {i:03d}", names[i % 2]) for i in range(80)]
+    df = spark.createDataFrame(rows, f"doc_id bigint, text string, {column} string")
+    df = df.withColumn("lang" if column == "source" else "source", F.lit(None).cast("string"))
+    shards = defaultdict(set)
+    for r in op3_kd_shards.kd_shards(df, 4).collect():
+        shards[r.shard].add((r.doc_id // 40, names[r.doc_id % 2]))
+    assert len(shards) == 4 and all(len(x) == 1 for x in shards.values())
+
+
 def test_pipeline_equals_its_stages_by_hand(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
