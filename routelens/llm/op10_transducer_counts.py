@@ -9,10 +9,10 @@ negative where a longer token takes the place of several.
 
 States and transitions are compiled as texts need them, into a hash table of fixed bounds that is
 emptied when it is full.  Tokens never cross a white-space mark that starts a word, nor a character that
-the vocabulary lacks: there every state leads to the start state, so the state map of a chunk between
-two such places is constant, and composing the maps of all chunks is a prefix sum of their counts.
-Chunks of a batch run in step, one array operation per character place; the last few long ones, which
-would leave the arrays all but empty, run one by one through the same table.
+the vocabulary lacks: there every state leads to the start state, so the state map of a run between two
+such places is constant, and composing the maps of all runs is a sum of their counts.  Runs of a batch are
+read in step, one array operation per character place.  The last few long ones are cut into chunks, whose
+state maps, for the states that they may start in, are composed by a parallel prefix scan.
 
 Null text counts as empty and has no tokens.  Texts of any length are read whole.  Every row gives one
 row; other columns are not read.
@@ -31,6 +31,9 @@ TOKEN_LIMIT = 4096
 MARK = "▁"
 #: Bounds of the compiled table, and the characters that are counted together.
 MOST_STATES, MOST_TRANSITIONS, CHARS_AT_ONCE = 400_000, 1_500_000, 2_000_000
+#: Characters of a chunk of a long run, those before it that its first guess reads, and rounds of making its map.
+CHUNK, WARM, ROUNDS = 1024, 64, 32
+SINGLE = 4
 #: An end with at most so many tokens to grow into is told apart by which of them fit, not by the token before it.
 FEW = 8
 
@@ -42,8 +45,8 @@ def model_path(name: str) -> str:
 
 
 class Transducer:
-    def __init__(self, scores: dict[str, float], most_states: int = MOST_STATES, most_transitions: int = MOST_TRANSITIONS):
-        self.scores = scores
+    def __init__(self, scores: dict[str, float], most_states: int = MOST_STATES, most_transitions: int = MOST_TRANSITIONS, chunk: int = CHUNK):
+        self.scores, self.chunk = scores, chunk
         self.most_states, self.most_transitions = most_states, most_transitions
         self.tokens = {t for t in scores if self._merge(t) == [t]}
         grows: dict[str, list[str]] = {}
@@ -223,32 +226,89 @@ class Transducer:
         if not first.size:
             return total
         length = np.diff(np.append(first, cls.size))
+        _, count = self._read(np.full(first.size, self.start, np.int64), cls, first, length, self._scan)
+        return total + np.bincount(doc[known][first], count, len(texts)).astype(np.int64)
+
+    def _read(self, state: np.ndarray, cls: np.ndarray, first: np.ndarray, length: np.ndarray, rest=None):
+        """The states that runs of characters lead to from ``state``, and their counts; ``rest`` reads the last few."""
         order = np.argsort(-length, kind="stable")
-        first, length, owner = first[order], length[order], doc[known][first][order]
-        state, count = np.full(first.size, self.start, np.int64), np.zeros(first.size, np.int64)
-        running = np.searchsorted(-length, -np.arange(length[0]), "left")  # chunks longer than each place
+        state, first, length, count = state[order], first[order], length[order], np.zeros(first.size, np.int64)
+        running = np.searchsorted(-length, -np.arange(length[0]), "left")  # runs longer than each place
         for place in range(int(length[0])):
             n = int(running[place])
             if n < 16 and place > 64:
-                for i in range(n):
-                    count[i] += self._walk(int(state[i]), cls[first[i] + place : first[i] + length[i]].tolist())
+                state[:n], more = (rest or self._walk)(state[:n], cls, first[:n] + place, length[:n] - place)
+                count[:n] += more
                 break
             to, emit = self._look_up(state[:n] * len(self.chars) + cls[first[:n] + place])
             state[:n] = to
             count[:n] += emit
-        return total + np.bincount(owner, count, len(texts)).astype(np.int64)
-
-    def _walk(self, state: int, classes: list[int]) -> int:
-        total, seen = 0, {}
-        for c in classes:
-            key = state * len(self.chars) + c
-            got = seen.get(key)
-            if got is None:
-                to, emit = self._look_up(np.array([key], np.int64))
-                got = seen[key] = int(to[0]), int(emit[0])
-            state, emit = got
-            total += emit
-        return total
+        back = np.argsort(order)
+        return state[back], count[back]
+
+    def _scan(self, state: np.ndarray, cls: np.ndarray, first: np.ndarray, length: np.ndarray):
+        """As ``_read``, for long runs: the state maps of their chunks, composed by a parallel prefix scan.
+
+        A chunk's map is made for the states that it may start in: at first what the characters before it lead
+        to from the start state, then all that the map before it gives, and after ``SINGLE`` rounds also what
+        the run's own state has come to, until the maps from that state to the run's end are whole.  After
+        ``ROUNDS``, what is left of a run is read by characters.
+        """
+        pieces = -(-length // self.chunk)
+        run, head = np.repeat(np.arange(first.size), pieces), np.cumsum(pieces) - pieces
+        at = (np.arange(run.size) - head[run]) * self.chunk
+        begin, size = first[run] + at, np.minimum(self.chunk, length[run] - at)
+        last, inner = at + size == length[run], np.flatnonzero(at)
+        new = state[run]
+        if inner.size:
+            before = np.full(inner.size, min(WARM, self.chunk))
+            new[inner] = self._read(np.full(inner.size, self.start, np.int64), cls, begin[inner] - before, before)[0]
+        new = np.arange(run.size) << 32 | new  # a chunk and a state it starts in
+        keys, to, count = np.zeros((3, 0), np.int64)
+        for done in range(ROUNDS):
+            made = self._read(new & 0xFFFFFFFF, cls, begin[new >> 32], size[new >> 32])
+            keys, to, count = (np.concatenate(x) for x in ((keys, new), (to, made[0]), (count, made[1])))
+            order = np.argsort(keys)
+            keys, to, count = keys[order], to[order], count[order]
+            chunk = keys >> 32
+            goal = np.where(last[chunk], -1, (chunk + 1) << 32 | to)
+            after = np.minimum(np.searchsorted(keys, goal), keys.size - 1)
+            known = keys[after] == goal
+            jump, upto = np.where(known, after, np.arange(keys.size)), np.where(known, count, 0)
+            for _ in range(int(pieces.max()).bit_length()):  # each map composed with the one it leads to
+                upto, jump = upto + upto[jump], jump[jump]
+            starts = np.searchsorted(keys, head << 32 | state)
+            ends = jump[starts]
+            if last[chunk[ends]].all():
+                break
+            new = np.unique(goal[~known & (goal >= 0)])
+            if done >= SINGLE:  # a state that goes on, as in a run of one character, is tried in all later chunks
+                lacking = [(g >> 32, g & 0xFFFFFFFF) for g in goal[ends[~last[chunk[ends]]]]]
+                new = np.concatenate([np.arange(c, head[run[c]] + pieces[run[c]]) << 32 | s for c, s in lacking])
+                new = np.setdiff1d(new, keys)
+        state, total = to[ends], upto[starts] + count[ends]
+        cut = np.flatnonzero(~last[chunk[ends]])
+        if cut.size:
+            place = begin[chunk[ends[cut]] + 1]
+            state[cut], more = self._walk(state[cut], cls, place, first[cut] + length[cut] - place)
+            total[cut] += more
+        return state, total
+
+    def _walk(self, state: np.ndarray, cls: np.ndarray, first: np.ndarray, length: np.ndarray):
+        """As ``_read``, a character at a time."""
+        out, seen = [], {}
+        for s, a, n in zip(state.tolist(), first.tolist(), length.tolist(), strict=True):
+            total = 0
+            for c in cls[a : a + n].tolist():
+                key = s * len(self.chars) + c
+                got = seen.get(key)
+                if got is None:
+                    to, emit = self._look_up(np.array([key], np.int64))
+                    got = seen[key] = int(to[0]), int(emit[0])
+                s, emit = got
+                total += emit
+            out.append((s, total))
+        return np.array(out, np.int64).reshape(-1, 2).T
 
 
 @functools.cache

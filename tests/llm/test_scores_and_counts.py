@@ -128,6 +128,29 @@ def test_transducer_counts_equal_the_library():
     assert [int(small.counts([t])[0]) for t in texts[:60]] == want[:60]  # the table is emptied again and again
 
 
+def test_long_runs_are_scanned_in_chunks():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL(op10_transducer_counts.MODEL))
+    scores, walked = op10_transducer_counts.transducer(MODEL(op10_transducer_counts.MODEL)).scores, []
+
+    class Counting(op10_transducer_counts.Transducer):
+        def _walk(self, state, cls, first, length):
+            walked.extend(length.tolist())
+            return super()._walk(state, cls, first, length)
+
+    draw = random.Random(8)
+    texts = ["x" * 40_001, "ab" * 20_000, "".join(draw.choice("etaoinshr") for _ in range(40_000)), "=-" * 9_000 + "e" * 9_000]
+    texts += ["".join(draw.choice("ABCDEFabcdef0123456789+/") for _ in range(40_000)), " " * 30_000, "a" * 100]
+    want = [len(x) for x in library.encode(texts)]
+    for chunk in (100, 1024):
+        walked.clear()
+        machine = Counting(scores, chunk=chunk)
+        assert machine.counts(texts).tolist() == want
+        assert [int(machine.counts([t])[0]) for t in texts] == want
+        assert max(walked, default=0) <= chunk  # no run is read by characters beyond a chunk
+
+
 def test_token_counts_query(spark, sf, texts, odd, empty):
     import sentencepiece
 
