@@ -63,15 +63,15 @@ def with_pattern(traffic: DataFrame, path_patterns: DataFrame | None = None) ->
     )
 
 
-#: A head is looked for in at most so many bytes of a file.
+#: At most so many bytes of a line are held while a head is looked for.
 HEAD_BYTES = 1 << 20
 
 
 def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """First non-blank lines of each listed file, read without touching the rest of it.
 
-    A file without enough line ends in its first ``HEAD_BYTES`` gives the complete lines there; one
-    without any gives what it starts with as one line.
+    Blank lines, and blanks that a line starts with, are passed over however many they are.  At a line of
+    over ``HEAD_BYTES`` the file gives the complete lines before it, or without any what it starts with.
     """
     import codecs
     import re
@@ -83,14 +83,15 @@ def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in batch["file_path"]:
             system, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
             decoder = codecs.getincrementaldecoder("utf-8")("replace")
-            lines, rest, read, block = [], "", 0, b"-"
+            lines, rest, held, block = [], "", 0, b"-"
             with system.open_input_stream(name) as stream:
-                while block and read < HEAD_BYTES and len(lines) < SAMPLE_LINES:
+                while block and held < HEAD_BYTES and len(lines) < SAMPLE_LINES:
                     block = stream.read(65536)
-                    read += len(block)
                     *complete, rest = re.split("\r\n|\n|\r", rest + decoder.decode(block, not block))
-                    lines += [x for x in complete if x.strip()]
-            if rest.strip() and (not block or not lines):
+                    lines += [x for x in complete if x.strip(_BLANKS)]
+                    rest = rest.lstrip(_BLANKS)
+                    held = len(rest.encode())
+            if rest and (not block or not lines):
                 lines.append(rest)
             rows += [(path, x) for x in lines[:SAMPLE_LINES]]
         yield pd.DataFrame(rows, columns=["file_path", "value"])

@@ -164,6 +164,15 @@ def test_heads_of_files_without_line_feeds(spark, tmp_path):
     assert len(heads["mac.log"]) == min(10, len(NGINX) * 4) and heads["short.log"] == [NGINX[0]]
 
 
+def test_lines_after_a_blank_head_are_kept(spark, tmp_path):
+    lines = "\n".join(NGINX * 4)
+    (tmp_path / "lines.log").write_text(" \n" * logs.HEAD_BYTES + lines)
+    (tmp_path / "blanks.log").write_text("\t " * logs.HEAD_BYTES + lines)
+    (tmp_path / "plain.log").write_text(lines)
+    rows = logs.read_logs(spark, str(tmp_path), as_of()).groupBy("file_path", "discovery_source").count().collect()
+    assert len(rows) == 3 and len({(r.discovery_source, r["count"]) for r in rows}) == 1
+
+
 def test_package_is_shipped_once(spark):
     from routelens.session import ship_package
 
