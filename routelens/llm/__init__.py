@@ -11,6 +11,8 @@ from routelens.llm import (
     op8_systematic_mixing,
     op9_block_naming,
     op10_transducer_counts,
+    op11_kronecker_negatives,
+    op12_stable_cosines,
 )
 
 QUERIES = {
@@ -24,8 +26,12 @@ QUERIES = {
     "op8_systematic_mixing": op8_systematic_mixing.op8_systematic_mixing,
     "op9_block_naming": op9_block_naming.op9_block_naming,
     "op10_transducer_counts": op10_transducer_counts.op10_transducer_counts,
+    "op11_kronecker_negatives": op11_kronecker_negatives.op11_kronecker_negatives,
+    "op12_stable_cosines": op12_stable_cosines.op12_stable_cosines,
 }
 EXPECTED = {
     "op8_systematic_mixing": op8_systematic_mixing.SQL,
     "op9_block_naming": op9_block_naming.SQL,
+    "op11_kronecker_negatives": op11_kronecker_negatives.SQL,
+    "op12_stable_cosines": op12_stable_cosines.SQL,
 }
