@@ -39,13 +39,13 @@ def scores(anchors: np.ndarray, fields: np.ndarray, bias: int) -> np.ndarray:
     n = fields.shape[1]
     anchors = anchors.astype(np.int64)
     heavy = int(np.abs(anchors).sum(axis=1, dtype=np.int64).max(initial=0))
-    width = 4 if 3 * bias * heavy < 2**32 else 8
+    width = 4 if 4 * bias * heavy < 2**32 else 8
     kind = np.dtype(f"<u{width}")
     packed = [int.from_bytes(row.tobytes(), "little") for row in fields.astype(kind)]
     ones = int.from_bytes(np.ones(n, kind).tobytes(), "little")
     out = np.zeros((len(anchors), n), np.int64)
     for i, anchor in enumerate(anchors.tolist()):
-        lift = bias * sum(map(abs, anchor))  # no field of the sum is negative
+        lift = 2 * bias * sum(map(abs, anchor))  # no biased component exceeds twice the bias, so no field of the sum is negative
         total = sum(map(operator.mul, anchor, packed), ones * lift)
         found = np.frombuffer(total.to_bytes(n * width, "little"), kind).astype(np.uint64)
         out[i] = (found - np.uint64(lift)).view(np.int64) - bias * sum(anchor)
