@@ -13,6 +13,7 @@ from routelens.llm import (
     op10_transducer_counts,
     op11_kronecker_negatives,
     op12_stable_cosines,
+    op13_double_array_trie,
 )
 
 QUERIES = {
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_transducer_counts": op10_transducer_counts.op10_transducer_counts,
     "op11_kronecker_negatives": op11_kronecker_negatives.op11_kronecker_negatives,
     "op12_stable_cosines": op12_stable_cosines.op12_stable_cosines,
+    "op13_double_array_trie": op13_double_array_trie.op13_double_array_trie,
 }
 EXPECTED = {
     "op8_systematic_mixing": op8_systematic_mixing.SQL,
     "op9_block_naming": op9_block_naming.SQL,
     "op11_kronecker_negatives": op11_kronecker_negatives.SQL,
     "op12_stable_cosines": op12_stable_cosines.SQL,
+    "op13_double_array_trie": op13_double_array_trie.SQL,
 }
