@@ -1,24 +1,28 @@
 """Removal of repeated byte windows by a depth-limited radix sort of suffixes.
 
 Two windows of 400 bytes are equal exactly when their suffixes agree through 400 bytes, so suffixes need
-order only through that depth, and groups that are still equal there are the repeated windows.  Digits
-are names (64-bit hashes) of byte runs.  Sorting every suffix would move the text hundreds of times over,
-so suffixes are sorted in bundles that no equality can cross:
+order only through that depth, and groups that are still equal there are the repeated windows.  Sorting
+every suffix would move the text hundreds of times over, so suffixes are sorted in bundles that no
+equality can cross:
 
 * The owner of a window is the place, among its first 300, whose 16 bytes hash least.  Equal windows have
   owners at the same place in them, so a bundle is all windows of one owner: a run of neighbours.
-* First pass: the digit is the name of the bytes that all windows of an owner hold.  Bundles alone with
-  their first digit are done.  These are almost all.
-* Second pass: the digit is the name of all bytes of the bundle.  Where bundles of one first digit agree
-  in it too, all their windows are repeated.
-* Last pass, only within first digits under which bundles differ, one bundle for each second digit: the
-  digit is the name of each window.  Windows in a group of two or more are repeated.  The bytes of
-  bundles of one first digit meet in a task that sorts their windows; where more than ``MOST_KINDS``
-  bundles differ under a first digit, each of their windows becomes a row and groups are counted instead.
-
-Groups are counted map-side before they are shuffled, and their members are found by joins that split
-large groups; nothing collects a group of unbounded size.  A document's own places are all that meets in
-one row.  Texts travel compressed to their places.
+* First pass: the digit is a 64-bit name of the bytes that all windows of an owner hold.  Digits are counted,
+  and a bit map of those that repeat goes to the tasks.  Bundles whose bit is not set are done.
+* Second pass: the digit is a 128-bit BLAKE2 digest of all bytes of the bundle.  Where bundles of one first
+  digit agree in it too, all their windows are repeated.
+* Last passes, only within first digits under which bundles differ, one bundle for each second digit: the
+  bundles' bytes meet in a task that sorts their windows eight bytes at a time, most significant first.  Names
+  of windows only tell beforehand which cannot be equal.  Where more than ``MOST_KINDS`` bundles differ under
+  a first digit, each of their windows becomes a row and groups are counted by 128-bit digests instead.
+
+So no equality rests on a name: bit maps and names that collide only send more bundles on.  Bit maps are
+bounded (``MOST_BITS``) and computed from counts over all rows.
+
+Groups are counted map-side before they are shuffled, and their members are found by joins; keys that
+hold a noticeable share of all members are broadcast, of which there are few by their definition.  A
+document's own places are all that meets in one row.  Texts travel compressed to their places, and only
+those that lose something or have a bundle to be opened.
 
 Null text counts as empty.  Texts shorter than a window lose nothing.  Rows that repeat doc_id and text
 are repeats of each other, as any others.  Empty tables give no rows; other columns are not read.
@@ -28,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelens.llm.common import documents, text_or_empty
@@ -38,13 +42,18 @@ from routelens.plans.shared import materialize
 WINDOW, OWNERS, GRAM = 400, 300, 16
 MOST_KINDS = 4096
 BYTES_AT_ONCE = 1 << 20
+#: Bits of a map: sixteen for each key that it holds, from 1 Mbit to this many (64 MiB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+#: A key with more than this share of the rows of a join is broadcast; there are at most as many.
+HOT = 2048
+DIGIT = 8
 _BYTE = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0xD1342543DE82EF95
 _KEY = ["doc_id", "text_hash"]
 
 
 class RunNames:
-    """Names of byte runs of a buffer: a polynomial modulo 2**64, mixed."""
+    """Names of byte runs of a buffer: a polynomial modulo 2**64, mixed.  Equal runs have equal names; unequal ones may."""
 
     powers: dict[int, tuple] = {}
 
@@ -70,11 +79,11 @@ class RunNames:
 
 
 def bundles(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, owners: int = OWNERS, gram: int = GRAM) -> tuple:
-    """Of every bundle of texts laid end to end: text, owner, first and last window, both digits.
+    """Of every bundle of texts laid end to end: text, owner, first and last window, first digit.
 
     Places count from the start of the bundle's text.
     """
-    none = tuple(np.zeros(0, np.int64) for _ in range(6))
+    none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if raw.size < window:
         return none
     run = RunNames(raw)
@@ -97,41 +106,111 @@ def bundles(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, owners: int
     lo, hi = start[new], start[np.concatenate((new[1:], [True]))]
     owner, text = owner[new], text[new]
     one = run.names(owner, owner + window - owners + 1)
-    two = run.names(lo, hi + window)
     at = first[text]
-    return text, owner - at, lo - at, hi - at, one.view(np.int64), two.view(np.int64)
+    return text, owner - at, lo - at, hi - at, one.view(np.int64)
 
 
-def _bundle_rows(window: int, owners: int, gram: int):
+def bit_map(keys: DataFrame, key: str):
+    """A broadcast map in which the bit of every key is set; bits are the keys modulo their number, a power of two."""
+    spark = keys.sparkSession
+    bits = LEAST_BITS
+    while bits < min(16 * keys.count(), MOST_BITS):
+        bits *= 2
+    at = keys.select((F.pmod(F.col(key), F.lit(bits)) + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        some = np.frombuffer(row["bits"], np.uint8)
+        out[(row["part"] - 1) * some.size :][: some.size] = some
+    return spark.sparkContext.broadcast(out)
+
+
+def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) & np.uint64(8 * bits.size - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return [pa.array(both[:, i]) for i in (0, 1)]
+
+
+def _bundled(batches, column: int, window: int, owners: int, gram: int):
+    """Texts of batches in pieces: batch, rows and places of its parts of texts, their bytes, and its bundles."""
+    for batch in batches:
+        # Parts of texts, overlapping so that each window is whole in one of them.
+        parts = [
+            (row, at, data[at : at + BYTES_AT_ONCE + window - 1])
+            for row, text in enumerate(batch.column(column).to_pylist())
+            for data in (text.encode("utf-8", "surrogatepass"),)
+            for at in range(0, max(len(data) - window + 1, 0), BYTES_AT_ONCE)
+        ]
+        while parts:
+            n = max(1, int(np.searchsorted(np.cumsum([len(d) for _, _, d in parts]), BYTES_AT_ONCE, "right")))
+            some, parts = parts[:n], parts[n:]
+            raw, ends = b"".join(d for _, _, d in some), np.cumsum([len(d) for _, _, d in some])
+            yield batch, some, raw, ends, bundles(np.frombuffer(raw, np.uint8), ends, window, owners, gram)
+
+
+def _first_digits(window: int, owners: int, gram: int):
+    """text -> first digits of its bundles and their numbers."""
+
+    def run(batches):
+        for _, _, _, _, (*_, one) in _bundled(batches, 0, window, owners, gram):
+            digits, n = np.unique(one, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(digits), pa.array(n)], names=["one", "n"])
+
+    return run
+
+
+def _bundle_rows(window: int, owners: int, gram: int, repeated):
+    """doc_id, text_hash, text -> the bundles whose first digit may repeat, with both digits."""
+
+    def run(batches):
+        for batch, some, raw, ends, columns in _bundled(batches, 2, window, owners, gram):
+            again = has_bit(repeated.value, columns[-1])
+            part, owner, lo, hi, one = (c[again] for c in columns)
+            first = np.concatenate(([0], ends[:-1]))[part]
+            view = memoryview(raw)
+            spans = zip((first + lo).tolist(), (first + hi + window).tolist(), strict=True)
+            two = _halves([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in spans])
+            row, at = (np.array([x[k] for x in some], np.int64)[part] for k in (0, 1))
+            keys = [batch.column(i).take(pa.array(row)) for i in (0, 1)]
+            places = [pa.array((lo + at).astype(np.int32)), pa.array((owner - lo).astype(np.int16)), pa.array((hi - lo).astype(np.int16))]
+            yield pa.RecordBatch.from_arrays([*keys, *places, pa.array(one), *two], names=[*_KEY, "lo", "before", "width", "one", "two", "three"])
+
+    return run
+
+
+def _packed_rows(wanted):
+    """doc_id, text_hash, text, bit -> UTF-8 bytes, compressed, and their number, of the texts whose bit is set."""
+
     def run(batches):
         for batch in batches:
-            # Parts of texts, overlapping so that each window is whole in one of them.
-            parts = [
-                (row, at, data[at : at + BYTES_AT_ONCE + window - 1])
-                for row, text in enumerate(batch.column(2).to_pylist())
-                for data in (text.encode("utf-8", "surrogatepass"),)
-                for at in range(0, max(len(data) - window + 1, 0), BYTES_AT_ONCE)
-            ]
-            while parts:
-                n = max(1, int(np.searchsorted(np.cumsum([len(d) for _, _, d in parts]), BYTES_AT_ONCE, "right")))
-                some, parts = parts[:n], parts[n:]
-                raw = np.frombuffer(b"".join(d for _, _, d in some), np.uint8)
-                part, *columns = bundles(raw, np.cumsum([len(d) for _, _, d in some]), window, owners, gram)
-                row, at = (np.array([x[k] for x in some], np.int64)[part] for k in (0, 1))
-                keys = [batch.column(i).take(pa.array(row)) for i in (0, 1)]
-                rest = [pa.array((c + at).astype(np.int32)) for c in columns[:3]] + [pa.array(c) for c in columns[3:]]
-                yield pa.RecordBatch.from_arrays([*keys, *rest], names=[*_KEY, "owner", "lo", "hi", "one", "two"])
+            batch = batch.filter(pa.array(has_bit(wanted.value, batch.column(3).to_numpy())))
+            data = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            packed = pa.array([pa.compress(d, "zstd", asbytes=True) if d else b"" for d in data], pa.binary())
+            sizes = pa.array([len(d) for d in data], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, sizes], names=[*_KEY, "packed", "n_bytes"])
 
     return run
 
 
-def _packed_rows(batches):
-    """doc_id, text_hash, text -> the text's UTF-8 bytes compressed, and their number."""
-    for batch in batches:
-        data = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-        packed = pa.array([pa.compress(d, "zstd", asbytes=True) if d else b"" for d in data], pa.binary())
-        sizes = pa.array([len(d) for d in data], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, sizes], names=[*_KEY, "packed", "n_bytes"])
+def _whole_rows(wanted):
+    """The result for the texts whose bit is not set: they lose nothing."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(~has_bit(wanted.value, batch.column(3).to_numpy())))
+            data = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            none, digests = pa.array([0] * len(data), pa.int64()), [hashlib.sha256(d).hexdigest() for d in data]
+            columns = [batch.column(0), pa.array([len(d) for d in data], pa.int64()), none, none, pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=_RESULT)
+
+    return run
+
+
+_RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
 def _unpacked(packed: bytes, size: int) -> bytes:
@@ -140,12 +219,12 @@ def _unpacked(packed: bytes, size: int) -> bytes:
 
 def _region_rows(window: int):
     """packed, n_bytes, open -> the bytes of each open bundle."""
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    kinds = (pa.int32(), pa.int16(), pa.int16(), pa.int64())
 
     def batch_of(batch: pa.RecordBatch, row: list, numbers: list, regions: list) -> pa.RecordBatch:
         keys = [batch.column(i).take(pa.array(row, pa.int32())) for i in (0, 1)]
         columns = [pa.array([n[k] for n in numbers], t) for k, t in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays([*keys, *columns, pa.array(regions, pa.binary())], names=[*_KEY, "owner", "lo", "hi", "one", "region"])
+        return pa.RecordBatch.from_arrays([*keys, *columns, pa.array(regions, pa.binary())], names=[*_KEY, "lo", "before", "width", "one", "region"])
 
     def run(batches):
         for batch in batches:
@@ -155,8 +234,8 @@ def _region_rows(window: int):
                 data = _unpacked(packed, n_bytes)
                 for b in open_:
                     row.append(i)
-                    numbers.append((b["owner"], b["lo"], b["hi"], b["one"]))
-                    regions.append(data[b["lo"] : b["hi"] + window])
+                    numbers.append((b["lo"], b["before"], b["width"], b["one"]))
+                    regions.append(data[b["lo"] : b["lo"] + b["width"] + window])
                     size += len(regions[-1])
                     if size >= BYTES_AT_ONCE:
                         yield batch_of(batch, row, numbers, regions)
@@ -166,35 +245,53 @@ def _region_rows(window: int):
     return run
 
 
-def _windows_of(batch: pa.RecordBatch, window: int) -> tuple:
-    """Of every window of the batch's regions: row, start in the text, place after the owner, name."""
-    owner, lo, hi = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3, 4))
-    regions = batch.column(6).to_pylist()
-    begin = np.cumsum([0, *(len(r) for r in regions)])
-    count = hi - lo + 1
-    row = np.repeat(np.arange(count.size), count)
-    nth = np.arange(row.size) - np.repeat(np.cumsum(count) - count, count)
-    start, name, i = lo[row] + nth, np.zeros(row.size, np.uint64), 0
-    while i < count.size:  # some regions at a time
-        j = max(i + 1, int(np.searchsorted(begin, begin[i] + BYTES_AT_ONCE, "right")) - 1)
-        of = slice(*np.searchsorted(row, (i, j)))
-        first = begin[row[of]] - begin[i] + nth[of]
-        name[of] = RunNames(np.frombuffer(b"".join(regions[i:j]), np.uint8)).names(first, first + window)
-        i = j
-    return row, start, start - owner[row], name
+def _windows_of(batch: pa.RecordBatch) -> tuple:
+    """Of every window of the batch's regions: row, start in the text, place after the owner, and place among all their bytes."""
+    lo, before, width = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3, 4))
+    raw = b"".join(batch.column(6).to_pylist())
+    begin = np.cumsum([0, *pa.compute.binary_length(batch.column(6)).to_pylist()])
+    row = np.repeat(np.arange(width.size), width + 1)
+    nth = np.arange(row.size) - np.repeat(np.cumsum(width + 1) - width - 1, width + 1)
+    return row, lo[row] + nth, nth - before[row], begin[row] + nth, raw
+
+
+def equal_windows(raw: bytes, at: np.ndarray, name: np.ndarray, window: int) -> np.ndarray:
+    """Whether another window of the same name has the same bytes, found by radix passes from the first bytes to the last."""
+    out = np.zeros(at.size, bool)
+    order = np.argsort(name, kind="stable")
+    group = np.cumsum(np.concatenate(([0], name[order][1:] != name[order][:-1])))
+
+    def grouped(order: np.ndarray, group: np.ndarray) -> tuple:
+        """Without the windows that are alone in their group."""
+        same = np.concatenate(([False], group[1:] == group[:-1], [False]))
+        return order[same[1:] | same[:-1]], group[same[1:] | same[:-1]]
+
+    order, group = grouped(order, group)
+    buffer = np.frombuffer(raw, np.uint8)
+    digits = np.ndarray((max(buffer.size - DIGIT + 1, 0),), "<u8", buffer, strides=(1,))
+    for depth in range(0, window, DIGIT):
+        if not order.size:
+            break
+        digit = digits[at[order] + min(depth, window - DIGIT)]
+        differs = (digit[1:] != digit[:-1]) & (group[1:] == group[:-1])
+        if differs.any():
+            again = np.lexsort((digit, group))
+            order, group, digit = order[again], group[again], digit[again]
+            new = np.concatenate(([False], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])))
+            order, group = grouped(order, np.cumsum(new))
+    out[order] = True
+    return out
 
 
 def _repeated_runs(window: int, bytes_at_once: int = BYTES_AT_ONCE):
     """Regions sorted by first digit -> runs of windows that another region of the digit has at the same place."""
 
     def resolve(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, start, place, name = _windows_of(batch, window)
+        row, start, place, at, raw = _windows_of(batch)
         one = batch.column(5).to_numpy(zero_copy_only=False).view(np.uint64)
-        digit = mix(mix(name + mix(one)[row]) * np.uint64(3) + place.astype(np.uint64))
-        order = np.argsort(digit, kind="stable")
-        same = np.concatenate(([False], digit[order][1:] == digit[order][:-1], [False]))
-        again = np.zeros(row.size, bool)
-        again[order] = same[1:] | same[:-1]
+        name = RunNames(np.frombuffer(raw, np.uint8)).names(at, at + window)
+        name = mix(mix(name + mix(one)[row]) * np.uint64(3) + place.astype(np.uint64))
+        again = equal_windows(raw, at, name, window)
         new = again & ~np.concatenate(([False], again[:-1] & (row[1:] == row[:-1])))
         end = again & ~np.concatenate((again[1:] & (row[1:] == row[:-1]), [False]))
         keys = [batch.column(i).take(pa.array(row[new])) for i in (0, 1)]
@@ -226,10 +323,12 @@ def _window_rows(window: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                row, start, _, name = _windows_of(batch, window)
+                row, start, place, at, raw = _windows_of(batch)
+                view = memoryview(raw)
+                digests = _halves([hashlib.blake2b(view[a : a + window], digest_size=16).digest() for a in at.tolist()])
                 keys = [batch.column(i).take(pa.array(row)) for i in (0, 1, 2)]
-                rest = [pa.array(start.astype(np.int32)), batch.column(5).take(pa.array(row)), pa.array(name.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*keys, *rest], names=[*_KEY, "owner", "start", "one", "name"])
+                rest = [pa.array(start.astype(np.int32)), pa.array(place.astype(np.int16)), batch.column(5).take(pa.array(row)), *digests]
+                yield pa.RecordBatch.from_arrays([*keys, *rest], names=[*_KEY, "of", "start", "place", "one", "two", "three"])
 
     return run
 
@@ -256,7 +355,7 @@ def _cut_rows(window: int):
                 spans.append(n)
                 digest.append(hashlib.sha256(rest).hexdigest())
             columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (size, removed, spans)), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays(columns, names=_RESULT)
 
     return run
 
@@ -265,43 +364,60 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def _of_document() -> Column:
+    return F.xxhash64(*_KEY)
+
+
+def _packed(docs: DataFrame, wanted) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _texts(docs).mapInArrow(_packed_rows, f"doc_id {kind}, text_hash bigint, packed binary, n_bytes bigint")
+    return _texts(docs).withColumn("bit", _of_document()).mapInArrow(_packed_rows(wanted), f"doc_id {kind}, text_hash bigint, packed binary, n_bytes bigint")
 
 
 def _at_texts(packed: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    places = places.withColumnsRenamed({k: f"_{k}" for k in _KEY})
+    """Texts and their places are shuffled alike at every size: the places grow with the texts."""
+    places = places.withColumnsRenamed({k: f"_{k}" for k in _KEY}).hint("merge")
     return packed.join(places, packed["doc_id"].eqNullSafe(places["_doc_id"]) & (packed["text_hash"] == places["_text_hash"]), how)
 
 
+def _members(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of the groups of two or more; ``groups`` has a row per group with its number of rows n."""
+    groups = groups.filter("n > 1").select("n", *[F.col(c).alias(f"_{c}") for c in by])
+    total = groups.agg(F.sum("n").alias("n")).first()["n"] or 0
+    on = F.lit(True)
+    for c in by:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    hot = materialize(groups.filter(F.col("n") > total / HOT), "hot-groups")
+    rest = groups.filter(F.col("n") <= total / HOT).hint("merge")
+    apart = materialize(rows.join(F.broadcast(hot), on, "left_anti").join(rest, on, "left_semi"), "group-members")
+    return apart.unionByName(rows.join(F.broadcast(hot), on, "left_semi"))
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, owners: int = OWNERS, gram: int = GRAM, most_kinds: int = MOST_KINDS) -> DataFrame:
     """doc_id, text_hash, lo, hi: runs of places at which a window starts that also starts elsewhere."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = f"doc_id {kind}, text_hash bigint"
-    found = _texts(docs).mapInArrow(_bundle_rows(window, owners, gram), f"{key}, owner int, lo int, hi int, one bigint, two bigint")
-
-    first = found.groupBy("one").agg(F.count("*").alias("n")).filter("n > 1").select("one")
-    found = materialize(found.join(materialize(first, "first-digits"), "one"), "same-first-digit")
-
-    second = [F.col("one"), (F.col("owner") - F.col("lo")).alias("before"), (F.col("hi") - F.col("lo")).alias("width"), F.col("two")]
-    member = F.struct(*_KEY, "owner", "lo", "hi")
-    groups = materialize(found.groupBy(*second).agg(F.count("*").alias("n"), F.min(member).alias("member")), "second-digits")
-    whole = groups.filter("n > 1").select(F.col("one").alias("_1"), F.col("before").alias("_2"), F.col("width").alias("_3"), F.col("two").alias("_4"))
-    whole = materialize(whole, "whole-bundles")
-    on = (found["one"] == whole["_1"]) & (found["two"] == whole["_4"])
-    on = on & (found["owner"] - found["lo"] == whole["_2"]) & (found["hi"] - found["lo"] == whole["_3"])
-    settled = found.join(whole, on, "left_semi").select(*_KEY, "lo", "hi")
+    digits = docs.select(text_or_empty().alias("text")).mapInArrow(_first_digits(window, owners, gram), "one bigint, n bigint")
+    first = digits.groupBy("one").agg(F.sum("n").alias("n")).filter("n > 1").select("one")
+    first = bit_map(materialize(first, "first-digits"), "one")
+
+    bundle = f"{key}, lo int, before smallint, width smallint, one bigint, two bigint, three bigint"
+    found = _texts(docs).mapInArrow(_bundle_rows(window, owners, gram, first), bundle)
+    found = materialize(found, "same-first-digit")
+    same = ["one", "before", "width", "two", "three"]
+    groups = found.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "lo")).alias("member"))
+    groups = materialize(groups, "second-digits")
+    settled = _members(found, groups, same).select(*_KEY, "lo", (F.col("lo") + F.col("width")).alias("hi"))
 
     mixed = groups.groupBy("one").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     mixed = materialize(mixed, "mixed-digits")
-    region = f"{key}, owner int, lo int, hi int, one bigint, region binary"
+    region = f"{key}, lo int, before smallint, width smallint, one bigint, region binary"
 
     def regions(kinds: DataFrame, fn, schema: str) -> DataFrame:
-        open_ = groups.join(kinds.select("one"), "one").select("one", "member.*")
-        open_ = open_.groupBy(*_KEY).agg(F.collect_list(F.struct("owner", "lo", "hi", "one")).alias("open"))
-        read = _at_texts(_packed(docs), open_, "inner").select(*_KEY, "packed", "n_bytes", "open")
-        return read.mapInArrow(fn, schema)
+        open_ = groups.join(kinds.select("one").hint("merge"), "one").select("one", "before", "width", "member.*")
+        open_ = open_.groupBy(*_KEY).agg(F.collect_list(F.struct("lo", "before", "width", "one")).alias("open"))
+        open_ = materialize(open_, "open-bundles")
+        packed = _packed(docs, bit_map(open_.select(_of_document().alias("bit")), "bit"))
+        return _at_texts(packed, open_, "inner").select(*_KEY, "packed", "n_bytes", "open").mapInArrow(fn, schema)
 
     few = regions(mixed.filter(F.col("kinds") <= most_kinds), _region_rows(window), region)
     few = few.repartition("one").sortWithinPartitions("one")
@@ -313,13 +429,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, owners: int = OWNERS
     def window_rows(batches):
         return _window_rows(window)(_region_rows(window)(batches))
 
-    windows = regions(many, window_rows, f"{key}, owner int, start int, one bigint, name bigint")
+    windows = regions(many, window_rows, f"{key}, of int, start int, place smallint, one bigint, two bigint, three bigint")
     windows = materialize(windows, "windows")
-    place = F.col("start") - F.col("owner")
-    again = windows.groupBy("one", place.alias("place"), "name").agg(F.count("*").alias("n")).filter("n > 1")
-    again = materialize(again.select(F.col("one").alias("_1"), F.col("place").alias("_2"), F.col("name").alias("_3")), "repeated-windows")
-    on = (windows["one"] == again["_1"]) & (windows["start"] - windows["owner"] == again["_2"]) & (windows["name"] == again["_3"])
-    hit = windows.join(again, on, "left_semi").groupBy(*_KEY, "owner").agg(
+    same = ["one", "place", "two", "three"]
+    again = materialize(windows.groupBy(*same).agg(F.count("*").alias("n")), "equal-windows")
+    hit = _members(windows, again, same).groupBy(*_KEY, "of").agg(
         F.min("start").alias("lo"), F.max("start").alias("hi"), F.collect_set("start").alias("starts")
     )
     parts = F.when(F.size("starts") == F.col("hi") - F.col("lo") + 1, F.array(F.struct("lo", "hi")))
@@ -331,9 +445,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, owners: int = OWNERS,
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
     runs = repeated_windows(docs, window, owners, gram, most_kinds)
     runs = materialize(runs.groupBy(*_KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
-    out = _at_texts(_packed(docs), runs, "left").select("doc_id", "packed", "n_bytes", "runs")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return out.mapInArrow(_cut_rows(window), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    losing = bit_map(runs.select(_of_document().alias("bit")), "bit")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    cut = _at_texts(_packed(docs, losing), runs, "left").select("doc_id", "packed", "n_bytes", "runs").mapInArrow(_cut_rows(window), schema)
+    return cut.unionByName(_texts(docs).withColumn("bit", _of_document()).mapInArrow(_whole_rows(losing), schema))
 
 
 def op6_radix_windows(spark, sf_dir: str) -> DataFrame:
