@@ -6,10 +6,16 @@ the signature deal documents into buckets; a link of similarity 0.8 has no bucke
 probability (1 - 0.8**4)**32, about 5 in 10**8.
 
 Documents of one set are one class, and only classes are compared.  Buckets of the same classes are kept
-once.  In a bucket the full sets are compared, all with all: small ones in one group, larger ones cut
-into blocks of bounded size, a group for each pair of blocks.  A group gives links that span its
-connected classes, never all pairs.  Components of these links are the result.  So a bucket of any
-size is whole, costs the square of its classes only in comparisons, and is spread over many tasks.
+once.  In a bucket the full sets are compared: all with all in small ones; larger ones are cut into blocks
+of bounded size, and the first block is compared with itself and with each other one, so every set travels
+about twice.  A group gives links that span its connected classes, never all pairs.  Only classes of a
+large bucket that are then in different components can still add something: they are cut into blocks
+anew, whole blocks of one component where it is large, and compared between blocks of different
+components.  Components of all links are the result, so no pair of a bucket is left out unless it is
+connected already, and a bucket of thousands of near copies costs in proportion.
+
+Words are known by 64 bits, those of 32 bytes or more by 64 bits of a BLAKE2 digest, shingles by a hash of
+their words'.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing.  Rows that
 repeat a doc_id are one document in the links.  Rows with a null doc_id are one document for each text,
@@ -34,6 +40,7 @@ SHINGLE, PERCENT = 4, 80
 #: A block holds about so many shingles and classes, and a group two blocks.
 BLOCK_SHINGLES, BLOCK_CLASSES = 250_000, 500
 CHARS_AT_ONCE = 2_000_000
+DIGEST_FROM = 32
 #: Documents without a doc_id go by a number from here on, made of their text.
 NO_ID = 2**62
 _FACTORS = np.random.default_rng(7).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,7 +50,7 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """Each text's set of shingle hashes, ascending."""
     out = []
     for run in in_pieces(texts, CHARS_AT_ONCE):
-        values, starts = distinct(*shingles(*word_hashes(run), n))
+        values, starts = distinct(*shingles(*word_hashes(run, DIGEST_FROM), n))
         out += [values[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
     return out
 
@@ -161,20 +168,26 @@ def _rooted(docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     blocks = F.ceil(F.greatest(F.col("shingles") / block, F.col("members") / BLOCK_CLASSES)).cast("int")
     buckets = materialize(buckets.select("key", blocks.alias("blocks")), "buckets")
     own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    members = keyed.join(buckets, "key").select("key", "class_id", "blocks", own.alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    members = members.select("key", "class_id", "own", other).select(
-        "key", "class_id", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
-    )
+    dealt = keyed.join(buckets, "key").select("key", "class_id", "n_shingles", "blocks", own.alias("own"))
+    # The first block meets all blocks of its bucket, the others it alone.
+    to = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    members = dealt.select("key", F.explode(to).alias("part"), "class_id", F.when(F.col("own") == 0, 0).otherwise(1).alias("side"))
     members = materialize(members, "members")
 
     # Full sets of the classes that share a bucket, and the links of each group.
     wanted = members.select("class_id").distinct().join(classes, "class_id").select("digest", "class_id")
     full = _full_sets(docs, materialize(wanted, "wanted"), n)
-    groups = members.join(full, "class_id").groupBy("key", "one", "two")
-    links = groups.applyInArrow(_links_of_group(percent), "a bigint, b bigint")
-    roots = components(materialize(links, "near-links")).withColumnRenamed("node", "class_id")
+    large = not buckets.filter("blocks > 1").isEmpty()
+    full = materialize(full, "full-sets") if large else full
+    groups = members.join(full, "class_id").groupBy("key", "part")
+    links = materialize(groups.applyInArrow(_links_of_group(percent), "a bigint, b bigint"), "near-links")
+    roots = materialize(components(links).withColumnRenamed("node", "class_id"), "roots")
+    if large:
+        across = _across(dealt.filter("own > 0"), roots, block)
+        if not across.isEmpty():
+            more = across.join(full, "class_id").groupBy("pair").applyInArrow(_links_of_group(percent), "a bigint, b bigint")
+            links = links.unionByName(materialize(more, "links-across"))
+            roots = components(links).withColumnRenamed("node", "class_id")
 
     labelled = classes.join(roots, "class_id", "left")
     labelled = materialize(labelled.select(F.col("digest").alias("of"), F.coalesce("root", "class_id").alias("root")), "labelled")
@@ -182,6 +195,32 @@ def _rooted(docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     return out.select("doc_id", "id", "n_shingles", F.coalesce("root", "id").alias("root"))
 
 
+def _across(dealt: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """pair, class_id, side: pairs of blocks of one bucket whose classes are not all in one component."""
+    rows = dealt.join(roots, "class_id", "left").select("key", "class_id", "n_shingles", F.coalesce("root", "class_id").alias("root"))
+    rows = materialize(rows, "rooted-members")
+    share = F.greatest(F.sum("n_shingles") / block, F.count("*") / BLOCK_CLASSES)
+    sizes = materialize(rows.groupBy("key", "root").agg(share.alias("share")), "component-sizes")
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("share") < 1, F.col("share"))).alias("rest")).filter("roots > 1")
+    sizes = sizes.join(mixed, "key").select(
+        F.col("key").alias("_key"), F.col("root").alias("_root"), (F.col("share") >= 1).alias("whole"),
+        F.when(F.col("share") >= 1, F.ceil("share")).otherwise(F.greatest(F.ceil("rest"), F.lit(1))).alias("blocks"),
+    )
+    placed = rows.join(materialize(sizes, "component-blocks"), (F.col("key") == F.col("_key")) & (F.col("root") == F.col("_root")))
+    of = F.when(F.col("whole"), F.col("root")).otherwise(0).alias("of")
+    nth = F.pmod(F.xxhash64(F.when(F.col("whole"), F.col("class_id")).otherwise(F.col("root"))), F.col("blocks")).alias("nth")
+    placed = materialize(placed.select("class_id", F.struct("key", "whole", of, nth).alias("part")), "placed-members")
+
+    parts = materialize(placed.select("part").distinct(), "parts")
+    one, two = (parts.select(F.col("part.key").alias("key"), F.col("part").alias(c)) for c in ("one", "two"))
+    of_one = F.col("one.whole") & F.col("two.whole") & (F.col("one.of") == F.col("two.of"))
+    pairs = one.join(two, "key").filter((F.col("one") <= F.col("two")) & ~of_one).drop("key")
+    pairs = materialize(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs-of-parts")
+    first = placed.join(pairs, F.col("part") == F.col("one")).select("pair", "class_id", F.lit(0).alias("side"))
+    second = placed.join(pairs.filter("one <> two"), F.col("part") == F.col("two")).select("pair", "class_id", F.lit(1).alias("side"))
+    return materialize(first.unionByName(second), "members-across")
+
+
 def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     out = _rooted(docs, n, percent, block)

@@ -1,6 +1,7 @@
 """Words of many texts at once, as 64-bit hashes in numpy arrays."""
 
 import functools
+import hashlib
 
 import numpy as np
 
@@ -33,8 +34,12 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(both)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, and where each text's words begin (and the last end)."""
+def word_hashes(texts: list[str], digest_from: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and where each text's words begin (and the last end).
+
+    The hash is a polynomial modulo 2**64, for which unequal long words of one hash can be written down.  Where equal hashes
+    must mean equal words, words of ``digest_from`` bytes or more get a BLAKE2 digest instead.
+    """
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b" ".join([b"", *data, b""]), np.uint8)
     inside = ~_SPACE[raw]
@@ -51,7 +56,11 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         part = raw[first[i] : last[j - 1]]
         hashes[i:j] = np.add.reduceat(_BYTE[part] * power[: part.size], at) * inverse[at]
         i = j
-    return mix(hashes + (last - first).astype(np.uint64)), np.searchsorted(first, ends)
+    out = mix(hashes + (last - first).astype(np.uint64))
+    for i in np.flatnonzero(last - first >= digest_from).tolist() if digest_from else ():
+        word = raw[first[i] : last[i]].tobytes().lower()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out, np.searchsorted(first, ends)
 
 
 def shingles(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
