@@ -3,15 +3,13 @@
 A text is a sequence of words (longer ones cut into pieces of 16 characters).  Of its runs of five words
 those are anchors whose least inner run of two words, by hash, is the first or the last.  Whether a run
 is an anchor depends on its own words alone, so an edit touches only the anchors around it.  The
-fingerprint is the 64 anchors of least hash, each with its place.  A text of words without such a run, as
+fingerprint is all anchors, each with its place, ordered by hash.  A text of words without such a run, as
 all of fewer than five words and some of five or six, has one anchor for the whole; a text without words
 has none.
 
-The likeness of two anchor sets is the share, among the anchors of both, of those that both have and that
-match by place: another common anchor lies as far apart in the two texts, or there is no other.  The
-columns near_edited_all and near_next_all are that over all anchors of the texts; near_edited and near_next
-are it over the 64 least hashes of both, an estimate from the fingerprints alone, and the same for sets of
-up to 64 together.  Two texts without anchors have likeness 1.
+The likeness of two fingerprints is the share, among the anchors of both, of those that both have and that
+match by place: another common anchor lies as far apart in the two texts, or there is no other.  Two texts
+without anchors have likeness 1.
 
 The next document is found on keys alone, by a range-partitioned sort; its text then travels whole, as all
 its anchors are compared.  DataFrame functions only, and every array is as long as two texts at most.
@@ -27,7 +25,7 @@ from pyspark.sql import functions as F
 from routelens.llm.common import documents, ranked, text_or_empty
 from routelens.plans.shared import materialize
 
-RUN, INNER, ANCHORS = 5, 2, 64
+RUN, INNER = 5, 2
 PIECE = r"[^\x20\x09-\x0D]{1,16}"
 PLACE_BITS = 23
 _KEY = ["id_hash", "text_hash"]
@@ -75,11 +73,6 @@ def all_anchors(text: Column) -> Column:
     return let(F.sort_array(let(words, _anchors)), first_of_hash)
 
 
-def fingerprint(anchors: Column) -> Column:
-    """The anchors of least hash."""
-    return F.slice(anchors, 1, ANCHORS)
-
-
 def as_text(anchors: Column) -> Column:
     """Hash and place as one number; what a place has beyond its bits there follows after a dot."""
 
@@ -92,8 +85,8 @@ def as_text(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, number), " ")
 
 
-def likeness(a: Column, b: Column, most: int | None = None) -> Column:
-    """Share of the anchors of both, or of their ``most`` least, that both have and that match by place.
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the anchors of both that both have and that match by place.
 
     One sort brings equal hashes of the two side by side and another equal shifts, so sets of any size are compared.
     """
@@ -101,10 +94,6 @@ def likeness(a: Column, b: Column, most: int | None = None) -> Column:
     def of_side(anchors: Column, side: int) -> Column:
         return F.transform(anchors, lambda x: F.struct(x["hash"].alias("hash"), F.lit(side).alias("side"), x["place"].alias("place")))
 
-    def least(both: Column) -> Column:
-        last = F.get(F.array_distinct(F.transform(both, lambda x: x["hash"])), most - 1)
-        return let(last, lambda last: F.filter(both, lambda x: last.isNull() | (x["hash"] <= last)))
-
     def share(both: Column) -> Column:
         def shift(x: Column, i: Column) -> Column:
             after = F.get(both, i + 1)
@@ -118,7 +107,7 @@ def likeness(a: Column, b: Column, most: int | None = None) -> Column:
         return let(F.sort_array(F.filter(F.transform(both, shift), lambda x: x.isNotNull())), of_shifts)
 
     both = F.sort_array(F.concat(of_side(a, 0), of_side(b, 1)))
-    return let(let(both, least) if most else both, share)
+    return let(both, share)
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
@@ -138,14 +127,11 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     out = ahead.join(text, _KEY).withColumn("edited", F.concat(kept, taken))
 
     def compared(own: Column, edited: Column, following: Column) -> Column:
-        least = [fingerprint(x) for x in (own, edited, following)]
         return F.struct(
-            as_text(least[0]).alias("fingerprint"),
-            as_text(least[1]).alias("edited_fingerprint"),
-            likeness(least[0], least[1], ANCHORS).alias("near_edited"),
-            likeness(least[0], least[2], ANCHORS).alias("near_next"),
-            likeness(own, edited).alias("near_edited_all"),
-            likeness(own, following).alias("near_next_all"),
+            as_text(own).alias("fingerprint"),
+            as_text(edited).alias("edited_fingerprint"),
+            likeness(own, edited).alias("near_edited"),
+            likeness(own, following).alias("near_next"),
         )
 
     of = [all_anchors(F.col(c)) for c in ("text", "edited", "next_text")]

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from routelens.llm import QUERIES, op4_minmax_dedup, op6_radix_windows, op9_block_naming
@@ -135,6 +137,30 @@ def test_near_groups_with_odd_rows(odd, empty):
     assert op4_minmax_dedup.near_groups(empty).count() == 0
 
 
+def test_near_groups_of_different_words_of_one_polynomial(spark):
+    first, second = thue_morse(1024, "a", "b")
+    rows = [(0, first), (1, second), (2, f"x y z {first}"), (3, f"x y z {second}"), (4, f"X y Z {second.upper()}")]
+    got = op4_minmax_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_by_hand(rows)
+
+
+def test_near_groups_of_one_large_bucket(spark):
+    """5,000 near copies of one text, and a family of which no member is like the first block's."""
+    draw = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(5000):
+        words = list(base)
+        words[draw.randrange(60)] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = op4_minmax_dedup.near_groups(df, block=20_000).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    some = near_texts(8, 3, 60)
+    got = op4_minmax_dedup.near_groups(spark.createDataFrame(some, "doc_id bigint, text string"), block=60).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_by_hand(some)
+
+
 def test_spanning_links_are_a_forest():
     sets = [np.arange(i, i + 50, dtype=np.uint64) for i in range(0, 30)] + [np.arange(1000, 1050, dtype=np.uint64)]
     links = op4_minmax_dedup.spanning_links(sets, 80)
@@ -150,12 +176,13 @@ def test_components_of_a_long_path_and_a_star(spark):
 
 def windows_by_hand(rows, window):
     data = [(d, (t or "").encode()) for d, t in rows]
-    seen = Counter(b[i : i + window] for _, b in data for i in range(len(b) - window + 1))
+    seen = Counter(hash(b[i : i + window]) for _, b in data for i in range(len(b) - window + 1))
+    again = Counter(b[i : i + window] for _, b in data for i in range(len(b) - window + 1) if seen[hash(b[i : i + window])] > 1)
     out = Counter()
     for d, b in data:
         gone = bytearray(len(b))
         for i in range(len(b) - window + 1):
-            if seen[b[i : i + window]] > 1:
+            if again.get(b[i : i + window], 0) > 1:
                 gone[i : i + window] = b"\1" * window
         spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
         rest = bytes(x for x, g in zip(b, gone, strict=True) if not g)
@@ -180,17 +207,54 @@ def test_repeated_windows_equal_all_suffixes(spark):
         assert got == windows_by_hand(rows, window)
 
 
-def test_regions_are_resolved_digit_by_digit(spark):
-    import pyarrow as pa
-
-    names = ["doc_id", "text_hash", "owner", "lo", "hi", "one", "region"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    rows = [(i, 0, 5, 3, 8, i // 2, b"abcdefghij") for i in range(40)]  # pairs of one digit: all windows repeat
+def test_regions_are_resolved_digit_by_digit():
+    names = ["doc_id", "text_hash", "lo", "before", "width", "one", "region"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.binary()]
+    rows = [(i, 0, 3, 2, 5, i // 2, b"abcdefghijklm") for i in range(40)]  # pairs of one digit: all windows repeat
     batches = [pa.RecordBatch.from_arrays([pa.array([r[k]], t) for k, t in enumerate(kinds)], names=names) for r in rows]
-    out = [r for b in op6_radix_windows._repeated_runs(5, 300)(batches) for r in b.to_pylist()]
+    out = [r for b in op6_radix_windows._repeated_runs(8, 300)(batches) for r in b.to_pylist()]
     assert [(r["doc_id"], r["lo"], r["hi"]) for r in out] == [(i, 3, 8) for i in range(40)]
 
 
+def test_windows_are_equal_by_bytes_whatever_their_names():
+    draw = random.Random(2)
+    raw = bytes(draw.choice(b"ab") for _ in range(600)) * 2 + bytes(draw.choice(b"ab") for _ in range(600))
+    for window in (8, 11, 24, 400):
+        at = np.arange(len(raw) - window + 1)
+        seen = Counter(raw[i : i + window] for i in at.tolist())
+        want = [seen[raw[i : i + window]] > 1 for i in at.tolist()]
+        for name in (np.zeros(at.size, np.uint64), np.array([zlib.crc32(raw[i : i + window]) % 7 for i in at.tolist()], np.uint64)):
+            assert op6_radix_windows.equal_windows(raw, at, name, window).tolist() == want
+
+
+def thue_morse(n, zero, one):
+    """A sequence and its complement, which polynomials modulo 2**64 cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(one if b else zero for b in bits), "".join(zero if b else one for b in bits)
+
+
+def test_repeated_windows_of_colliding_names(spark):
+    middle, rows = "".join(random.Random(1).choice("klmnop") for _ in range(187)), []
+    for i, (n, zero, one) in enumerate([(128, "ab", "ba"), (128, "xy", "zw"), (256, "a", "b"), (1024, "a", "b"), (2048, "q", "r")]):
+        first, second = thue_morse(n, zero, one)
+        rows += [(2 * i, first + middle + second), (2 * i + 1, second + middle + first)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for most_kinds in (4096, 0):
+        got = Counter(tuple(r) for r in op6_radix_windows.without_repeats(df, most_kinds=most_kinds).collect())
+        assert got == windows_by_hand(rows, 400)
+
+
+def test_repeated_windows_of_long_texts_and_a_common_passage(spark):
+    draw = random.Random(4)
+    noise = lambda n: "".join(draw.choices("abcdefgh ijklmno", k=n))
+    long, passage = noise(1_300_000), noise(500)
+    rows = [(0, long), (1, noise(200) + long[900_000:1_250_000] + noise(100)), (2, noise(2_200_000) + long[1_048_000:1_049_200])]
+    rows += [(i, noise(draw.randrange(300)) + (passage if i % 3 == 0 else noise(450)) + noise(draw.randrange(300))) for i in range(3, 600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = Counter(tuple(r) for r in op6_radix_windows.without_repeats(df).collect())
+    assert got == windows_by_hand(rows, 400)
+
+
 def test_repeated_windows_query_and_odd_rows(spark, sf, texts, odd, empty):
     got = Counter(tuple(r) for r in QUERIES["op6_radix_windows"](spark, sf).collect())
     assert got == windows_by_hand(list(texts.items()), 400)
