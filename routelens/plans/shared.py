@@ -7,6 +7,7 @@ Catalyst broadcasts it, ``broadcast_if_small`` allows somewhat more after measur
 anything larger is shuffled, where AQE splits skewed partitions.
 """
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -24,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="routelens-"))
         folder = context.getCheckpointDir()
@@ -132,3 +133,27 @@ def with_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Global 0-based sequence number in ``order``, without moving all rows into one task."""
     out = running_sums(df, [], order, {name: F.lit(1)})
     return out.withColumn(name, F.col(name) - 1).drop("_chunk")
+
+
+def as_of_lookup(rows: DataFrame, table: DataFrame, at: str, value: str) -> DataFrame:
+    """``rows`` with ``value`` of the last row of ``table`` whose ``at`` is not after theirs; NULL before the first.
+
+    Both are sorted together over the cluster, table rows first among equals, and cut into chunks; the last value is carried
+    on within each chunk, and from chunk to chunk by one row each.  So neither side is broadcast and no key is hot.
+    ``at`` is unique in ``table`` and not NULL in either.
+    """
+    here = [c for c in rows.columns if c not in (at, value)]
+    held = F.struct(F.col(value).alias("value"))
+    both = table.select(at, F.lit(0).alias("_side"), held.alias("_held"), F.lit(None).alias("_row")).unionByName(
+        rows.select(at, F.lit(1).alias("_side"), F.lit(None).alias("_held"), F.struct(*here).alias("_row"))
+    )
+    ranged = both.repartitionByRange(at, "_side").withColumn("_chunk", F.spark_partition_id())
+    chunked = materialize(ranged, "as-of")
+    last = chunked.filter("_side = 0").groupBy("_chunk").agg(F.max_by("_held", at).alias("_last"))
+    chunks = chunked.select("_chunk").distinct().join(last, "_chunk", "left")
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+    carried = chunks.select("_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    within = Window.partitionBy("_chunk").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = chunked.withColumn("_seen", F.last("_held", ignorenulls=True).over(within)).filter("_side = 1")
+    out = seen.join(F.broadcast(carried), "_chunk")
+    return out.select(at, "_row.*", F.coalesce("_seen", "_carried")["value"].alias(value))

@@ -9,6 +9,7 @@ from routelens.operators.inventory import endpoint_parts
 from routelens.plans.analyze import fold_batch, store_traffic
 from routelens.plans.shared import materialize
 from routelens.sources import logs, tables
+from routelens.streaming.tail import tail_lines
 
 # Poll interval of the log watcher.
 LOG_INTERVAL = "30 seconds"
@@ -25,14 +26,24 @@ def stream_logs(
     return logs.with_pattern(logs.parse_lines(lines, log_format, ingest_time))
 
 
+def tail_logs(
+    spark: SparkSession, paths: str | list[str], log_format: str, ingest_time: Column, start: str = "end", **options
+) -> DataFrame:
+    """Traffic from the lines that log files get from now on, or from their beginning; see ``streaming.tail``."""
+    lines = logs.clean_lines(tail_lines(spark, paths, start, **options))
+    return logs.with_pattern(logs.parse_lines(lines, log_format, ingest_time))
+
+
 def ingest_writer(
-    spark: SparkSession, folder: str, path: str, checkpoint: str, ingest_time: Column, once: bool = False
+    spark: SparkSession, folder: str, path: str, checkpoint: str, ingest_time: Column, once: bool = False, tail: str | None = None
 ) -> DataStreamWriter:
     """Append the traffic of log files that appear in a folder, each parsed by the format found in its head.
 
-    A replayed batch replaces what it wrote.
+    With ``tail``, ``end`` or ``beginning``, files are followed as they grow, from there on.  A replayed batch replaces what it
+    wrote.
     """
-    lines = logs.clean_lines(spark.readStream.format("text").load(folder).select(F.col("_metadata.file_path"), "value"))
+    files = spark.readStream.format("text").load(folder).select(F.col("_metadata.file_path"), "value") if tail is None else None
+    lines = logs.clean_lines(tail_lines(spark, folder, tail) if tail else files)
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         written = materialize(batch, "lines")

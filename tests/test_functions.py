@@ -1,3 +1,6 @@
+import ipaddress
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +156,69 @@ def test_remediation_expressions(spark):
     assert evaluate(spark, ["/a/{id}-b/"], remediation.metric_name) == {"/a/{id}-b/": "a__id__b"}
 
 
+def address_texts(seed):
+    draw = random.Random(seed)
+    four = [".".join(str(draw.choice([0, 1, 9, 10, 127, 128, 255])) for _ in range(4)) for _ in range(40)]
+    groups = lambda n: [f"{draw.choice([0, 0, 0, 1, 0xDB8, 0xFFFF]):{draw.choice(['x', 'X', '04x'])}}" for _ in range(n)]
+    six = [":".join(groups(8)) for _ in range(40)]
+    six += [":".join(groups(a)) + "::" + ":".join(groups(b)) for a, b in [(draw.randrange(4), draw.randrange(4)) for _ in range(60)]]
+    six += ["::ffff:10.0.0.1", "1:2:3:4:5:6:1.2.3.4", "::1.2.3.4", "fe80::1%eth0", "::", "1::", "::1", "1:2:3:4:5:6:7::"]
+    bad = ["", "x", "1.2.3", "01.2.3.4", "1.2.3.256", ":", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "g::", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8::", "1.2.3.4:80", "::1.2.3", None]
+    return four + six + bad
+
+
+def parsed(text, make):
+    try:
+        return make(text)
+    except ValueError:
+        return None
+
+
+def test_addresses_and_their_texts(spark):
+    texts = address_texts(3)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", network.address(F.col("t")).alias("a"))
+    for t, a, back in rows.select("t", "a", network.ip_text(F.col("a"))).collect():
+        want = parsed(t, ipaddress.ip_address) if t is not None else None
+        assert (a is None) == (want is None), t
+        if a:
+            assert a.v == want.version and ((a.hi + 2**63) << 64) + a.lo + 2**63 == int(want), t
+            if getattr(want, "ipv4_mapped", None) is None:
+                assert back == str(want).split("%")[0]
+
+
+def subnet_texts(seed):
+    draw = random.Random(seed)
+    nets = [f"{t}/{draw.randrange(0, 33 if '.' in t else 129)}" for t in address_texts(seed) if t and parsed(t, ipaddress.ip_address) and "%" not in t]
+    return nets + ["10.0.0.0/255.255.0.0", "10.0.0.0/0.0.255.255", "0.0.0.0/0", "0.0.0.0/0.0.0.0", "::/0", "10.0.0.0/255.0.255.0", "10.0.0.0/33", "::/129", "10.0.0.0/", "10.0.0.0/8/8", "host", "10.0.0.1", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "255.255.255.255"]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_traffic_of_nets_within_nets(spark, monkeypatch, large):
+    if large:
+        monkeypatch.setattr(network, "is_small", lambda _: False)
+    sources = [t for t in address_texts(5) * 3 if t != ""] + ["255.255.255.255", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff"]
+    targets = subnet_texts(5) + subnet_texts(6)
+    traffic = spark.createDataFrame([(t, 500 if i % 3 == 0 else 200) for i, t in enumerate(sources)], "source_ip string, status_code int")
+    want, at = {}, {t: parsed(t, ipaddress.ip_address) if t else None for t in sources}
+    for target in targets:
+        net = parsed(target, lambda x: ipaddress.ip_network(x, strict=False))
+        hits = [(t, i % 3 == 0) for i, t in enumerate(sources) if net and at[t] and at[t] in net]
+        if hits:
+            want[target] = (len(hits), sum(e for _, e in hits), len({t for t, _ in hits}))
+    got = network.attribute_subnets(traffic, spark.createDataFrame([(t,) for t in targets], "target string")).collect()
+    assert {r.target: (r.calls, r.errors, r.addresses) for r in got} == want and len(got) == len(want)
+
+
+def test_hosts_of_nets(spark):
+    targets = ["10.0.0.5/30", "10.0.0.0/31", "10.0.0.0/255.255.255.248", "2001:db8::5/124", "2001:db8::/127", "2001:db8::7", "ffff::ffff/112", "2001:db8::/64", "name"]
+    hosts = network.expand_targets(spark.createDataFrame([(t,) for t in targets], "target string")).collect()
+    want = set()
+    for t in targets:
+        net = parsed(t, lambda x: ipaddress.ip_network(x, strict=False))
+        want |= {(t, str(h)) for h in net.hosts()} if net and net.num_addresses <= 2**32 else {(t, t)}
+    assert {tuple(r) for r in hosts} == want and len(hosts) == len(want)
+
+
 def test_subnets(spark):
     numbers = {"10.0.0.1": 167772161, "255.255.255.255": 4294967295, "256.1.1.1": None, "x": None, None: None}
     assert evaluate(spark, numbers, network.ip_number) == numbers

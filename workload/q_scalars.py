@@ -237,3 +237,26 @@ def _(spark, d):
     nets = rows.filter("source_ip is not null").select(F.concat("source_ip", F.lit("/29")).alias("target"))
     names = rows.filter("host like 'svc%'").select(F.col("host").alias("target"))
     return network.expand_targets(materialize(nets.union(names).distinct(), "targets"))
+
+
+_V6 = "SELECT {target} AS target, sum(calls)::BIGINT AS calls, sum(errors)::BIGINT AS errors, count(*) AS addresses FROM r"
+
+
+@query(
+    "k18_ipv6_subnets",
+    f"""/*with*/ r AS (SELECT k % 64 AS h, user_id % 65536 AS u, count(*) AS calls, count(*) FILTER (k % 4 = 0) AS errors FROM ev GROUP BY ALL) /*end*/
+    {_V6.format(target="'2001:db8::/32'")}
+    UNION ALL {_V6.format(target="'2001:0DB8:0:0::/44'")} WHERE h < 16 HAVING count(*) > 0
+    UNION ALL {_V6.format(target="'2001:db8:' || lower(to_hex(h)) || '::/48'")} GROUP BY h
+    UNION ALL {_V6.format(target="'2001:db8:3::' || lower(to_hex(u))")} WHERE h = 3 GROUP BY u""",
+)
+def _(spark, d):
+    # nets within nets, and addresses as nets of their own
+    rows = views.events(spark, d).select(
+        F.lower(F.hex(F.col("k") % 64)).alias("h"), F.lower(F.hex(F.col("user_id") % 65536)).alias("u"),
+        F.when(F.col("k") % 4 == 0, 500).otherwise(200).alias("status_code"),
+    )
+    subnet, single = F.concat(F.lit("2001:db8:"), "h", F.lit("::/48")), F.concat(F.lit("2001:db8:3::"), "u")
+    targets = rows.select(F.explode(F.array(F.lit("2001:db8::/32"), F.lit("2001:0DB8:0:0::/44"), subnet, single)).alias("target"))
+    traffic = rows.withColumn("source_ip", F.concat(F.lit("2001:DB8:"), "h", F.lit("::"), "u"))
+    return network.attribute_subnets(traffic, materialize(targets.distinct(), "targets"))

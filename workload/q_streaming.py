@@ -58,6 +58,31 @@ def _(spark, d):
     return spark.read.parquet(out).groupBy("method", "path").agg(F.count("*").alias("calls"))
 
 
+@query(
+    "l2_tail_growing_files",
+    "SELECT method, path, count(*) + count(*) FILTER (k % 2 = 0) AS calls FROM ln GROUP BY method, path",
+)
+def _(spark, d):
+    # Files grow in three steps, of which the first two end in the middle of a line; then shorter ones, of the lines of one
+    # kind, take their places.  The stream stops after each step and goes on from its checkpoint.
+    folder, out, state = (scratch_path(spark, x) for x in ("growing", "followed", "follow-state"))
+    lines = views.followed_lines(spark, d)
+    steps = lines.withColumn("seq", F.pmod(F.shiftright("seq", 3), F.lit(3)) * 2**60 + F.col("seq"))
+
+    def follow():
+        stream = jobs.tail_logs(spark, folder, "generic", views.as_of(), start="beginning", range_bytes=1 << 16)
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        _run(writer.trigger(availableNow=True))
+
+    for step in range(3):
+        done = F.col("seq") < (step + 1) * 2**60
+        views.write_log_files(steps.filter(done), folder, steps.filter(~done) if step < 2 else None)
+        follow()
+    views.write_log_files(lines.filter("raw_line LIKE 'app[1]: %'"), folder)
+    follow()
+    return spark.read.parquet(out).groupBy("method", "path").agg(F.count("*").alias("calls"))
+
+
 @query("l2_tail_detects_formats", f"{_expected('nginx')} UNION ALL {_expected('gtext')}")
 def _(spark, d):
     # files of two formats arrive in one folder

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from routelens.functions.paths import endpoint_id
 from routelens.operators import accounts
-from routelens.plans.shared import scratch_path
+from routelens.plans.shared import materialize, scratch_path
 from routelens.sources.logs import with_pattern
 
 AS_OF = "2024-01-31 00:00:00"
@@ -200,6 +200,46 @@ def log_files(spark: SparkSession, sf_dir: str, *formats: str, blanks: bool = Fa
     return folders
 
 
+def _write_files(folder: str):
+    """file, seq, raw_line, whole in order -> a text file per name, in place of what it held; lines that are not whole end in their middle."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        name, out = None, None
+        for batch in batches:
+            for file, line, whole in zip(*(batch[c].to_pylist() for c in ("file", "raw_line", "whole")), strict=True):
+                if file != name:
+                    if out:
+                        out.close()
+                    name, out = file, system.open_output_stream(f"{root}/{file}")
+                out.write(f"{line}\n".encode() if whole else line[: len(line) // 2].encode())
+        if out:
+            out.close()
+        yield from ()
+
+    return run
+
+
+def write_log_files(lines: DataFrame, folder: str, later: DataFrame | None = None) -> None:
+    """Write ``lines`` (file, seq, raw_line) as log files that end, if their first line of ``later`` is given, in the middle of it."""
+    rows = lines.withColumn("whole", F.lit(True))
+    if later is not None:
+        first = later.groupBy("file").agg(F.min("seq").alias("seq"), F.min_by("raw_line", "seq").alias("raw_line"))
+        rows = rows.unionByName(first.withColumn("whole", F.lit(False)))
+    placed = rows.repartition("file").sortWithinPartitions("file", "seq").select("file", "raw_line", "whole")
+    placed.mapInArrow(_write_files(folder), "done int").write.format("noop").mode("overwrite").save()
+
+
+def followed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text log lines (file, seq, raw_line): eight services, each with a log file of its own."""
+    rows = generic_text_lines(spark, sf_dir).select("raw_line").withColumn("id", F.monotonically_increasing_id())
+    kept = materialize(rows, "followed-lines")
+    return kept.select(F.concat(F.lit("service-"), (F.col("id") % 8).cast("string"), F.lit(".log")).alias("file"), F.col("id").alias("seq"), "raw_line")
+
+
 # ── Specs ──
 
 
