@@ -27,13 +27,13 @@ ALERT_WORDS = (
 )
 
 
-def generate_alerts(endpoints: DataFrame, as_of: Column) -> DataFrame:
-    """All alerts in one pass: up to five per endpoint, with type and severity as columns."""
+def _rules(as_of: Column) -> dict[str, tuple[Column, list[Column]]]:
+    """Condition and the end of the message of each kind."""
     calls = F.col("total_calls")
     rate = error_rate(F.col("error_count"), calls)
     status = F.col("status")
     call_text = calls.cast("string")
-    rules = {
+    return {
         "shadow_api": (status == "shadow", [F.lit(" ("), call_text, F.lit(" calls, not in any spec)")]),
         "unauthenticated": (
             F.array_contains("auth_methods_seen", "none") & (calls > 0),
@@ -52,8 +52,18 @@ def generate_alerts(endpoints: DataFrame, as_of: Column) -> DataFrame:
             [F.lit(" (in spec but no traffic since "), plain(F.col("last_seen")), F.lit(")")],
         ),
     }
+
+
+def alert_kinds(as_of: Column) -> Column:
+    """The kinds of alerts that a classified endpoint raises, at most five."""
+    kinds = [F.when(condition, F.lit(kind)) for kind, (condition, _) in _rules(as_of).items()]
+    return F.filter(F.array(*kinds), lambda x: x.isNotNull())
+
+
+def generate_alerts(endpoints: DataFrame, as_of: Column) -> DataFrame:
+    """All alerts in one pass: up to five per endpoint, with type and severity as columns."""
     raised = []
-    for kind, (condition, tail) in rules.items():
+    for kind, (condition, tail) in _rules(as_of).items():
         severity, prefix = ALERT_KINDS[kind]
         message = F.concat(F.lit(prefix), F.col("method"), F.lit(" "), F.col("path_pattern"), *tail)
         raised.append(

@@ -237,18 +237,30 @@ def upsert_endpoints(stored: DataFrame, incoming: DataFrame, null_erases: bool =
     return both.select(*[{**special, **taken}[c].alias(c) for c in ENDPOINTS.fieldNames()])
 
 
-def report(endpoints: DataFrame, as_of: Column) -> DataFrame:
-    """One-row summary of a classified inventory."""
+def report_counts(as_of: Column) -> list[Column]:
+    """The counts of a summary, which add up over parts of an inventory."""
     by_status = [
         F.count_if(F.col("status") == s).alias(f"{s}_endpoints")
         for s in ("active", "shadow", "zombie", "undocumented")
     ]
-    return endpoints.agg(
+    return [
         F.count("*").alias("total_endpoints"),
         *by_status,
         F.count_if(F.array_contains("auth_methods_seen", "none")).alias("unauthenticated_endpoints"),
         F.count_if(is_new(F.col("first_seen"), as_of)).alias("new_last_24h"),
-    )
+    ]
+
+
+def report(endpoints: DataFrame, as_of: Column) -> DataFrame:
+    """One-row summary of a classified inventory."""
+    return endpoints.agg(*report_counts(as_of))
+
+
+def changes_at(as_of: Column, zombie_days: int = ZOMBIE_DAYS) -> Column:
+    """When the passing of time alone changes an endpoint's status or its place in the summary; NULL for never."""
+    last, first = F.col("last_seen"), F.col("first_seen")
+    ages = F.when(F.col("declared_in_spec") & is_recent(last, as_of, zombie_days), last + F.make_dt_interval(F.lit(zombie_days)))
+    return F.least(ages, F.when(is_new(first, as_of), first + F.make_dt_interval(hours=F.lit(NEW_HOURS))))
 
 
 def ordered(endpoints: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Structured Streaming forms of ingest, inventory, timeline and anomaly scoring."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -69,14 +69,12 @@ def inventory_writer(
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        written = store_traffic(batch, store, batch_id)
+        spark, counted = batch.sparkSession, Observation()
+        written = store_traffic(batch, store, batch_id, counted)
         spec = spark.read.parquet(spec_path) if spec_path else None
         report = fold_batch(spark, written, store, as_of(), batch_id, spec)
-        progress = report.summary.withColumns(
-            {"batch_id": F.lit(batch_id), "records": F.lit(written.count())}
-        )
-        tables.write_batch(progress.drop("batch_id"), f"{store}/progress", batch_id)
+        progress = report.summary.withColumn("records", F.lit(counted.get["records"]))  # counted while it was written
+        tables.write_batch(progress, f"{store}/progress", batch_id)
 
     return _trigger(traffic.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint), once)
 

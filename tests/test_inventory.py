@@ -178,18 +178,68 @@ def test_store_is_idempotent_per_batch(spark, tmp_path):
     assert [r.status for r in report.endpoints.filter("host is null and path_pattern = '/a' and method = 'GET'").collect()] == ["deprecated"]
     stored = spark.read.parquet(f"{tmp_path}/alerts")
     assert stored.count() == stored.select("endpoint_id", "alert_type").distinct().count()
-    assert tables.latest_version(spark, f"{tmp_path}/endpoints") == 1
+    assert sorted(x.name for x in (tmp_path / "endpoints" / "manifests").iterdir() if x.name.isdigit()) == ["0", "1"]
+
+
+COUNTS = ["endpoint_id", "total_calls", "error_count", "consumer_count", "status", "first_seen", "last_seen", "declared_in_spec"]
+
+
+def rows_of(df, columns):
+    return sorted(map(str, df.select(*columns).collect()))
 
 
 def test_older_batch_again_renews_the_newest_snapshot(spark, tmp_path):
     records = random_records(8, 60)
     for batch, part in ((0, records[:30]), (1, records[30:]), (0, records[:10])):
-        report = analyze.fold_batch(spark, frame(spark, part), str(tmp_path), as_of(), batch)
-    assert report.endpoints.agg(F.sum("total_calls")).first()[0] == 40
-    assert tables.latest_version(spark, f"{tmp_path}/endpoints") == 1
-    tables.write_snapshot(spark.read.parquet(f"{tmp_path}/parts/deltas").drop("batch_id"), f"{tmp_path}/parts", 1)
-    with pytest.raises(ValueError, match="part of the snapshot of batch 1"):
-        analyze.fold_batch(spark, frame(spark, records[:5]), str(tmp_path), as_of(), 0)
+        report = analyze.fold_batch(spark, frame(spark, part), str(tmp_path / "a"), as_of(), batch, keep=2)
+    fresh = analyze.fold_batch(spark, frame(spark, records[:10]), str(tmp_path / "b"), as_of(), 0)
+    fresh = analyze.fold_batch(spark, frame(spark, records[30:]), str(tmp_path / "b"), as_of(), 1)
+    assert rows_of(report.endpoints, COUNTS) == rows_of(fresh.endpoints, COUNTS)
+    assert report.summary.first() == fresh.summary.first()
+    alerts_of = lambda x: rows_of(spark.read.parquet(str(tmp_path / x / "alerts")), ["batch_id", "endpoint_id", "alert_type"])
+    assert alerts_of("a") == alerts_of("b")
+    for batch in (2, 3):
+        analyze.fold_batch(spark, frame(spark, records[:5]), str(tmp_path / "a"), as_of(), batch, keep=2)
+    with pytest.raises(ValueError, match="part of the snapshot of batch 2"):
+        analyze.fold_batch(spark, frame(spark, records[:5]), str(tmp_path / "a"), as_of(), 1, keep=2)
+
+
+def test_batches_in_steps_equal_one_inventory(spark, tmp_path):
+    """Specs that change, time that passes without traffic, and endpoints that batches do not touch."""
+    records = random_records(14, 240)
+    spec = lambda *rows: spark.createDataFrame(rows, "method string, path string, host string, deprecated boolean")
+    first = spec(("GET", "/a", None, False), ("GET", "/items/{id}", "api.stripe.com", False), ("PUT", "/never", "", False))
+    second = spec(("GET", "/a", None, True), ("POST", "/a", None, False), ("GET", "/items/{id}", "api.stripe.com", False))
+    store, seen = str(tmp_path), []
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    steps = [(records[:80], first, "2024-01-02 00:00:00"), (records[80:81], second, "2024-01-03 00:00:00"), (records[81:], None, "2024-01-03 00:00:00"), ([], None, "2024-03-01 00:00:00")]
+    for batch, (part, declared, now) in enumerate(steps):
+        seen += part
+        report = analyze.fold_batch(spark, frame(spark, part), store, at(now), batch, declared, buckets=7)
+        known = first if batch == 0 else first.unionByName(second)
+        want = analyze.inventory_report(inventory.endpoint_parts(frame(spark, seen)), at(now), known)
+        assert rows_of(report.endpoints, COUNTS) == rows_of(want.endpoints, COUNTS)
+        assert report.summary.first() == want.summary.first()
+        stored = spark.read.parquet(f"{store}/alerts").select("endpoint_id", "alert_type")
+        raised = {tuple(r) for r in want.alerts.select("endpoint_id", "alert_type").collect()}
+        assert raised <= {tuple(r) for r in stored.collect()} and stored.count() == stored.distinct().count()
+
+
+def test_files_of_a_batch_stay_flat_over_many_batches(spark, tmp_path):
+    """Batches of one endpoint each, over a store of many, write and keep as much at the end as at the beginning."""
+    records, store = random_records(9, 400, hot=0.0), str(tmp_path)
+    analyze.fold_batch(spark, frame(spark, records), store, as_of(), 0, buckets=16, keep=3)
+    one = [records[0] | {"record_id": 10_000}]
+    written, kept = [], []
+    for batch in range(1, 13):
+        before = {p for p in tmp_path.rglob("*") if p.is_file()}
+        report = analyze.fold_batch(spark, frame(spark, one), store, as_of(), batch, buckets=16, keep=3)
+        files = {p for p in tmp_path.rglob("*") if p.is_file()}
+        written.append(len([p for p in files - before if p.suffix == ".parquet"]))
+        kept.append(len([p for p in files if p.suffix == ".parquet" and {"parts", "endpoints", "deltas"} & set(p.parts)]))
+    assert max(written) <= min(written) + 1 and max(written) <= 6
+    assert kept[4:] == [kept[4]] * len(kept[4:])
+    assert report.endpoints.agg(F.sum("total_calls")).first()[0] == 412
 
 
 def test_analyze_logs_end_to_end(spark, tmp_path):

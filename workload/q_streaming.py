@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from routelens.operators import anomaly
+from routelens.plans.analyze import stored_endpoints
 from routelens.plans.shared import materialize, scratch_path
-from routelens.schemas import ENDPOINTS
-from routelens.sources import tables
 from routelens.streaming import jobs
 from workload import views
 from workload.q_inventory import _ENDPOINT, _endpoint_columns
@@ -31,7 +30,7 @@ def _store(spark, d, spec: bool = False) -> str:
 
 
 def _endpoints(spark, store):
-    return tables.read_snapshot(spark, f"{store}/endpoints", ENDPOINTS)
+    return stored_endpoints(spark, store)
 
 
 @query("l1_micro_batch_inventory", f"SELECT {_ENDPOINT}, status FROM plainep")
