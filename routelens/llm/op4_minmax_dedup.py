@@ -127,14 +127,36 @@ def spanning_links(sets: list[np.ndarray], percent: int, split: int | None = Non
     return out
 
 
+LINK, PIVOT, OTHER = 0, 1, 2
+_FOUND = "key bigint, a bigint, b bigint, n bigint, kind int"
+
+
 def _links_of_group(percent: int):
+    """A group's links a-b; and of a large bucket, for each pivot a and each other class a, what it hangs together with.
+
+    That is b: a pivot, for a class of another block that is connected to one within the group, or else the class itself.
+    """
+
     def compare(group: pa.Table) -> pa.Table:
         rows = sorted(zip(*(group[c].to_pylist() for c in ("side", "class_id", "shingles")), strict=True))
         sets = [np.frombuffer(s, np.uint64) for _, _, s in rows]
         split = sum(side == 0 for side, _, _ in rows)
-        found = spanning_links(sets, percent, split if split < len(sets) else None)
-        ends = [pa.array([rows[pair[i]][1] for pair in found], pa.int64()) for i in (0, 1)]
-        return pa.Table.from_arrays(ends, names=["a", "b"])
+        if split == len(sets) and "part" in group.column_names and group["part"][0].as_py():
+            sets, rows, split = [], [], 0  # pivots that no other class came to
+        found = spanning_links(sets, percent, split if split < len(sets) else None) if sets else []
+        out = [(rows[x][1], rows[y][1], 0, LINK) for x, y in found]
+        if group["large"][0].as_py():
+            roots = list(range(len(rows)))
+            for x, y in found:  # pivots come first, so the least place is a pivot if there is one
+                one, two = sorted((roots[x], roots[y]))
+                roots = [one if r == two else r for r in roots]
+            first = split if split < len(sets) else 0  # a pivot's own group has pivots only
+            kind = OTHER if first or not split else PIVOT
+            for i in range(first, len(rows)):
+                root = roots[i] if kind == PIVOT or roots[i] < split else i
+                out.append((rows[i][1], rows[root][1], sets[i].size, kind))
+        columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+        return pa.Table.from_arrays([pa.array([group["key"][0].as_py()] * len(out), pa.int64()), *columns], names=["key", "a", "b", "n", "kind"])
 
     return compare
 
@@ -168,10 +190,11 @@ def _rooted(docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     blocks = F.ceil(F.greatest(F.col("shingles") / block, F.col("members") / BLOCK_CLASSES)).cast("int")
     buckets = materialize(buckets.select("key", blocks.alias("blocks")), "buckets")
     own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    dealt = keyed.join(buckets, "key").select("key", "class_id", "n_shingles", "blocks", own.alias("own"))
+    dealt = keyed.join(buckets, "key").select("key", "class_id", "blocks", own.alias("own"))
     # The first block meets all blocks of its bucket, the others it alone.
     to = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    members = dealt.select("key", F.explode(to).alias("part"), "class_id", F.when(F.col("own") == 0, 0).otherwise(1).alias("side"))
+    side = F.when(F.col("own") == 0, 0).otherwise(1).alias("side")
+    members = dealt.select("key", F.explode(to).alias("part"), "class_id", side, (F.col("blocks") > 1).alias("large"))
     members = materialize(members, "members")
 
     # Full sets of the classes that share a bucket, and the links of each group.
@@ -179,15 +202,14 @@ def _rooted(docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     full = _full_sets(docs, materialize(wanted, "wanted"), n)
     large = not buckets.filter("blocks > 1").isEmpty()
     full = materialize(full, "full-sets") if large else full
-    groups = members.join(full, "class_id").groupBy("key", "part")
-    links = materialize(groups.applyInArrow(_links_of_group(percent), "a bigint, b bigint"), "near-links")
-    roots = materialize(components(links).withColumnRenamed("node", "class_id"), "roots")
-    if large:
-        across = _across(dealt.filter("own > 0"), roots, block)
-        if not across.isEmpty():
-            more = across.join(full, "class_id").groupBy("pair").applyInArrow(_links_of_group(percent), "a bigint, b bigint")
-            links = links.unionByName(materialize(more, "links-across"))
-            roots = components(links).withColumnRenamed("node", "class_id")
+    found = members.join(full, "class_id").groupBy("key", "part").applyInArrow(_links_of_group(percent), _FOUND)
+    found = materialize(found, "near-links")
+    links = found.filter(F.col("kind") == LINK).select("a", "b")
+    across = _across(found, block) if large else None
+    if across is not None:
+        more = across.join(full, "class_id").groupBy("key").applyInArrow(_links_of_group(percent), _FOUND)
+        links = links.unionByName(materialize(more, "links-across").select("a", "b"))
+    roots = components(links).withColumnRenamed("node", "class_id")
 
     labelled = classes.join(roots, "class_id", "left")
     labelled = materialize(labelled.select(F.col("digest").alias("of"), F.coalesce("root", "class_id").alias("root")), "labelled")
@@ -195,13 +217,18 @@ def _rooted(docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     return out.select("doc_id", "id", "n_shingles", F.coalesce("root", "id").alias("root"))
 
 
-def _across(dealt: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """pair, class_id, side: pairs of blocks of one bucket whose classes are not all in one component."""
-    rows = dealt.join(roots, "class_id", "left").select("key", "class_id", "n_shingles", F.coalesce("root", "class_id").alias("root"))
+def _across(found: DataFrame, block: int) -> DataFrame | None:
+    """key, class_id, side, large: pairs of blocks, one key each, of classes of one bucket that do not all hang together yet."""
+    pivots = found.filter(F.col("kind") == PIVOT).select(F.col("key").alias("_key"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+    rows = found.filter(F.col("kind") == OTHER).join(pivots, (F.col("key") == F.col("_key")) & (F.col("b") == F.col("_a")), "left")
+    rows = rows.select("key", F.col("a").alias("class_id"), F.col("n").alias("n_shingles"), F.coalesce("_b", "b").alias("root"))
     rows = materialize(rows, "rooted-members")
     share = F.greatest(F.sum("n_shingles") / block, F.count("*") / BLOCK_CLASSES)
     sizes = materialize(rows.groupBy("key", "root").agg(share.alias("share")), "component-sizes")
     mixed = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("share") < 1, F.col("share"))).alias("rest")).filter("roots > 1")
+    mixed = materialize(mixed, "mixed-buckets")
+    if mixed.isEmpty():
+        return None
     sizes = sizes.join(mixed, "key").select(
         F.col("key").alias("_key"), F.col("root").alias("_root"), (F.col("share") >= 1).alias("whole"),
         F.when(F.col("share") >= 1, F.ceil("share")).otherwise(F.greatest(F.ceil("rest"), F.lit(1))).alias("blocks"),
@@ -216,9 +243,10 @@ def _across(dealt: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     of_one = F.col("one.whole") & F.col("two.whole") & (F.col("one.of") == F.col("two.of"))
     pairs = one.join(two, "key").filter((F.col("one") <= F.col("two")) & ~of_one).drop("key")
     pairs = materialize(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs-of-parts")
-    first = placed.join(pairs, F.col("part") == F.col("one")).select("pair", "class_id", F.lit(0).alias("side"))
-    second = placed.join(pairs.filter("one <> two"), F.col("part") == F.col("two")).select("pair", "class_id", F.lit(1).alias("side"))
-    return materialize(first.unionByName(second), "members-across")
+    first = placed.join(pairs, F.col("part") == F.col("one")).select(F.col("pair").alias("key"), "class_id", F.lit(0).alias("side"))
+    second = placed.join(pairs.filter("one <> two"), F.col("part") == F.col("two"))
+    second = second.select(F.col("pair").alias("key"), "class_id", F.lit(1).alias("side"))
+    return first.unionByName(second).withColumn("large", F.lit(False))
 
 
 def near_groups(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
