@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,21 +136,31 @@ def _halves(digests: list[bytes]) -> list[pa.Array]:
     return [pa.array(both[:, i]) for i in (0, 1)]
 
 
+def _utf8(column: pa.Array):
+    """The bytes of each text of a column, one at a time."""
+    return (text.as_buffer().to_pybytes() for text in column)
+
+
 def _bundled(batches, column: int, window: int, owners: int, gram: int):
     """Texts of batches in pieces: batch, rows and places of its parts of texts, their bytes, and its bundles."""
+
+    def piece(batch, parts: list) -> tuple:
+        raw, ends = b"".join(d for _, _, d in parts), np.cumsum([len(d) for _, _, d in parts])
+        return batch, parts, raw, ends, bundles(np.frombuffer(raw, np.uint8), ends, window, owners, gram)
+
     for batch in batches:
-        # Parts of texts, overlapping so that each window is whole in one of them.
-        parts = [
-            (row, at, data[at : at + BYTES_AT_ONCE + window - 1])
-            for row, text in enumerate(batch.column(column).to_pylist())
-            for data in (text.encode("utf-8", "surrogatepass"),)
-            for at in range(0, max(len(data) - window + 1, 0), BYTES_AT_ONCE)
-        ]
-        while parts:
-            n = max(1, int(np.searchsorted(np.cumsum([len(d) for _, _, d in parts]), BYTES_AT_ONCE, "right")))
-            some, parts = parts[:n], parts[n:]
-            raw, ends = b"".join(d for _, _, d in some), np.cumsum([len(d) for _, _, d in some])
-            yield batch, some, raw, ends, bundles(np.frombuffer(raw, np.uint8), ends, window, owners, gram)
+        parts, size = [], 0
+        for row, data in enumerate(_utf8(batch.column(column))):
+            # Parts of a text overlap, so that each window is whole in one of them.
+            for at in range(0, max(len(data) - window + 1, 0), BYTES_AT_ONCE):
+                part = data[at : at + BYTES_AT_ONCE + window - 1]
+                if parts and size + len(part) > BYTES_AT_ONCE:
+                    yield piece(batch, parts)
+                    parts, size = [], 0
+                parts.append((row, at, part))
+                size += len(part)
+        if parts:
+            yield piece(batch, parts)
 
 
 def _first_digits(window: int, owners: int, gram: int):
@@ -188,9 +199,8 @@ def _packed_rows(wanted):
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(has_bit(wanted.value, batch.column(3).to_numpy())))
-            data = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-            packed = pa.array([pa.compress(d, "zstd", asbytes=True) if d else b"" for d in data], pa.binary())
-            sizes = pa.array([len(d) for d in data], pa.int64())
+            packed = pa.array([pa.compress(d, "zstd", asbytes=True) if d else b"" for d in _utf8(batch.column(2))], pa.binary())
+            sizes = pa.compute.binary_length(batch.column(2)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, sizes], names=[*_KEY, "packed", "n_bytes"])
 
     return run
@@ -202,9 +212,9 @@ def _whole_rows(wanted):
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(~has_bit(wanted.value, batch.column(3).to_numpy())))
-            data = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-            none, digests = pa.array([0] * len(data), pa.int64()), [hashlib.sha256(d).hexdigest() for d in data]
-            columns = [batch.column(0), pa.array([len(d) for d in data], pa.int64()), none, none, pa.array(digests, pa.string())]
+            none, digests = pa.array([0] * batch.num_rows, pa.int64()), [hashlib.sha256(d).hexdigest() for d in _utf8(batch.column(2))]
+            sizes = pa.compute.binary_length(batch.column(2)).cast(pa.int64())
+            columns = [batch.column(0), sizes, none, none, pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=_RESULT)
 
     return run
