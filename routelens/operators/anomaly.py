@@ -1,22 +1,24 @@
 """Behavioural profiles and anomaly detection.
 
-The order of records matters (who trains a profile, who comes first).  ``in_order`` sorts the narrow
-rows once by (phase, timestamp, record_id), phase 0 being the explicit training set, and numbers them:
-``seq`` is unique, so identical records are told apart too, and as it is one number every aggregation
-over raw rows keeps fixed-width values and hashes instead of sorting.
-
-The ordered rows are read twice: once to train profiles, once to fold the traffic into an *activity*
-table with one row per (endpoint, source, resource id).  All six detectors work on that table.
-No detector orders or collects the rows of a group.
+The order of records matters (who trains a profile, who comes first).  Every record carries ``seq``, one fixed-width number
+that packs phase (0 is the explicit training set), time and record id, so the first or last of a group is a plain minimum or
+maximum that hashes and combines map-side: nothing sorts the records.  Records of one number are identical.
+
+The training window of an endpoint is found by selection: counts per (endpoint, slice of time) tell in which slice it fills, and
+only records of that slice are ranked, after each task has dropped those that cannot be among the first.  The traffic is then
+folded into an *activity* table with one row per (endpoint, source, resource id).  All six detectors work on that table.  No
+detector orders or collects the rows of a group.
 """
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelens.functions.paths import anomaly_source, endpoint_name, resource_id
 from routelens.functions.pytext import percent, whole
 from routelens.functions.times import seconds_between
-from routelens.plans.shared import broadcast_if_small, materialize, spread_join, top_k_per_group, union_all, with_index
+from routelens.plans.shared import broadcast_if_small, materialize, spread_join, top_k_per_group, union_all
 
 # Detector thresholds and scores.
 TRAINING_WINDOW = 1000
@@ -34,9 +36,23 @@ SAMPLE_IDS = 5
 
 ENDPOINT = ["method", "path_pattern"]
 PAIR = [*ENDPOINT, "source"]
-ORDER = ["phase", "timestamp", "record_id"]
-#: Runs of 2**20 consecutive numbers; batches of 2**40.
-RUN_BITS, BATCH_BITS = 20, 40
+#: A slice of time in which training windows are looked for is 2**36 microseconds, some 19 hours.
+SLICE_BITS = 36
+
+
+def _micros(at: Column) -> Column:
+    """A wall clock as microseconds, independent of the session zone; NULL is before all."""
+    days = F.unix_date(at.cast("date")).cast("bigint")
+    second = (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("bigint")
+    return F.coalesce(((days * 24 + F.hour(at)) * 60 + F.minute(at)) * 60_000_000 + second, F.lit(-(2**56)))
+
+
+def _sequence(phase: int) -> Column:
+    """Phase, time and record id in one number; even, so that there is room after each."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    number = lambda n: F.lit(Decimal(n))
+    record = F.coalesce(wide(F.col("record_id")) + number(2**63 + 1), wide(number(0)))
+    return wide((wide(_micros(F.col("timestamp"))) * number(2**65) + record) * number(2) + number(phase * 2**125))
 
 
 def observations(traffic: DataFrame, phase: int = 1) -> DataFrame:
@@ -51,21 +67,13 @@ def observations(traffic: DataFrame, phase: int = 1) -> DataFrame:
         F.lit(phase).alias("phase"),
         "timestamp",
         "record_id",
+        _sequence(phase).alias("seq"),
     )
 
 
-def in_order(rows: DataFrame, training: DataFrame | None = None, batch: int | None = None) -> DataFrame:
-    """The rows, after those of ``training``, written with their number ``seq``: ascending in order and unique.
-
-    With ``batch`` the numbers of a later batch are greater than all of an earlier one; -1 is for what was
-    known before the first.
-    """
-    all_rows = rows if training is None else training.unionByName(rows)
-    if batch is not None:
-        numbered = with_index(all_rows, ORDER, "seq")
-        return materialize(numbered.withColumn("seq", F.col("seq") + F.lit(batch * 2**BATCH_BITS)), "in-order")
-    placed = all_rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    return materialize(placed.withColumn("seq", F.monotonically_increasing_id()), "in-order")
+def recorded(rows: DataFrame, training: DataFrame | None = None) -> DataFrame:
+    """The narrow rows, and those of ``training``, written once, as training and scoring read them several times."""
+    return materialize(rows if training is None else training.unionByName(rows), "records")
 
 
 def _stats() -> list[Column]:
@@ -85,36 +93,47 @@ def train(rows: DataFrame, training_window: int = TRAINING_WINDOW) -> DataFrame:
     return stats.withColumn("is_trained", F.col("sample_count") >= training_window)
 
 
-def train_then_detect(ordered: DataFrame, training_window: int = TRAINING_WINDOW) -> DataFrame:
-    """Profiles as they stand when detection starts, with ``cut``, the number of the last training record.
+def train_then_detect(rows: DataFrame, training_window: int = TRAINING_WINDOW) -> DataFrame:
+    """Profiles as they stand when detection starts, with ``cut``, the number of the last training record of phase 1.
 
     All of an explicit training set (phase 0) trains.  An endpoint for which that is too small goes on
     training with its first analysed records up to and including the one that fills the window; only
-    later records are scored.  Counts per (endpoint, run of records) tell in which run a window fills, so
-    only that run's records are ranked.
+    later records are scored.  ``cut_left`` tells whether records identical to the last one are left to be scored.
     """
-    run = F.shiftright("seq", RUN_BITS).alias("run")
-    rows = ordered.withColumn("run", run)
-    counts = rows.groupBy(*ENDPOINT, "run").agg(
+    rows = rows.withColumn("slice", F.shiftright(_micros(F.col("timestamp")), SLICE_BITS))
+    counts = rows.groupBy(*ENDPOINT, "slice").agg(
         F.count_if(F.col("phase") == 0).alias("given"), F.count_if(F.col("phase") == 1).alias("n")
     )
-    earlier = Window.partitionBy(*ENDPOINT).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*ENDPOINT).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     need = F.greatest(F.lit(0), training_window - F.sum("given").over(Window.partitionBy(*ENDPOINT)))
-    take = F.least("n", need - F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    marks = counts.select(*ENDPOINT, "run", "n", take.alias("take")).filter("take > 0")
-    marks = materialize(marks, "training-runs")
+    take = F.least("n", need - F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    marks = counts.select(*ENDPOINT, "slice", "n", take.alias("take")).filter("take > 0")
+    marks = broadcast_if_small(materialize(marks, "training-slices"))
 
-    first = rows.filter("phase = 1").join(broadcast_if_small(marks), [*ENDPOINT, "run"])
-    place = F.row_number().over(Window.partitionBy(*ENDPOINT, "run").orderBy("seq"))
-    part = first.filter("take < n").withColumn("place", place).filter("place <= take")
+    first = rows.filter("phase = 1").join(marks, [*ENDPOINT, "slice"])
+    ranked = top_k_per_group(first.filter("take < n"), ENDPOINT, [F.col("seq")], training_window + 1)  # one slice per endpoint
+    ranked = materialize(ranked.filter(F.col("_rank") <= F.col("take") + 1), "first-records")
+    follows = ranked.groupBy(*ENDPOINT).agg(
+        F.max(F.when(F.col("_rank") == F.col("take"), F.col("seq"))).alias("_cut"), F.max(F.when(F.col("_rank") > F.col("take"), F.col("seq"))).alias("_next")
+    )
     learned = union_all(
-        [x.select(*ENDPOINT, "latency", "timestamp", "seq") for x in (ordered.filter("phase = 0"), first.filter("take = n"), part)]
+        [
+            x.select(*ENDPOINT, "latency", "timestamp", "seq", "phase")
+            for x in (rows.filter("phase = 0"), first.filter("take = n"), ranked.filter(F.col("_rank") <= F.col("take")))
+        ]
     )
-    last = [F.max("seq").alias("cut"), F.max_by("timestamp", "seq").alias("cut_at")]
+    last = [F.max(F.when(F.col("phase") == 1, F.col("seq"))).alias("cut"), F.max_by("timestamp", "seq").alias("cut_at")]
     profiles = learned.groupBy(*ENDPOINT).agg(*_stats(), *last)
+    left = F.coalesce(F.col("_next") == F.col("_cut"), F.lit(False)).alias("cut_left")
+    profiles = profiles.join(follows, ENDPOINT, "left").select(*profiles.columns, left)
     return profiles.withColumn("is_trained", F.col("sample_count") >= training_window)
 
 
+def _is_scored(cut: Column, cut_left: Column) -> Column:
+    """Whether a record comes after the training of its endpoint."""
+    return cut.isNull() | (F.col("seq") > cut) | ((F.col("seq") == cut) & cut_left)
+
+
 def status_distribution(rows: DataFrame) -> DataFrame:
     """Calls per status code as a map per endpoint (status codes are a small closed set)."""
     counts = rows.groupBy(*ENDPOINT, "status_code").agg(F.count("*").alias("n"))
@@ -166,26 +185,28 @@ def profile_summary(rows: DataFrame, training_window: int = TRAINING_WINDOW) ->
 def activity(rows: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Fold records to one row per (endpoint, source, resource id).
 
-    ``profiles``, a written table with one row per endpoint, says which records are scored; with it
-    the rows must come from ``in_order``.  A record whose endpoint has no profile is not scored, but
-    counts for the source and enumeration detectors as any other.  Without profiles nothing is scored.
+    ``profiles``, a written table with one row per endpoint, says which records are scored.  A record
+    whose endpoint has no profile is not scored, but counts for the source and enumeration detectors as
+    any other.  Without profiles nothing is scored.
 
     Write the result before running detectors on it: their filters would otherwise be moved below
     the aggregation and evaluate paths and ids again on every raw row.
     """
     analysed = F.col("phase") == 1
+    none = F.lit(None).cast("decimal(38,0)")
     if profiles is None:
         nothing = {"is_trained": F.lit(False), "avg_latency": F.lit(None).cast("double"), "std_latency": F.lit(None).cast("double")}
-        joined = rows.withColumns(nothing | {"cut": F.lit(0).cast("bigint"), "seq": F.lit(0).cast("bigint")})
+        joined = rows.withColumns(nothing | {"cut": none, "cut_left": F.lit(False)})
     else:
-        cut = F.col("cut") if "cut" in profiles.columns else F.lit(None).cast("bigint")
-        wanted = profiles.select(*ENDPOINT, "is_trained", "avg_latency", "std_latency", cut.alias("cut"))
-        joined = spread_join(rows, wanted, ENDPOINT, F.shiftright("seq", 10), "left")
-    after = F.col("cut").isNull() | (F.col("seq") > F.col("cut"))
-    scored = analysed & F.coalesce(F.col("is_trained") & after, F.lit(False))
+        known = {c: F.col(c) if c in profiles.columns else other for c, other in (("cut", none), ("cut_left", F.lit(False)))}
+        wanted = profiles.select(*ENDPOINT, "is_trained", "avg_latency", "std_latency", *[x.alias(c) for c, x in known.items()])
+        joined = spread_join(rows, wanted, ENDPOINT, F.xxhash64("seq"), "left")
+    scored = analysed & F.coalesce(F.col("is_trained") & _is_scored(F.col("cut"), F.col("cut_left")), F.lit(False))
+    after_equal = F.when(F.col("seq") == F.col("cut"), 1).otherwise(0)  # a scored record comes after an equal one that trained
+    scored_at = (F.col("seq") + after_equal).cast("decimal(38,0)")
     z = F.when(F.col("std_latency") > 0, F.abs(F.col("latency") - F.col("avg_latency")) / F.col("std_latency"))
     far = scored & (z > OUTLIER_DEVIATIONS) & (F.col("latency") > F.col("avg_latency"))
-    scored_seq, far_seq = F.when(scored, F.col("seq")), F.when(far, F.col("seq"))
+    scored_seq, far_seq = F.when(scored, scored_at), F.when(far, scored_at)
     return joined.groupBy(*PAIR, "resource_id").agg(
         F.count_if(analysed).alias("requests"),
         F.count_if(analysed & F.col("status_code").isin(401, 403)).alias("auth_failures"),
@@ -446,9 +467,9 @@ def score(
     rows: DataFrame, training: DataFrame | None = None, training_window: int = TRAINING_WINDOW
 ) -> DataFrame:
     """Train, then fold the traffic to the activity table, written once for all detectors."""
-    ordered = in_order(rows, training)
-    profiles = materialize(train_then_detect(ordered, training_window), "profiles")
-    return materialize(activity(ordered, profiles), "activity")
+    rows = recorded(rows, training)
+    profiles = materialize(train_then_detect(rows, training_window), "profiles")
+    return materialize(activity(rows, profiles), "activity")
 
 
 def detect(act: DataFrame, bola_threshold: int = BOLA_IDS, medium_rpm: float = RATE_MEDIUM_RPM,

@@ -105,16 +105,14 @@ def scoring_writer(
     """Score every micro-batch against a fixed, written profile table and store its anomalies.
 
     The state is the activity table, which adds up over batches, so ids and consumers of earlier
-    batches count, and those of ``known``, the activity of a training set that ``in_order`` numbered as
-    batch -1.  Records are ordered by batch, then by time.  A replayed batch starts from the state before
-    itself.  Per-source rates and failure shares are those of the batch.  Requests to endpoints without a
+    batches count, and those of ``known``, the activity of a training set (phase 0).  A replayed batch
+    starts from the state before itself.  Per-source rates and failure shares are those of the batch.  Requests to endpoints without a
     profile are not scored, but count for sources and enumeration.  ``thresholds`` go to ``detect``.
     """
-    fixed = profiles.drop("cut")  # the stream begins after all training
+    fixed = profiles.drop("cut", "cut_left")  # the stream begins after all training
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        ordered = anomaly.in_order(anomaly.observations(batch), batch=batch_id)
-        new = materialize(anomaly.activity(ordered, fixed), "activity")
+        new = materialize(anomaly.activity(anomaly.observations(batch), fixed), "activity")
         state = new if known is None or batch_id > 0 else anomaly.merge_activity(new, known)
         total = tables.fold_state(f"{store}/activity", state, batch_id, anomaly.merge_activity)
         tables.write_batch(anomaly.detect(total, by_source=new, **thresholds), f"{store}/anomalies", batch_id)

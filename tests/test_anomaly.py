@@ -143,7 +143,7 @@ def test_enumeration_counts_texts_but_compares_numbers(spark):
 def test_activity_adds_up_over_batches(spark):
     records = random_records(11, 400, hot=0.5)
     rows = frame(spark, records)
-    ordered = anomaly.in_order(anomaly.observations(rows))
+    ordered = anomaly.recorded(anomaly.observations(rows))
     profiles = anomaly.train_then_detect(ordered, training_window=30).cache()
     whole = detected(anomaly.activity(ordered, profiles))
     parts = [anomaly.activity(ordered.filter(F.col("record_id") % 3 == i), profiles) for i in range(3)]
@@ -179,18 +179,41 @@ def test_identical_records_are_trained_or_scored(spark):
     for r in records:
         r.update(records[0])  # one line, 60 times
     rows = anomaly.observations(frame(spark, records))
-    ordered = anomaly.in_order(rows)
+    ordered = anomaly.recorded(rows)
     profiles = anomaly.train_then_detect(ordered, training_window=20).cache()
     row = profiles.first()
     assert row.sample_count == 20 and row.is_trained
-    assert ordered.filter(F.col("seq") > row.cut).count() == 40
+    assert ordered.filter(F.col("seq") > row.cut).count() == 0 and row.cut_left
+    first = anomaly.activity(ordered, profiles).first()
+    assert int(first.first_seq) == int(row.cut) == int(first.first_scored) - 1 and first.requests == 60
+    none_left = anomaly.train_then_detect(ordered, training_window=60).first()
+    assert none_left.is_trained and not none_left.cut_left
+
+
+def test_nothing_sorts_all_records(spark):
+    rows = anomaly.observations(frame(spark, random_records(4)))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (rows, anomaly.recorded(rows), anomaly.activity(anomaly.recorded(rows)))]
+    assert not any("rangepartitioning" in p or "Sort " in p for p in plans)
+    profiles = anomaly.train_then_detect(anomaly.recorded(rows), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in profiles
+
+
+def test_sequence_numbers_follow_time_and_record(spark):
+    from datetime import datetime
+
+    times = [None, datetime(1, 1, 1), datetime(1969, 12, 31, 23, 59, 59, 999999), datetime(1970, 1, 1), datetime(2024, 2, 29, 12, 0, 0, 1), datetime(9999, 12, 31)]
+    rows = [(t, r, p) for p in (0, 1) for t in times for r in (None, -(2**63), -1, 0, 1, 2**63 - 1)]
+    df = spark.createDataFrame([(i, t, r, p) for i, (t, r, p) in enumerate(rows)], "i int, timestamp timestamp_ntz, record_id bigint, phase int")
+    numbered = df.select("i", F.when(F.col("phase") == 0, anomaly._sequence(0)).otherwise(anomaly._sequence(1)).alias("seq")).collect()
+    assert [r.i for r in sorted(numbered, key=lambda r: r.seq)] == list(range(len(rows)))
+    assert len({r.seq for r in numbered}) == len(rows) and all(int(r.seq) % 2 == 0 for r in numbered)
 
 
 def test_endpoints_without_profile_reach_the_source_detectors(spark):
     records = random_records(9, 100)
     for r in records:
         r.update(method="POST", path="/login", status_code=401, source_ip="9.9.9.9")
-    ordered = anomaly.in_order(anomaly.observations(frame(spark, records)))
+    ordered = anomaly.recorded(anomaly.observations(frame(spark, records)))
     none = anomaly.train_then_detect(ordered, 20).filter("method = 'GET'").cache()
     found = {r.anomaly_type for r in anomaly.detect(anomaly.activity(ordered, none)).collect()}
     assert "credential_stuffing" in found and "new_consumer" not in found
@@ -199,7 +222,7 @@ def test_endpoints_without_profile_reach_the_source_detectors(spark):
 def test_raw_rows_are_hashed_and_hot_endpoints_split(spark, monkeypatch):
     from routelens.plans import shared
 
-    ordered = anomaly.in_order(anomaly.observations(frame(spark, random_records(4))))
+    ordered = anomaly.recorded(anomaly.observations(frame(spark, random_records(4))))
     profiles = shared.materialize(anomaly.train_then_detect(ordered, 20), "profiles")
     small = anomaly.activity(ordered, profiles)
     monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)

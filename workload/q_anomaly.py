@@ -46,9 +46,9 @@ def _(spark, d):
     "SELECT endpoint, count(*) AS scored, count(*) FILTER (z > 3) AS far FROM scored GROUP BY endpoint",
 )
 def _(spark, d):
-    rows = anomaly.in_order(observed(spark, d))
+    rows = anomaly.recorded(observed(spark, d))
     profiles = materialize(anomaly.train_then_detect(rows, training_window=WINDOW), "profiles")
-    joined = rows.join(profiles, anomaly.ENDPOINT).filter("is_trained and seq > cut")
+    joined = rows.join(profiles, anomaly.ENDPOINT).filter("is_trained and seq > cut")  # no records are identical here
     z = F.when(F.col("std_latency") > 0, F.abs(F.col("latency") - F.col("avg_latency")) / F.col("std_latency"))
     return joined.groupBy(paths.endpoint_name(F.col("method"), F.col("path_pattern")).alias("endpoint")).agg(
         F.count("*").alias("scored"), F.count_if(z > 3).alias("far")
@@ -190,7 +190,7 @@ def _(spark, d):
     {ts('max(tm)')} AS cut FROM prof p JOIN ranked r ON r.endpoint = p.endpoint AND n <= {WINDOW} GROUP BY ALL""",
 )
 def _(spark, d):
-    profiles = anomaly.train_then_detect(anomaly.in_order(observed(spark, d)), training_window=WINDOW)
+    profiles = anomaly.train_then_detect(anomaly.recorded(observed(spark, d)), training_window=WINDOW)
     return profiles.select(
         paths.endpoint_name(F.col("method"), F.col("path_pattern")).alias("endpoint"), "sample_count", "is_trained",
         r6("avg_latency"), r6("std_latency"), F.date_format("cut_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("cut"),

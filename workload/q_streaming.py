@@ -167,7 +167,7 @@ def _(spark, d):
     rows = views.raw_traffic(spark, d)
     time, second, third = F.col("timestamp"), F.lit(_SECOND).cast("timestamp_ntz"), F.lit(_THIRD).cast("timestamp_ntz")
     told = views.with_pattern(rows.filter(time < second)).filter("path_pattern <> '/internal/metrics'")
-    training = anomaly.in_order(anomaly.observations(told, phase=0), batch=-1)
+    training = anomaly.recorded(anomaly.observations(told, phase=0))
     profiles = materialize(anomaly.train(training, _FIXED_WINDOW), "profiles")
     known = materialize(anomaly.activity(training, profiles), "known")
     folder, store, state = (scratch_path(spark, x) for x in ("arriving", "scores", "stream-state"))
