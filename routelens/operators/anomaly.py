@@ -219,8 +219,8 @@ def activity(rows: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
         F.min(far_seq).alias("outlier_seq"),
         F.min_by("timestamp", far_seq).alias("outlier_time"),
         F.min_by("latency", far_seq).alias("outlier_latency"),
-        F.max("avg_latency").alias("avg_latency"),
-        F.max("std_latency").alias("std_latency"),
+        F.max(F.when(F.col("is_trained"), F.col("avg_latency"))).alias("avg_latency"),
+        F.max(F.when(F.col("is_trained"), F.col("std_latency"))).alias("std_latency"),
     )
 
 
@@ -472,6 +472,16 @@ def score(
     return materialize(activity(rows, profiles), "activity")
 
 
+def pair_anomalies(act: DataFrame, bola_threshold: int = BOLA_IDS) -> DataFrame:
+    """What the detectors find that look at one endpoint and source at a time."""
+    return union_all([latency_outliers(act), bola(act, bola_threshold), new_consumers(act), enumeration(act)])
+
+
+def source_anomalies(act: DataFrame, medium_rpm: float = RATE_MEDIUM_RPM, high_rpm: float = RATE_HIGH_RPM) -> DataFrame:
+    """What the detectors find that look at all requests of a source."""
+    return credential_stuffing(act).unionByName(rate_anomalies(act, medium_rpm, high_rpm))
+
+
 def detect(act: DataFrame, bola_threshold: int = BOLA_IDS, medium_rpm: float = RATE_MEDIUM_RPM,
            high_rpm: float = RATE_HIGH_RPM, by_source: DataFrame | None = None) -> DataFrame:
     """All anomalies, one per (type, source, endpoint), sorted by severity name.
@@ -480,16 +490,7 @@ def detect(act: DataFrame, bola_threshold: int = BOLA_IDS, medium_rpm: float = R
     a stream passes the activity of the current batch.
     """
     recent = act if by_source is None else by_source
-    found = union_all(
-        [
-            latency_outliers(act),
-            bola(act, bola_threshold),
-            new_consumers(act),
-            credential_stuffing(recent),
-            rate_anomalies(recent, medium_rpm, high_rpm),
-            enumeration(act),
-        ]
-    )
+    found = pair_anomalies(act, bola_threshold).unionByName(source_anomalies(recent, medium_rpm, high_rpm))
     return found.orderBy("severity", "anomaly_type", "source", "endpoint")
 
 

@@ -13,7 +13,7 @@ from routelens.sources import logs, tables
 from routelens.sources.state import KEEP, Files, Manifest, PartedTable, bucket_of, parts_in
 
 #: Parts of the stored inventory.  More make a batch that touches few endpoints cheaper.
-BUCKETS = 64
+BUCKETS = 32
 #: Stored endpoints with the kinds of alerts that they have raised so far, and raised first in the last batch that touched them.
 _STORED = T.StructType([*ENDPOINTS.fields, T.StructField("raised", T.ArrayType(T.StringType())), T.StructField("newly", T.ArrayType(T.StringType()))])
 _TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -94,8 +94,8 @@ def fold_batch(
     it.  That takes the state before it: of more than ``keep`` batches ago it is gone, which is an error.
     """
     parts, endpoints = _tables(spark, store)
-    known = endpoints.versions()
-    first = endpoints.manifest().facts.get("first", batch_id)
+    known, facts = endpoints.versions(), endpoints.manifest().facts
+    first, buckets = facts.get("first", batch_id), facts.get("buckets", buckets)  # a store keeps its buckets
     if batch_id > first and batch_id <= known[0]:
         raise ValueError(f"batch {batch_id} is part of the snapshot of batch {known[0]}; replay from a copy of the older state")
     again = endpoints.manifest_of(batch_id) if batch_id in known else Manifest()

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from routelens.operators import anomaly, traffic as stats
 from routelens.operators.inventory import endpoint_parts
 from routelens.plans.analyze import fold_batch, store_traffic
+from routelens.plans.behaviour import fold_behaviour
 from routelens.plans.shared import materialize
 from routelens.sources import logs, tables
 from routelens.streaming.tail import tail_lines
@@ -120,6 +121,15 @@ def scoring_writer(
     return _trigger(traffic.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint), once)
 
 
+def behaviour_writer(traffic: DataFrame, store: str, checkpoint: str, once: bool = False, **options) -> DataStreamWriter:
+    """Train on and score every micro-batch; ``plans.behaviour.stored_anomalies`` reads what is found.  ``options`` go to ``fold_behaviour``."""
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        fold_behaviour(anomaly.observations(batch), store, batch_id, **options)
+
+    return _trigger(traffic.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint), once)
+
+
 def running_inventory(traffic: DataFrame) -> DataFrame:
     """The inventory state kept by Spark's own state store, for ``update`` or ``complete`` sinks."""
     return endpoint_parts(traffic)

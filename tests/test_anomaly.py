@@ -237,3 +237,21 @@ def test_raw_rows_are_hashed_and_hot_endpoints_split(spark, monkeypatch):
     assert "SortAggregate" not in plan and "_salt" in plan
     above = plan[: plan.index("SortMergeJoin")]
     assert "Exchange hashpartitioning(method" in above  # the aggregation shuffles again, after combining map-side
+
+
+@pytest.mark.parametrize("cuts", [(170,), (40, 60, 61, 300)])
+def test_batches_in_order_equal_one_detection(spark, tmp_path, cuts):
+    """Two and five batches, with the state read from storage each time, one of them run twice."""
+    from routelens.plans import behaviour
+
+    records, store = random_records(21, 400, hot=0.5), str(tmp_path)
+    records.sort(key=lambda r: (r["timestamp"], r["record_id"]))
+    options = {"training_window": 30, "bola_threshold": 8, "medium_rpm": 20, "high_rpm": 100, "buckets": 5, "keep": 2}
+    edges = [0, *cuts, len(records)]
+    for batch, (a, b) in enumerate(zip(edges, edges[1:])):
+        for _ in range(2 if batch == 1 else 1):
+            behaviour.fold_behaviour(anomaly.observations(frame(spark, records[a:b])), store, batch, **options)
+    got = {(r.anomaly_type, r.source, r.endpoint): (r.score, r.timestamp) for r in behaviour.stored_anomalies(spark, store).collect()}
+    same(got, analyse(records, 30, 8))
+    with pytest.raises(ValueError, match="cannot run again"):
+        behaviour.fold_behaviour(anomaly.observations(frame(spark, records[:5])), store, 0, **options)

@@ -221,14 +221,16 @@ def _(spark, d):
     return _shown(anomaly.new_consumers(scored(spark, d, 5)))
 
 
+ANOMALIES_SQL = (
+    ("data_exfiltration", _OUTLIERS), ("bola", _BOLA), ("new_consumer", _NEW), ("credential_stuffing", _STUFFING),
+    ("rate_anomaly", _rate_sql(100, 500)), ("enumeration", _ENUMS),
+)
+
+
 @query(
     "f8_all_anomalies",
     " UNION ALL ".join(
-        f"SELECT '{kind}' AS anomaly_type, severity, endpoint, source, score, message FROM ({part})"
-        for kind, part in (
-            ("data_exfiltration", _OUTLIERS), ("bola", _BOLA), ("new_consumer", _NEW), ("credential_stuffing", _STUFFING),
-            ("rate_anomaly", _rate_sql(100, 500)), ("enumeration", _ENUMS),
-        )
+        f"SELECT '{kind}' AS anomaly_type, severity, endpoint, source, score, message FROM ({part})" for kind, part in ANOMALIES_SQL
     ) + " ORDER BY severity, anomaly_type, source, endpoint",
 )
 def _(spark, d):

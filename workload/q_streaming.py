@@ -6,12 +6,14 @@ from routelens.operators import anomaly
 from routelens.plans.analyze import stored_endpoints
 from routelens.plans.shared import materialize, scratch_path
 from routelens.streaming import jobs
+from routelens.plans.behaviour import stored_anomalies
 from workload import views
+from workload.q_anomaly import ANOMALIES_SQL
 from workload.q_inventory import _ENDPOINT, _endpoint_columns
 from workload.q_sources import _expected, _parsed
 from workload.q_traffic import HOURLY
 from workload.registry import query, r6, text
-from workload.sql import alerts as alerts_sql, classified as classified_sql
+from workload.sql import WINDOW, alerts as alerts_sql, classified as classified_sql
 
 
 def _run(writer) -> None:
@@ -180,6 +182,23 @@ def _(spark, d):
     return found.select("anomaly_type", "endpoint", "source")
 
 
+_ONLINE = " UNION ALL ".join(
+    f"SELECT '{kind}' AS anomaly_type, severity, endpoint, source, score, message FROM ({part})" for kind, part in ANOMALIES_SQL
+)
+
+
+@query("l7_online_training", _ONLINE)
+def _(spark, d):
+    # files arrive in two steps, in order of time; endpoints train on their first records and are scored from then on
+    store, state, folder = (scratch_path(spark, x) for x in ("behaviour", "stream-state", "arriving"))
+    rows, cut = views.raw_traffic(spark, d), F.lit("2024-01-11 00:00:00").cast("timestamp_ntz")
+    for part in (F.col("timestamp") < cut, F.col("timestamp") >= cut):
+        rows.filter(part).write.mode("append").parquet(folder)
+        stream = views.with_pattern(spark.readStream.schema(rows.schema).parquet(folder))
+        _run(jobs.behaviour_writer(stream, store, state, once=True, training_window=WINDOW))
+    return stored_anomalies(spark, store).select("anomaly_type", "severity", "endpoint", "source", r6("score"), "message")
+
+
 @query("l8_progress", "SELECT count(*) AS records, (SELECT count(*) FROM inv) AS total_endpoints FROM traffic")
 def _(spark, d):
     progress = spark.read.parquet(f"{_store(spark, d)}/progress")
