@@ -111,10 +111,17 @@ class PartedTable:
             return
         for v in known[:-keep]:
             self.files.delete(f"{self.root}/manifests/{v}")
-        used = {p["run"] for v in known[-keep:] for p in self.manifest_of(v).parts.values()}
+        used: dict[str, set[str]] = {}
+        for v in known[-keep:]:
+            for part, facts in self.manifest_of(v).parts.items():
+                used.setdefault(facts["run"], set()).add(part)
         for run in self.files.names(f"{self.root}/data"):
+            folder = f"{self.root}/data/{run}"
             if run not in used:
-                self.files.delete(f"{self.root}/data/{run}")
+                self.files.delete(folder)
+            elif int(run.partition("-")[0]) < known[-keep]:  # parts that a later run replaced
+                for part in parts_in(self.files, folder, self.column) - used[run]:
+                    self.files.delete(f"{folder}/{self.column}={part}")
 
 
 def parts_in(files: Files, folder: str, column: str) -> set[str]:

@@ -301,3 +301,26 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         shared.shared_folder(Session())
+
+
+def test_days_are_compacted_and_read_alone(spark, tmp_path):
+    from routelens.plans import layout
+
+    records, store = random_records(15, 300), str(tmp_path)
+    for i, r in enumerate(records):
+        r["timestamp"] = None if i % 50 == 49 else r["timestamp"].replace(day=1 + i % 3)
+    traffic = frame(spark, records).select(*layout._ROW.fieldNames())
+    count = lambda df: df.groupBy(F.col("timestamp").cast("date").cast("string").alias("d")).count().collect()
+    want = {r.d: r["count"] for r in count(traffic)}
+    for batch in range(9):
+        analyze.store_traffic(traffic.filter(F.col("record_id") % 9 == batch), store, batch)
+        if batch in (2, 4, 6):
+            layout.compact_traffic(spark, store, batch, keep=1)
+            layout.compact_traffic(spark, store, batch, keep=1)  # nothing is left to do
+    assert {r.d: r["count"] for r in count(layout.read_traffic(spark, store))} == want
+    assert sorted(x.name for x in (tmp_path / "traffic").iterdir()) == [f"batch_id={b}" for b in (5, 6, 7, 8)]
+    some = layout.read_traffic(spark, store, "2024-01-02", "2024-01-02")
+    assert {r.d: r["count"] for r in count(some)} == {"2024-01-02": want["2024-01-02"]}
+    assert some.inputFiles() and all("dt=2024-01-02/" in x for x in some.inputFiles())
+    days = {p.parent for p in (tmp_path / "traffic-days").rglob("*.parquet")}
+    assert len(days) == 4 and all(len(list(d.glob("*.parquet"))) == 1 for d in days)

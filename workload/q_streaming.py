@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from routelens.operators import anomaly
-from routelens.plans.analyze import stored_endpoints
+from routelens.plans.analyze import store_traffic, stored_endpoints
+from routelens.plans.layout import compact_traffic, read_traffic
 from routelens.plans.shared import materialize, scratch_path
 from routelens.streaming import jobs
 from routelens.plans.behaviour import stored_anomalies
@@ -199,6 +200,18 @@ def _(spark, d):
     return stored_anomalies(spark, store).select("anomaly_type", "severity", "endpoint", "source", r6("score"), "message")
 
 
+@query("a14_compacted_days", "SELECT CAST(\"timestamp\" AS DATE)::VARCHAR AS day, method, count(*) AS calls FROM traffic GROUP BY ALL")
+def _(spark, d):
+    # four batches: two are merged into days, a third after them, and one is read as it arrived
+    store, rows = scratch_path(spark, "layout"), views.traffic(spark, d)
+    for batch in range(4):
+        store_traffic(rows.filter(F.col("record_id") % 4 == batch), store, batch)
+        if batch in (1, 2):
+            compact_traffic(spark, store, batch)
+    day = F.col("timestamp").cast("date").cast("string").alias("day")
+    return read_traffic(spark, store).groupBy(day, "method").agg(F.count("*").alias("calls"))
+
+
 @query("l8_progress", "SELECT count(*) AS records, (SELECT count(*) FROM inv) AS total_endpoints FROM traffic")
 def _(spark, d):
     progress = spark.read.parquet(f"{_store(spark, d)}/progress")
