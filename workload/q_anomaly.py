@@ -158,19 +158,6 @@ def _(spark, d):
     return _shown(anomaly.bola(scored(spark, d)), "sample_ids")
 
 
-@query(
-    "e2_first_per_key",
-    f"""SELECT anomaly_type, endpoint, source, {ts('min(tm)')} AS "timestamp" FROM (
-    SELECT 'new_consumer' AS anomaly_type, endpoint, source, tm FROM newcons
-    UNION ALL SELECT 'data_exfiltration', endpoint, source, tm FROM outliers) GROUP BY ALL""",
-)
-def _(spark, d):
-    act = scored(spark, d)
-    once = anomaly.new_consumers(act).unionByName(anomaly.latency_outliers(act))
-    late = once.withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(F.lit(1)))
-    return anomaly.first_per_key(once.unionByName(late)).select("anomaly_type", "endpoint", "source", text("timestamp"))
-
-
 @query(
     "e3_consecutive_ids",
     """SELECT endpoint, source, count(*) AS ids, count(*) FILTER (gap = 1) AS consecutive FROM gaps GROUP BY endpoint, source
@@ -227,6 +214,18 @@ ANOMALIES_SQL = (
 )
 
 
+@query(
+    "e2_first_per_key",
+    "SELECT anomaly_type, endpoint, source, min(\"timestamp\") AS \"timestamp\" FROM ("
+    + " UNION ALL ".join(f"SELECT '{kind}' AS anomaly_type, endpoint, source, \"timestamp\" FROM ({part})" for kind, part in ANOMALIES_SQL)
+    + ") GROUP BY ALL",
+)
+def _(spark, d):
+    once = anomaly.detect(scored(spark, d))
+    late = once.withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(F.lit(1)))
+    return anomaly.first_per_key(once.unionByName(late)).select("anomaly_type", "endpoint", "source", text("timestamp"))
+
+
 @query(
     "f8_all_anomalies",
     " UNION ALL ".join(
