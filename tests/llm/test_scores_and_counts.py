@@ -98,6 +98,61 @@ def test_windows_cover_every_word_and_overlap():
         assert len(seen) == (0 if n == 0 else max(1, -(-(n - 32) // 16) + 1))
 
 
+def labelled_texts(seed, n):
+    draw = random.Random(seed)
+    plain, bad = [f"word{i}" for i in range(80)], ["vile", "Scum", "filth", "wretch"]
+    rows = [(int(draw.random() < 0.4), draw.choices(plain, k=draw.choice([1, 7, 31, 32, 33, 50, 120]))) for _ in range(n)]
+    return [" ".join(w + draw.choices(bad, k=3) + w[:5] if toxic else w) for toxic, w in rows], [toxic for toxic, _ in rows]
+
+
+def score_by_hand(model, text):
+    """One window and one word at a time."""
+    m, net = op1_gated_toxicity, model.net.w
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    squash = lambda x: 1 / (1 + np.exp(-np.asarray(x, np.float64)))
+    best = None
+    for start in sorted({min(i, max(len(words) - m.WINDOW, 0)) for i in range(0, max(len(words) - m.WINDOW, 0) + m.STRIDE, m.STRIDE)}) if words else ():
+        inputs = [m.Words([w]).inputs(model.word_table, model.piece_table)[0].astype(np.float64) for w in words[start : start + m.WINDOW]]
+        read = {}
+        for d, order in (("f", range(len(inputs))), ("b", range(len(inputs) - 1, -1, -1))):
+            state = np.zeros(m.HIDDEN)
+            for t in order:
+                gate, own = inputs[t] @ net[f"x{d}"] + net[f"b{d}"], state @ net[f"h{d}"]
+                z, r = (squash(gate[i * m.HIDDEN : (i + 1) * m.HIDDEN] + own[i * m.HIDDEN : (i + 1) * m.HIDDEN]) for i in (0, 1))
+                new = np.tanh(gate[2 * m.HIDDEN :] + r * own[2 * m.HIDDEN :])
+                state = z * state + (1 - z) * new
+                read[d, t] = state
+        states = [np.concatenate([read["f", t], read["b", t]]) for t in range(len(inputs))]
+        weight = np.array([np.exp(np.tanh(x @ net["att"] + net["att_b"]) @ net["att_v"]) for x in states])
+        pooled = sum(w * x for w, x in zip(weight / weight.sum(), states, strict=True))
+        logit = float(pooled @ net["out"] + net["bias"][0])
+        best = logit if best is None else max(best, logit)
+    return float(squash((model.lowest if best is None else best) * model.scale + model.shift))
+
+
+def test_scores_equal_a_plain_recurrence():
+    texts, labels = labelled_texts(5, 120)
+    model = op1_gated_toxicity.train(texts, labels, epochs=2)
+    some = texts[:25] + ["", " \n", "VILE scum", "größe 日本語 😀 " * 30, "x" * 5000]
+    assert model.scores(some) == pytest.approx([score_by_hand(model, t) for t in some], abs=2e-4)
+
+
+def test_votes_equal_a_plain_search():
+    texts, labels = zip(*[(t, y) for t, y in zip(*labelled_texts(8, 300), strict=True) if len(t) > 150], strict=True)  # no two alike
+    model = op7_neighbour_quality.Neighbours(list(texts), list(labels))
+    some = [t for t in labelled_texts(9, 60)[0] if len(t) > 150]
+    got = model.scores(some)
+    unit = lambda x: x / (np.linalg.norm(x) or 1)
+    vector = lambda t: unit(unit(np.log1p(op7_neighbour_quality.term_counts([t])[0]) * model.rarity) @ model.directions)
+    known = [vector(t) for t in texts]
+    for text, score in zip(some, got, strict=True):
+        mine = vector(text)
+        near = sorted(((float(mine @ v), y) for v, y in zip(known, labels, strict=True)), reverse=True)[: op7_neighbour_quality.NEIGHBOURS]
+        weight = [max(c, 0) ** op7_neighbour_quality.SHARPNESS for c, _ in near]
+        want = sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight) if sum(weight) else model.prior
+        assert score == pytest.approx(want, abs=5e-3)
+
+
 def test_classifiers_with_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (8, 0, 1), (9, 0, 1), (None, 1, 0), (11, None, None), (99, 1, 0)], "doc_id bigint, toxic int, quality int")
     for fn in (op1_gated_toxicity.toxicity, op7_neighbour_quality.quality):
