@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import documents, in_pieces, text_or_empty, with_text_columns
+from routelens.llm.common import bit_map, documents, has_bit, in_pieces, text_or_empty, with_text_columns
 from routelens.llm.components import components
 from routelens.llm.words import distinct, mix, shingles, word_hashes
 from routelens.plans.shared import materialize
@@ -161,6 +161,24 @@ def _links_of_group(percent: int):
     return compare
 
 
+def _keys_in(wanted):
+    """digest, id, keys -> the same with those keys only whose bit is set, of rows that have one."""
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(2)
+            values, sizes = keys.flatten().to_numpy(zero_copy_only=False), keys.value_lengths().to_numpy(zero_copy_only=False)
+            inside = has_bit(wanted.value, values)
+            row = np.repeat(np.arange(sizes.size), sizes)[inside]
+            count = np.bincount(row, minlength=sizes.size)
+            offsets = np.concatenate(([0], np.cumsum(count[count > 0]))).astype(np.int32)
+            kept = pa.array(count > 0)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[inside]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), lists], names=["digest", "id", "keys"])
+
+    return run
+
+
 def _id(docs: DataFrame) -> Column:
     of_text = F.shiftrightunsigned(F.xxhash64(F.coalesce(docs["text"], F.lit(""))), 2).bitwiseOR(F.lit(NO_ID))
     return F.coalesce(docs["doc_id"].cast("long"), of_text)
@@ -189,6 +207,10 @@ def _rooted(docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     buckets = buckets.filter("members > 1").groupBy("members", "shingles", "sum", "sum2").agg(F.min("key").alias("key"))
     blocks = F.ceil(F.greatest(F.col("shingles") / block, F.col("members") / BLOCK_CLASSES)).cast("int")
     buckets = materialize(buckets.select("key", blocks.alias("blocks")), "buckets")
+    # Only keys of such buckets meet them; a bit map rules out nearly all others before anything is shuffled.
+    shared = sets.select("digest", "id", "keys").mapInArrow(_keys_in(bit_map(buckets, "key")), "digest binary, id bigint, keys array<bigint>")
+    first = shared.join(classes, (shared["digest"] == classes["digest"]) & (F.col("id") == F.col("class_id")))
+    keyed = first.select("class_id", F.explode("keys").alias("key"))
     own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     dealt = keyed.join(buckets, "key").select("key", "class_id", "blocks", own.alias("own"))
     # The first block meets all blocks of its bucket, the others it alone.

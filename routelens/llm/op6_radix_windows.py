@@ -17,7 +17,7 @@ equality can cross:
   a first digit, each of their windows becomes a row and groups are counted by 128-bit digests instead.
 
 So no equality rests on a name: bit maps and names that collide only send more bundles on.  Bit maps are
-bounded (``MOST_BITS``) and computed from counts over all rows.
+bounded (``common.MOST_BITS``) and computed from counts over all rows.
 
 Groups are counted map-side before they are shuffled, and their members are found by joins; keys that
 hold a noticeable share of all members are broadcast, of which there are few by their definition.  A
@@ -36,15 +36,13 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import documents, text_or_empty
+from routelens.llm.common import bit_map, documents, has_bit, text_or_empty
 from routelens.llm.words import mix
 from routelens.plans.shared import materialize
 
 WINDOW, OWNERS, GRAM = 400, 300, 16
 MOST_KINDS = 4096
 BYTES_AT_ONCE = 1 << 20
-#: Bits of a map: sixteen for each key that it holds, from 1 Mbit to this many (64 MiB).
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 #: A key with more than this share of the rows of a join is broadcast; there are at most as many.
 HOT = 2048
 DIGIT = 8
@@ -111,26 +109,6 @@ def bundles(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, owners: int
     return text, owner - at, lo - at, hi - at, one.view(np.int64)
 
 
-def bit_map(keys: DataFrame, key: str):
-    """A broadcast map in which the bit of every key is set; bits are the keys modulo their number, a power of two."""
-    spark = keys.sparkSession
-    bits = LEAST_BITS
-    while bits < min(16 * keys.count(), MOST_BITS):
-        bits *= 2
-    at = keys.select((F.pmod(F.col(key), F.lit(bits)) + 1).alias("at"))
-    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
-    for row in parts.toLocalIterator():
-        some = np.frombuffer(row["bits"], np.uint8)
-        out[(row["part"] - 1) * some.size :][: some.size] = some
-    return spark.sparkContext.broadcast(out)
-
-
-def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys.view(np.uint64) & np.uint64(8 * bits.size - 1)
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _halves(digests: list[bytes]) -> list[pa.Array]:
     both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
     return [pa.array(both[:, i]) for i in (0, 1)]
