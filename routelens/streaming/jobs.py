@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from routelens.operators import anomaly, traffic as stats
-from routelens.operators.inventory import endpoint_parts
+from routelens.operators.inventory import KEY, endpoint_parts
 from routelens.plans.analyze import fold_batch, store_traffic
 from routelens.plans.behaviour import fold_behaviour
 from routelens.plans.shared import materialize
@@ -133,3 +133,21 @@ def behaviour_writer(traffic: DataFrame, store: str, checkpoint: str, once: bool
 def running_inventory(traffic: DataFrame) -> DataFrame:
     """The inventory state kept by Spark's own state store, for ``update`` or ``complete`` sinks."""
     return endpoint_parts(traffic)
+
+
+def running_inventory_writer(traffic: DataFrame, path: str, checkpoint: str, once: bool = False) -> DataStreamWriter:
+    """Store, per micro-batch, the rows of the inventory state that it changed; ``latest_state`` reads the newest of each."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        tables.write_batch(batch, path, batch_id)
+
+    writer = running_inventory(traffic).writeStream.outputMode("update").foreachBatch(keep)
+    return _trigger(writer.option("checkpointLocation", checkpoint), once)
+
+
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """The inventory state as the last batch that changed each row left it."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*KEY, "consumer", "batch_id")]
+    newest = rows.groupBy(*KEY, "consumer").agg(F.max_by(F.struct(*values), "batch_id").alias("state"))
+    return newest.select(*KEY, "consumer", "state.*")

@@ -101,13 +101,8 @@ def _(spark, d):
 )
 def _(spark, d):
     out, state = scratch_path(spark, "running"), scratch_path(spark, "stream-state")
-
-    def keep(batch, _batch_id):  # complete mode: every batch holds the whole state
-        batch.write.mode("overwrite").parquet(out)
-
-    kept = jobs.running_inventory(views.traffic_stream(spark, d)).writeStream.outputMode("complete").foreachBatch(keep)
-    _run(kept.option("checkpointLocation", state).trigger(availableNow=True))
-    return spark.read.parquet(out).select("method", "host", "path_pattern", "consumer", "calls")
+    _run(jobs.running_inventory_writer(views.traffic_stream(spark, d), out, state, once=True))
+    return jobs.latest_state(spark, out).select("method", "host", "path_pattern", "consumer", "calls")
 
 
 @query("l4_state_recovery", "SELECT endpoint_id, total_calls, error_count, consumer_count FROM inv")
