@@ -13,6 +13,8 @@ from routelens.schemas import TRAFFIC
 from routelens.sources.state import Files, Manifest, PartedTable, parts_in
 
 TARGET_BYTES = 256 << 20
+#: What a task of a compaction sorts, in memory; stored rows are often a tenth or less of that.
+SORT_BYTES = 256 << 20
 #: Compacted states that can still be read.
 KEEP = 2
 _ROW = T.StructType([*TRAFFIC.fields, T.StructField("path_pattern", T.StringType())])
@@ -35,6 +37,15 @@ def _folders(files: Files, store: str, batches: list[int], wanted=lambda day: Tr
     return found
 
 
+def _sort_bytes(rows: DataFrame) -> int:
+    """Bytes that a sort holds for the rows: eight for each value, texts beside them, and what points at a row."""
+    texts = [f.name for f in _ROW.fields if isinstance(f.dataType, T.StringType)]
+    size = F.lit(8 * (len(_ROW.fields) + len(texts)) + 32).cast("bigint")
+    for c in texts:
+        size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    return rows.agg(F.sum(size)).first()[0] or 0
+
+
 def compact_traffic(spark: SparkSession, store: str, upto: int, target_bytes: int = TARGET_BYTES, keep: int = KEEP) -> None:
     """Merge all batches up to ``upto``, which are finished, into days.  They must not run again.
 
@@ -50,7 +61,9 @@ def compact_traffic(spark: SparkSession, store: str, upto: int, target_bytes: in
     old = [f"{table.root}/data/{before.parts[d]['run']}/dt={d}" for d in days if d in before.parts]
     size = sum(table.files.bytes(x) for x in [*fresh, *old])
     rows = spark.read.schema(_ROW).parquet(*fresh, *old).withColumn("dt", F.col("timestamp").cast("date"))
-    placed = rows.repartitionByRange(max(1, -(-size // target_bytes)), "dt", "timestamp").sortWithinPartitions("dt", "timestamp")
+    tasks = max(1, -(-size // target_bytes), -(-_sort_bytes(rows) // SORT_BYTES))
+    # rows of one time, or without any, may be many: their ids deal them to several tasks
+    placed = rows.repartitionByRange(tasks, "dt", "timestamp", "record_id").sortWithinPartitions("dt", "timestamp")
     run, made = table.write(placed, upto)
     parts = {d: x for d, x in before.parts.items() if d not in days}
     table.commit(Manifest(upto, parts | {d: {"run": run} for d in made}, {"upto": upto}), keep)

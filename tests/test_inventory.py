@@ -324,3 +324,23 @@ def test_days_are_compacted_and_read_alone(spark, tmp_path):
     assert some.inputFiles() and all("dt=2024-01-02/" in x for x in some.inputFiles())
     days = {p.parent for p in (tmp_path / "traffic-days").rglob("*.parquet")}
     assert len(days) == 4 and all(len(list(d.glob("*.parquet"))) == 1 for d in days)
+
+
+def test_a_compaction_sorts_a_bounded_number_of_rows_per_task(spark, tmp_path, monkeypatch):
+    from routelens.plans import layout
+
+    monkeypatch.setattr(layout, "SORT_BYTES", 100_000, raising=False)
+    at, store = START, str(tmp_path)
+    records = [
+        {**r, "record_id": i, "timestamp": [None, at, at, at + timedelta(seconds=i)][i % 4], "path": "/a" * 100}
+        for i, r in enumerate(random_records(16, 300) * 8)
+    ]
+    traffic = frame(spark, records).select(*layout._ROW.fieldNames())
+    for batch in range(2):
+        analyze.store_traffic(traffic.filter(F.col("record_id") % 2 == batch), store, batch)
+        layout.compact_traffic(spark, store, batch)
+    got = layout.read_traffic(spark, store)
+    assert sorted(r.record_id for r in got.select("record_id").collect()) == list(range(2400))
+    files = got.groupBy(F.input_file_name(), F.col("timestamp").isNull().alias("untimed")).count().collect()
+    assert sum(r.untimed for r in files) > 2 and sum(not r.untimed for r in files) > 2
+    assert max(r["count"] for r in files) < 500  # some 600 bytes each in a sort
