@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -216,6 +217,49 @@ def test_regions_are_resolved_digit_by_digit():
     assert [(r["doc_id"], r["lo"], r["hi"]) for r in out] == [(i, 3, 8) for i in range(40)]
 
 
+def test_many_regions_are_resolved_in_bounded_memory():
+    draw = np.random.default_rng(9)
+    names = ["doc_id", "text_hash", "lo", "before", "width", "one", "region"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.binary()]
+    rows, want = [], set()
+    for one in range(1000):
+        base = draw.integers(97, 123, 699, dtype=np.uint8)
+        for _ in range(4000 if one == 500 else 6):  # windows that hold byte 10 + i % 7 or 690 + i % 5 have other bytes
+            i, region = len(rows), base.copy()
+            region[10 + i % 7], region[690 + i % 5] = draw.integers(128, 256, 2)
+            rows.append((i, -i, 3, 299 - i % 3, 299, one, region.tobytes()))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+    places = Counter((r[5], p - r[3], r[6][p : p + 400]) for r in rows if r[5] % 100 < 2 and r[5] != 500 for p in range(300))
+    for r in rows:
+        if r[5] % 100 < 2 and r[5] != 500:
+            want |= {(r[0], 3 + p) for p in range(300) if places[r[5], p - r[3], r[6][p : p + 400]] > 1}
+    tracemalloc.start()
+    out = [r for b in op6_radix_windows._repeated_runs(400)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {(r["doc_id"], x) for r in out for x in range(r["lo"], r["hi"] + 1)}
+    assert {x for x in got if rows[x[0]][5] % 100 < 2 and rows[x[0]][5] != 500} == want
+    assert peak < 100 * 2**20
+
+
+def test_regions_resolved_place_by_place():
+    draw, window = random.Random(8), 8
+    names = ["doc_id", "text_hash", "lo", "before", "width", "one", "region"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.binary()]
+    rows = []
+    for i in range(300):
+        width = draw.randrange(12)
+        text = bytes(draw.choice(b"ab") for _ in range(width + window))
+        rows.append((i, 0, draw.randrange(50), draw.randrange(-3, width + 1), width, i // 100, text))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+    seen = Counter((r[5], p - r[3], r[6][p : p + window]) for r in rows for p in range(r[4] + 1))
+    want = sorted((r[0], r[2] + p) for r in rows for p in range(r[4] + 1) if seen[r[5], p - r[3], r[6][p : p + window]] > 1)
+    for most in (40, 700, 1 << 20):
+        out = [r for b in op6_radix_windows._repeated_runs(window, most)(iter([batch])) for r in b.to_pylist()]
+        assert sorted((r["doc_id"], x) for r in out for x in range(r["lo"], r["hi"] + 1)) == want
+        assert all((r["doc_id"], r["hi"] + 1) not in want for r in out)  # runs are as long as they can be
+
+
 def test_windows_are_equal_by_bytes_whatever_their_names():
     draw = random.Random(2)
     raw = bytes(draw.choice(b"ab") for _ in range(600)) * 2 + bytes(draw.choice(b"ab") for _ in range(600))
